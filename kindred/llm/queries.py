@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, packing, quality
+from . import decontam, linededup, packing, quality
 
 #: Bytes A-Z to a-z and the words of the contracts, in DuckDB.
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -41,6 +41,10 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_report(_table(spark, sf_dir, "documents"))
+
+
 _OP7 = f"""
 WITH item AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS.format('text')} AS w FROM benchmark WHERE item_id IS NOT NULL),
 win AS (
@@ -59,14 +63,35 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
   coalesce(n_items, 0) >= 2 AS contaminated
 FROM doc LEFT JOIN covered USING (r) LEFT JOIN who USING (r)"""
 
+_OP9 = r"""
+WITH parts AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents),
+l AS (SELECT doc_id, i AS line, p[i + 1] AS x FROM (SELECT doc_id, p, unnest(range(0, len(p))) AS i FROM parts)),
+dark AS (SELECT * FROM l WHERE regexp_matches(x, '[^\x09-\x0D\x20\xA0]')),
+d AS (SELECT x, min(row(doc_id, line)) AS first FROM dark GROUP BY x),
+f AS (SELECT x, first, length(x) AS n FROM d WHERE length(x) >= 20),
+k AS (
+  SELECT x, first, n, unnest([n || '|0|' || left(x, n // 2), n || '|1|' || right(x, n - n // 2),
+    (n - 1) || '|0|' || left(x, (n - 1) // 2), (n - 1) || '|1|' || right(x, n - 1 - (n - 1) // 2)]) AS key FROM f),
+c AS (SELECT DISTINCT a.x, a.first, a.n, b.x AS y, b.n AS m FROM k a JOIN k b ON a.key = b.key AND b.first < a.first AND abs(a.n - b.n) <= 1),
+s AS (SELECT first, CASE WHEN n <= m THEN x ELSE y END AS s, CASE WHEN n <= m THEN y ELSE x END AS t FROM c),
+e AS (SELECT first, s, t, coalesce(list_min(list_filter(range(1, length(s) + 1), lambda i: substr(s, i, 1) <> substr(t, i, 1))), length(s) + 1) AS p FROM s),
+near AS (SELECT DISTINCT first FROM e WHERE substr(t, p + 1) = CASE WHEN length(s) = length(t) THEN substr(s, p + 1) ELSE substr(s, p) END),
+gone AS (
+  SELECT doc_id, line FROM dark JOIN d USING (x) WHERE row(doc_id, line) > d.first
+  UNION SELECT first.doc_id, first.line FROM (SELECT {'doc_id': first[1], 'line': first[2]} AS first FROM near)),
+by_doc AS (SELECT doc_id, count(*) AS n, string_agg(line, ',' ORDER BY line) AS dropped FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(len(p), 0) AS BIGINT) AS n_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_dropped, coalesce(dropped, '') AS dropped_lines
+FROM parts LEFT JOIN by_doc USING (doc_id)"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_decontamination": op7_decontamination,
         "op8_quality_classifier": op8_quality_classifier,
+        "op9_line_dedup": op9_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontamination": _OP7}
+    return {"op7_decontamination": _OP7, "op9_line_dedup": _OP9}
