@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, linededup, packing, quality
+from . import decontam, langid, linededup, packing, quality, suffixlm
 
 #: Bytes A-Z to a-z and the words of the contracts, in DuckDB.
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -30,6 +30,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", quality.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixlm.score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -93,6 +97,7 @@ FROM parts LEFT JOIN by_doc USING (doc_id)"""
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_language_id": op3_language_id,
+        "op5_lm_scoring": op5_lm_scoring,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_decontamination": op7_decontamination,
         "op8_quality_classifier": op8_quality_classifier,
