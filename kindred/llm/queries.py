@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, linededup, packing, quality, suffixlm
+from . import decontam, jaccard, langid, linededup, packing, quality, suffixlm
 
 #: Bytes A-Z to a-z and the words of the contracts, in DuckDB.
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -24,6 +24,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similarity_classes(_table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     predicted = langid.predict_languages(docs, langid.fit_languages(docs.where(~quality.held_out())))
@@ -73,6 +77,23 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
   coalesce(n_items, 0) >= 2 AS contaminated
 FROM doc LEFT JOIN covered USING (r) LEFT JOIN who USING (r)"""
 
+_OP1 = f"""
+WITH RECURSIVE doc AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format('text')} AS w FROM documents),
+gram AS (
+  SELECT DISTINCT r, array_to_string(w[i:i + k - 1], ' ') AS g
+  FROM (SELECT r, w, least(5, len(w)) AS k, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM doc WHERE len(w) > 0)),
+sig AS (SELECT r, sha256(string_agg(g, chr(10) ORDER BY g)) AS s, count(*) AS n FROM gram GROUP BY r),
+class AS (SELECT s, n, min(doc_id) AS rep, count(*) AS n_copies, min(r) AS r FROM sig JOIN doc USING (r) GROUP BY s, n),
+cg AS (SELECT s, n, g FROM class JOIN gram USING (r)),
+link AS (
+  SELECT a.s AS a, b.s AS b FROM cg a JOIN cg b ON a.g = b.g AND a.s <> b.s AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n
+  GROUP BY a.s, b.s, a.n, b.n HAVING 9 * count(*) >= 4 * (a.n + b.n)),
+reach(a, b) AS (SELECT s, s FROM class UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+root AS (SELECT a AS s, min(rep) AS class_id FROM reach JOIN class ON reach.b = class.s GROUP BY a),
+degree AS (SELECT a AS s, count(*) AS n_links FROM link GROUP BY a)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(n_copies, 1) AS n_copies, coalesce(n_links, 0) AS n_links
+FROM doc LEFT JOIN sig USING (r) LEFT JOIN class USING (s) LEFT JOIN root USING (s) LEFT JOIN degree USING (s)"""
+
 _OP9 = r"""
 WITH parts AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents),
 l AS (SELECT doc_id, i AS line, p[i + 1] AS x FROM (SELECT doc_id, p, unnest(range(0, len(p))) AS i FROM parts)),
@@ -96,6 +117,7 @@ FROM parts LEFT JOIN by_doc USING (doc_id)"""
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_jaccard": op1_ngram_jaccard,
         "op3_language_id": op3_language_id,
         "op5_lm_scoring": op5_lm_scoring,
         "op6_best_fit_packing": op6_best_fit_packing,
@@ -106,4 +128,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontamination": _OP7, "op9_line_dedup": _OP9}
+    return {"op1_ngram_jaccard": _OP1, "op7_decontamination": _OP7, "op9_line_dedup": _OP9}
