@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, langid, linededup, packing, quality, suffixlm
+from . import decontam, jaccard, langid, linededup, packing, quality, suffixlm, urlfilter
 
 #: Bytes A-Z to a-z and the words of the contracts, in DuckDB.
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -34,6 +34,20 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", quality.held_out().alias("held_out"), "lang_pred", "score")
 
 
+#: The rules of the contract.
+URL_RULES = [
+    urlfilter.site_rule("com/", "allow"),
+    urlfilter.site_rule("example.com/en/", "block"),
+    urlfilter.site_rule("www.example.com/en/", "allow"),
+    urlfilter.site_rule("net/es/", "block"),
+    urlfilter.site_rule("net/fr/", "block"),
+]
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixlm.score_texts(_table(spark, sf_dir, "documents"))
 
@@ -59,6 +73,23 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_report(_table(spark, sf_dir, "documents"))
 
 
+_OP4 = r"""
+WITH a AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+b AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+c AS (
+  SELECT *, CASE
+    WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/es/') THEN 'net/es/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/') THEN 'com/' END AS rule FROM b)
+SELECT page_id, host, path, rule, CASE
+  WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+  WHEN regexp_matches(host || path, '(^|[^0-9A-Za-z])(spam|casino|porn|xxx|viagra|malware|phishing|torrent|warez|adserver)([^0-9A-Za-z]|$)') THEN 'block'
+  ELSE 'allow' END AS verdict FROM c"""
+
 _OP7 = f"""
 WITH item AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS.format('text')} AS w FROM benchmark WHERE item_id IS NOT NULL),
 win AS (
@@ -119,6 +150,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
         "op3_language_id": op3_language_id,
+        "op4_url_filters": op4_url_filters,
         "op5_lm_scoring": op5_lm_scoring,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_decontamination": op7_decontamination,
@@ -128,4 +160,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": _OP1, "op7_decontamination": _OP7, "op9_line_dedup": _OP9}
+    return {"op1_ngram_jaccard": _OP1, "op4_url_filters": _OP4, "op7_decontamination": _OP7, "op9_line_dedup": _OP9}
