@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, langid, linededup, packing, quality, suffixlm, urlfilter
+from . import decontam, jaccard, langid, linededup, packing, quality, substring, suffixlm, urlfilter
 
 #: Bytes A-Z to a-z and the words of the contracts, in DuckDB.
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -28,6 +28,10 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similarity_classes(_table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     predicted = langid.predict_languages(docs, langid.fit_languages(docs.where(~quality.held_out())))
@@ -149,6 +153,7 @@ FROM parts LEFT JOIN by_doc USING (doc_id)"""
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
+        "op2_substring_dedup": op2_substring_dedup,
         "op3_language_id": op3_language_id,
         "op4_url_filters": op4_url_filters,
         "op5_lm_scoring": op5_lm_scoring,

@@ -47,3 +47,20 @@ def components(edges: DataFrame) -> DataFrame:
         tree = new
         if n == ids and inner == 0:
             return tree.select(F.col("a").alias("id"), F.col("b").alias("root")).union(tree.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
+
+
+def likely(docs: DataFrame, wanted: DataFrame, id_col: str) -> DataFrame:
+    """Rows of `docs` whose id may be among those of `wanted`: all that are, and a few more.
+
+    A bitmap of 2**23 hashed ids, 1 MB for any input, is broadcast, so that an exact
+    join behind it shuffles few other rows.
+    """
+    bits = 1 << 23
+    number = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(bits))
+    place = wanted.select(number(id_col).alias("bit"))
+    bitmap = place.groupBy(F.bitmap_bucket_number("bit").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("__bitmap"))
+    joined = docs.withColumn("__bit", number(id_col)).join(F.broadcast(bitmap), F.bitmap_bucket_number("__bit") == F.col("__bucket"))
+    at = F.bitmap_bit_position("__bit")
+    byte = F.conv(F.hex(F.expr("substring(__bitmap, cast(bitmap_bit_position(__bit) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    mask = F.pow(F.lit(2), F.pmod(at, F.lit(8))).cast("int")
+    return joined.where(byte.bitwiseAND(mask) != 0).select(*docs.columns)
