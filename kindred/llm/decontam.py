@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .text import Words, mix, text_words
@@ -178,6 +178,40 @@ def benchmark_overlap(
     return _many(docs, parts, min_items)
 
 
+def item_count(
+    spark: SparkSession,
+    benchmark: DataFrame,
+    text: Column,
+    *,
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    window: int = 8,
+    max_patterns: int = 2_000_000,
+) -> Column:
+    """Number of benchmark items with a window that occurs in `text`, as a column.
+
+    Items have unique ids; null texts have none.
+    """
+    total = F.lit(0).cast("long")
+    for part in _chunks(benchmark, item_col, item_text_col, window, max_patterns):
+        total = total + _counter(spark, part)(text.cast("string"))
+    return total
+
+
+def _counter(spark: SparkSession, part: list[WuManber]):
+    shared = spark.sparkContext.broadcast(part)
+
+    @F.arrow_udf("long")
+    def count(column: pa.Array) -> pa.Array:
+        out = []
+        for a, b, words in text_words(column):
+            _, items = _occurrences(shared.value, words)
+            out += [len(items.get(d, ())) for d in range(b - a)]
+        return pa.array(out, pa.int64())
+
+    return count
+
+
 def _judge(spark: SparkSession, part: list[WuManber], min_items: int):
     shared = spark.sparkContext.broadcast(part)
 

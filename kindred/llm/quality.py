@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .text import VISIBLE, Words, column_bytes, slices
@@ -164,20 +164,22 @@ def fit_quality(
     return Discriminant.fit(counts, s, p, shrinkage, floor)
 
 
-def score_quality(docs: DataFrame, model: Discriminant, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Id and score of each document's whole text, with the columns in `keep`.
+def quality_score(spark: SparkSession, model: Discriminant):
+    """Column function from a text to its score; null counts as empty."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        return pa.array(shared.value.score(statistics(text)))
+
+    return score
+
+
+def score_quality(docs: DataFrame, model: Discriminant, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, score) of each document's whole text.
 
     Null and empty texts get the score of a text without words; repeated rows are
     scored alike; an empty table gives no rows.
     """
-    keep = keep or []
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *(F.col(c) for c in keep)).alias("kept"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            score = shared.value.score(statistics(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), batch.column(2)], names=["doc_id", "score", "kept"])
-
-    schema = f"doc_id long, score double, kept {rows.schema['kept'].dataType.simpleString()}"
-    return rows.mapInArrow(run, schema).select("doc_id", "score", *(F.col("kept")[c].alias(c) for c in keep if c not in ("doc_id", "score")))
+    score = quality_score(docs.sparkSession, model)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), score(F.col(text_col).cast("string")).alias("score"))
