@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .spark import checkpoint
+from .spark import Step, checkpoint
 from .text import mix
 
 #: Nodes of a bucket and of a cell; the cells' partitions.
@@ -305,7 +305,7 @@ def _gather(width: int):
     return run
 
 
-def neighbour_graph(vectors: DataFrame, n_nodes: int, width: int) -> tuple[DataFrame, int]:
+def neighbour_graph(vectors: DataFrame, n_nodes: int, width: int) -> tuple[Step, int]:
     """Bucket rows with each node's approximate nearest neighbours, and the number of buckets.
 
     vectors: (id, vector: packed 32-bit floats), of distinct ids.
@@ -326,15 +326,16 @@ def neighbour_graph(vectors: DataFrame, n_nodes: int, width: int) -> tuple[DataF
     tasks = max(1, -(-n_nodes * PARTITIONS // (8 * CELL)))
     placed = placed.join(sizes, ["part", "cell"]).select("id", "vector", unit.alias("unit")).withColumn("task", F.pmod("unit", F.lit(tasks)))
     told = placed.groupBy("task").applyInArrow(_start(n_buckets, width), _MAIL)
-    nodes = checkpoint(nodes.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(_update(True), _NODES))
+    step = Step(nodes.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(_update(True), _NODES))
     for _ in range(ROUNDS):
+        nodes = step.df
         by = lambda mail: nodes.groupBy("bucket").cogroup(mail.groupBy("bucket"))  # noqa: B023, E731
         reverse = nodes.mapInArrow(_reverse(n_buckets), _MAIL)
         asked = by(reverse).applyInArrow(_request(n_buckets), _MAIL)
         replies = by(asked).applyInArrow(_reply, _MAIL)
         told = by(reverse.unionByName(replies)).applyInArrow(_join(n_buckets), _MAIL)
-        nodes = checkpoint(by(reverse.unionByName(told)).applyInArrow(_update(False), _NODES))
-    return nodes, n_buckets
+        step.set(by(reverse.unionByName(told)).applyInArrow(_update(False), _NODES))
+    return step, n_buckets
 
 
 _ADJACENT = "bucket int, ids binary, vectors binary, offsets binary, near binary"
@@ -552,16 +553,19 @@ def search(graph: DataFrame, n_buckets: int, queries: DataFrame, width: int, n_q
     """(query_node, node): the k nearest nodes that a greedy search finds for each query, itself included."""
     adjacent = checkpoint(graph.groupBy("bucket").cogroup(graph.mapInArrow(_reverse(n_buckets), _MAIL).groupBy("bucket")).applyInArrow(_both_ways, _ADJACENT))
     tasks = max(1, -(-n_queries // 256))
-    pools = checkpoint(queries.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(tasks)).cast("int")).groupBy("bucket").applyInArrow(_open_pools(width), _POOLS))
+    step = Step(queries.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(tasks)).cast("int")).groupBy("bucket").applyInArrow(_open_pools(width), _POOLS))
     for _ in range(HOPS):
+        pools = step.df
         asked = pools.mapInArrow(_expand(n_buckets), _MAIL)
         near = adjacent.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(_neighbours, _MAIL)
         wanted = pools.groupBy("bucket").cogroup(near.groupBy("bucket")).applyInArrow(_ask_scores(n_buckets), _MAIL)
         scored = adjacent.groupBy("bucket").cogroup(wanted.groupBy("bucket")).applyInArrow(_scores, _MAIL)
-        pools = checkpoint(pools.groupBy("bucket").cogroup(scored.groupBy("bucket")).applyInArrow(_take, _POOLS))
-        if pools.where(F.expr("locate(x'01', open) > 0")).isEmpty():
+        step.set(pools.groupBy("bucket").cogroup(scored.groupBy("bucket")).applyInArrow(_take, _POOLS))
+        if step.df.where(F.expr("locate(x'01', open) > 0")).isEmpty():
             break
-    return pools.mapInArrow(_results(k), "query_node long, node long")
+    found = checkpoint(step.df.mapInArrow(_results(k), "query_node long, node long"))
+    step.drop()
+    return found
 
 
 def nearest(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20) -> DataFrame:
@@ -596,8 +600,8 @@ def nearest(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "em
     asking = checkpoint(asking)
     sought = checkpoint(asking.select(F.col("node").alias("id")).distinct())
     graph, n_buckets = neighbour_graph(packed, n_nodes, width)
-    found = search(graph, n_buckets, packed.join(sought, "id", "left_semi"), width, max(1, sought.count()), 2 * k)
-    found = checkpoint(found)
+    found = search(graph.df, n_buckets, packed.join(sought, "id", "left_semi"), width, max(1, sought.count()), 2 * k)
+    graph.drop()
     # exact scores of the nodes found, once for equal queries
     one = rows.select(F.col("id").alias("query_node"), F.col("v").alias("q"))
     other = rows.select(F.col("id").alias("node"), F.col("v").alias("x"))

@@ -2,27 +2,63 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """`df`, computed and kept in the folder that all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: that of spark.checkpoint.dir.
 
-    The folder is that of spark.checkpoint.dir; only where it is unset, as in
-    tests on one machine, a temporary one is used.
+    Only where it is unset, as in tests on one machine, a temporary one is used.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """`df`, computed and kept in the shared folder; Spark deletes it when nothing uses it any more."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def empty_edges(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "a long, b long")
+class Step:
+    """The state of a loop, as a table in the shared folder.
+
+    Unlike a checkpoint, a table's size estimate comes from its files. An estimate
+    that is carried on from round to round is a product of products, and soon
+    takes longer to compute than the data. A new state replaces the last one.
+    """
+
+    def __init__(self, df: DataFrame):
+        self._spark, self._path, self.df = df.sparkSession, None, df
+        atexit.register(self.drop)
+        self.set(df)
+
+    def set(self, df: DataFrame) -> None:
+        path = f"{shared_folder(self._spark)}/step-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self._delete()
+        self._path = path
+        self.df = self._spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        """Delete the table, once nothing reads it any more."""
+        with contextlib.suppress(Exception):  # Spark may have ended before
+            self._delete()
+        atexit.unregister(self.drop)
+
+    def _delete(self) -> None:
+        if self._path is not None:
+            path = self._spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._path)
+            path.getFileSystem(self._spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self._path = None
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -32,21 +68,25 @@ def components(edges: DataFrame) -> DataFrame:
     takes about log(n) rounds. A node's neighbours meet only in aggregates and in
     joins that Spark can split, never in a list.
     """
-    tree = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    if tree.isEmpty():
-        return tree.select(F.col("a").alias("id"), F.col("b").alias("root"))
-    while True:
+    step = Step(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    flat = step.df.isEmpty()
+    while not flat:
+        tree = step.df
         both = tree.union(tree.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        new = checkpoint(small)
+        step.set(small)
         # flat: every id has one parent, and no parent has one itself
+        new = step.df
         n, ids, inner = new.join(new.select(F.col("a").alias("p")).distinct(), F.col("b") == F.col("p"), "left").agg(F.count("*"), F.count_distinct("a"), F.count("p")).first()
-        tree = new
-        if n == ids and inner == 0:
-            return tree.select(F.col("a").alias("id"), F.col("b").alias("root")).union(tree.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
+        flat = n == ids and inner == 0
+    tree = step.df
+    out = tree.select(F.col("a").alias("id"), F.col("b").alias("root")).union(tree.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
+    out = checkpoint(out)
+    step.drop()
+    return out
 
 
 def likely(docs: DataFrame, wanted: DataFrame, id_col: str) -> DataFrame:
