@@ -104,9 +104,9 @@ def match_estimate(bits: int, hashes: int, s1: Column, s2: Column, common: Colum
 
 
 def cutoff(s1: Column, s2: Column, fast_mode: bool = False) -> Column:
-    """Common bits that filters with s1 and s2 elements must exceed."""
+    """Common bits that filters with s1 and s2 elements must exceed; null for fewer than filters to be compared have."""
     table, bits = (t.CUTOFFS_64, 1024) if fast_mode else (t.CUTOFFS_256, 4096)
-    return F.element_at(F.array(*map(F.lit, table)), F.floor(F.lit(bits) / (s1 + s2)).cast("int") + 1)
+    return F.get(F.array(*map(F.lit, table)), F.floor(F.lit(bits) / (s1 + s2)).cast("int"))
 
 
 def cut_overlap(a: Column, b: Column, cut: Column, fast_mode: bool = False) -> Column:

@@ -12,7 +12,8 @@ from ..functions.columns import feature_bits
 def bits_of(features: DataFrame, group: str | Column, sha1_hex: str | Column = "sha1", *, mask: int = t.SMALL_MASK) -> DataFrame:
     """(grp, bit): the distinct bits that each group's features set."""
     column = lambda c: F.col(c) if isinstance(c, str) else c
-    return features.select(column(group).alias("grp"), F.explode(feature_bits(column(sha1_hex), mask)).alias("bit")).distinct()
+    there = features.where(column(sha1_hex).isNotNull())
+    return there.select(column(group).alias("grp"), F.explode(feature_bits(column(sha1_hex), mask)).alias("bit")).distinct()
 
 
 def build_filters(features: DataFrame, group: str | Column, sha1_hex: str | Column = "sha1", *, size: int = t.SMALL_BYTES) -> DataFrame:
