@@ -195,7 +195,9 @@ def duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     once = lines.where(~F.col("again"))
     # the first document of equal lines; within a document `again` has marked the others
     first = once.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
-    several = once.select("doc_id", "line", "h1", "h2").join(first.where("n > 1"), ["h1", "h2"]).where(F.col("doc_id") != F.col("first"))
+    # cut off, so that the join has an exchange on both sides and Spark can split a line that is everywhere
+    repeated = checkpoint(first.where("n > 1"))
+    several = once.select("doc_id", "line", "h1", "h2").join(repeated, ["h1", "h2"]).where(F.col("doc_id") != F.col("first"))
     equal = lines.where("again").select("doc_id", "line").union(several.select("doc_id", "line"))
     equal = checkpoint(equal.distinct())
     fuzzy = once.where("fuzzy").select("doc_id", "line", "k0", "k1", "k2", "k3").join(equal, ["doc_id", "line"], "left_anti")
