@@ -217,3 +217,16 @@ def test_fitted_ranks_follow_the_corpus(spark, objects):
     ranks = digest.fit_ranks(objects)
     assert sorted(ranks[100:991]) == list(range(100, 991))
     assert t.check_ranks(ranks) is not None
+
+
+def test_tiles_give_the_same_pairs_as_one(spark):
+    rng = np.random.default_rng(8)
+    base = [blob(70 + i, int(rng.integers(600, 60_000))) for i in range(6)]
+    rows = [(f"{'zyx'[i % 3]}{i}", base[i % 6] + blob(90 + i, 3000 * (i % 4)), 40 - i) for i in range(24)]
+    made = digest.digest(spark.createDataFrame(rows, "name string, content binary, k long")).join(spark.createDataFrame([(r[0], r[2]) for r in rows], "name string, digest_id long"), "name")
+    one = sorted(map(tuple, compare.compare_all(made, threshold=-1).collect()))
+    assert len(one) == 24 * 23 // 2 and one == sorted(map(tuple, compare.compare_all(made, threshold=-1, tile=5).collect()))
+    ids = {r[0]: r[2] for r in rows}
+    assert all(ids[q] < ids[t] for q, t, _ in one)
+    every = {(r["query"], r["target"]): r["score"] for r in compare.compare_to(made, made, threshold=-1).collect()}
+    assert all(every[q, t] == s for q, t, s in one)
