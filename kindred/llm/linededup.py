@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spark import checkpoint
+from .spark import checkpoint, likely
 from .text import column_bytes, mix, powers, slices
 
 _U = np.uint64
@@ -204,8 +204,8 @@ def duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     keys = fuzzy.select("doc_id", "line", F.explode(F.array("k0", "k1", "k2", "k3")).alias("key"))
     met = _meeting(keys)
     near = keys.join(met, "key", "left_semi").select("doc_id", "line").distinct()
-    near = near.groupBy("doc_id").agg(F.collect_list("line").alias("lines"))
-    texts = rows.join(near, "doc_id").select("doc_id", F.explode("lines").alias("line"), F.get(F.split("text", "\n"), F.col("line")).alias("text")).where("text is not null")
+    near = checkpoint(near.groupBy("doc_id").agg(F.collect_list("line").alias("lines")))
+    texts = likely(rows, near, "doc_id").join(near, "doc_id").select("doc_id", F.explode("lines").alias("line"), F.get(F.split("text", "\n"), F.col("line")).alias("text")).where("text is not null")
     texts = checkpoint(texts.distinct())
     eighths = texts.mapInArrow(_eighths, "doc_id long, line int, longer int, block int, key long")
     hits = eighths.join(_meeting(eighths.select("doc_id", "line", "key")), "key", "left_semi").select("doc_id", "line", "longer", "block")
