@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .spark import checkpoint, components
+from .spark import checkpoint, components, likely
 from .text import Words, column_bytes, mix, slices
 
 #: A chance of 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.9996 for a pair of similarity 0.8.
@@ -216,7 +216,8 @@ def _verified(named: DataFrame, classes: DataFrame, clusters: DataFrame, n: int,
     placed = clusters.join(sizes, "root").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
     placed = checkpoint(placed.join(classes.select(F.col("s1").alias("id"), "rep"), "id").select("id", "root", "rep", "blocks", "block"))
-    wanted = named.join(placed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").select("doc_id", "text")
+    reps = checkpoint(placed.select(F.col("rep").alias("doc_id")).distinct())
+    wanted = likely(named, reps, "doc_id").join(reps, "doc_id").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
