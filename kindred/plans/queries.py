@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as c
 from ..functions import tables as t
-from ..operators import compare, digest, filters, index, segments
+from ..operators import compare, digest, filters, ground_truth, index, segments
 from ..sources import digest_text, files, index_file, large_file
 from ..streaming import ingest
 from . import catalog
@@ -247,6 +247,13 @@ def result_status(spark, sf_dir):
     return turns.select("conv_id", catalog.job_status(started, ended, F.col("lines")).alias("status"), catalog.job_duration(started, ended, now).alias("duration"))
 
 
+def common_substrings(spark, sf_dir):
+    """Neighbouring turns of conversations."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.encode("text", "utf-8").alias("x"))
+    following = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("x").alias("y"))
+    return turns.join(following, ["conv_id", "turn"]).select("conv_id", "turn", F.round(ground_truth.common_ratio(F.col("x"), F.col("y")), 6).alias("ratio"))
+
+
 def stream_ingest(spark, sf_dir):
     """Documents as a stream of rows, digested and kept."""
     source = spark.readStream.schema(table(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parquet*")
@@ -332,6 +339,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             popularity_scores, stream_features, stream_digest, block_digest, sized_digest, segment_digest, compare_all,
             compare_fast, compare_to, compare_sampled, compare_matrix, compare_blocks, digest_text_roundtrip, validate,
             index_build, index_merge, index_probe, index_search, index_files, large_digests, large_compare,
-            large_roundtrip, set_summary, set_listing_json, result_status, stream_ingest,
+            large_roundtrip, set_summary, set_listing_json, result_status, common_substrings, stream_ingest,
         )
     }
