@@ -77,6 +77,7 @@ def encoder(path: str):
     both libraries give the same ids is verified on loading, else the slower one
     that reads the file itself is used.
     """
+    import tiktoken
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(path)
@@ -86,8 +87,6 @@ def encoder(path: str):
         return np.array(exact.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     try:
-        import tiktoken
-
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         names = {chr(b): b for b in printable}
         names |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
@@ -100,7 +99,7 @@ def encoder(path: str):
         probe = "The quick, brown\n\n fox's 1234 cafés 你好 \U0001f600ß  ---!! x\t\t y <|endoftext|> Éç"
         if fast.encode_ordinary(probe) != slow(probe).tolist():
             return slow
-    except (ImportError, KeyError, ValueError):
+    except (KeyError, ValueError):  # not a byte-level vocabulary
         return slow
 
     def quick(text: str) -> np.ndarray:
