@@ -167,3 +167,8 @@ def text_words(column: pa.Array, member: np.ndarray = ALNUM, lower: bool = True)
     body, offsets = column_bytes(column)
     for a, b in slices(offsets):
         yield a, b, Words(body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], member, lower)
+
+
+def hash_range(codes: np.ndarray, n: int) -> np.ndarray:
+    """Which of n equal ranges of hash values each one lies in."""
+    return ((codes >> np.uint64(33)) * np.uint64(n) >> np.uint64(31)).astype(np.int64)
