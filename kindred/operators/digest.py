@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import kernel
 from ..functions import tables as t
 from ..functions.columns import eligible
+from .storage import spread
 
 FILTER = "struct<idx:int,elem_count:int,hamming:int,words:array<bigint>>"
 DIGEST = (
@@ -58,7 +59,8 @@ def digest_row(name: str, size: int, made: kernel.Digest, block: int) -> dict:
 def _objects(df: DataFrame, name: str | Column, data: str | Column) -> DataFrame:
     column = lambda c: F.col(c) if isinstance(c, str) else c
     rows = df.select(column(name).cast("string").alias("name"), column(data).cast("binary").alias("content"))
-    return rows.where(eligible(F.col("content")))
+    rows = rows.where(eligible(F.col("content")))
+    return rows if rows.isStreaming else spread(rows)
 
 
 def _schema(df: DataFrame, ddl: str) -> pa.Schema:
