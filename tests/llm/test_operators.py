@@ -131,6 +131,14 @@ def test_passages_of_fifty_words_are_found(spark):
             assert set(alnum(passage)) <= set(own) and own == other
 
 
+def test_passages_of_hot_seeds_are_found(spark):
+    one, two = prose(700, 30), prose(701, 30)
+    rows = [(i, f"{prose(800 + i, 60)} {(one, two)[i % 2]} {prose(900 + i, 20)}") for i in (*range(20), *range(80, 100))]
+    rows += [(i, f"{prose(800 + i, 60)} {one} {two} {prose(900 + i, 20)}") for i in (40, 50)]
+    found = substring.repeated_passages(table(spark, rows)).collect()
+    assert {frozenset((r["doc_id"], r["other_id"])) for r in found} == {frozenset((40, 50))}
+
+
 def test_chains_equal_the_quadratic_program():
     rng = np.random.default_rng(2)
     for _ in range(60):
