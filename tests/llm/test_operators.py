@@ -139,6 +139,14 @@ def test_passages_of_hot_seeds_are_found(spark):
     assert {frozenset((r["doc_id"], r["other_id"])) for r in found} == {frozenset((40, 50))}
 
 
+def test_rejected_chains_take_no_seeds_from_other_partners(spark):
+    exact = prose(702, 60)
+    rows = [(1, f"{prose(801, 60)} {' '.join(exact.split()[:40])} {prose(901, 20)}")]
+    rows += [(i, f"{prose(800 + i, 60)} {exact} {prose(900 + i, 20)}") for i in (60, 70)]
+    found = substring.repeated_passages(table(spark, rows)).collect()
+    assert {frozenset((r["doc_id"], r["other_id"])) for r in found} == {frozenset((60, 70))}
+
+
 def test_chains_equal_the_quadratic_program():
     rng = np.random.default_rng(2)
     for _ in range(60):
