@@ -147,6 +147,20 @@ def test_rejected_chains_take_no_seeds_from_other_partners(spark):
     assert {frozenset((r["doc_id"], r["other_id"])) for r in found} == {frozenset((60, 70))}
 
 
+def test_recall_of_changed_passages(spark):
+    rng, rows = random.Random(7), []
+    for i in range(90):
+        words = prose(2000 + i, 60).split()
+        changed = list(words)
+        for k in rng.sample(range(60), (12, 9, 6)[i % 3]):  # similarity 0.80, 0.85, 0.90
+            changed[k] = f"new{rng.randint(0, 10**6)}"
+        rows += [(2 * i + j, f"{prose(3000 + 2 * i + j, 40)} {' '.join(w)} {prose(5000 + 2 * i + j, 40)}") for j, w in enumerate((words, changed))]
+    found = {(r["doc_id"], r["other_id"]) for r in substring.repeated_passages(table(spark, rows)).collect()}
+    recall = [sum((2 * i, 2 * i + 1) in found or (2 * i + 1, 2 * i) in found for i in range(s, 90, 3)) / 30 for s in range(3)]
+    assert recall[0] >= 0.8 and recall[1] >= 0.9 and recall[2] >= 0.95, recall
+    assert all(a // 2 == b // 2 for a, b in found)
+
+
 def test_chains_equal_the_quadratic_program():
     rng = np.random.default_rng(2)
     for _ in range(60):
