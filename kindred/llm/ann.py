@@ -28,11 +28,15 @@ from pyspark.sql import functions as F
 from .spark import Step, checkpoint
 from .text import mix
 
-#: Nodes of a bucket and of a cell; the cells' partitions.
+#: Nodes of a bucket and of a cell; the cells' partitions, at least.
 BUCKET, CELL, PARTITIONS = 4096, 512, 3
-NEIGHBOURS, JOINED, TOLD, ROUNDS = 32, 32, 4, 3
-#: Candidates that a search keeps, expands at a time, and its rounds at most.
-POOL, EXPAND, HOPS, DEGREE = 320, 80, 12, 96
+NEIGHBOURS, JOINED, TOLD = 32, 32, 4
+#: Rounds go on until so small a share of all neighbours is new.
+SETTLED = 0.002
+#: Candidates that a search keeps, at least, and expands at a time; edges of a node that it follows.
+POOL, EXPAND, DEGREE = 320, 80, 96
+#: Nodes from which on partitions and candidates grow.
+SMALL = 16384
 
 _NODES = "bucket int, ids binary, vectors binary, near binary, scores binary, fresh binary"
 _MAIL = "bucket int, source int, kind int, a binary, b binary, c binary"
@@ -43,6 +47,16 @@ def _home(ids: np.ndarray, n: int) -> np.ndarray:
     return ((mix(ids.astype(np.int64).view(np.uint64) + np.uint64(11)) >> np.uint64(33)) * np.uint64(n) >> np.uint64(31)).astype(np.int64)
 
 
+def partitions(n_nodes: int) -> int:
+    """Partitions into cells that the graph of so many nodes starts from: one more for each doubling."""
+    return PARTITIONS + max(0, math.ceil(math.log2(max(1, n_nodes) / SMALL)))
+
+
+def pool_size(n_nodes: int) -> int:
+    """Candidates that a search among so many nodes keeps: they grow with the cube root."""
+    return math.ceil(POOL * max(1.0, n_nodes / SMALL) ** (1 / 3))
+
+
 def _pack(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 
@@ -242,6 +256,13 @@ def _update(first: bool):
     return run
 
 
+def _fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Neighbours that haven't taken part in a round yet."""
+    for batch in batches:
+        n = [int((np.frombuffer(x, np.int8) > 0).sum()) for x in batch.column("fresh").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64())], names=["n"])
+
+
 def _pairs(row: np.ndarray, other: np.ndarray) -> np.ndarray:
     return mix(other.view(np.uint64) + mix(row.astype(np.uint64) + np.uint64(1)))
 
@@ -250,11 +271,11 @@ def _cells(seed: int, bits: int, width: int) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((width, bits)).astype(np.float32)
 
 
-def _assign(bits: int, width: int):
+def _assign(bits: int, width: int, parts: int):
     """(part, cell) of each vector in each random partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = [_cells(p + 1, bits, width) for p in range(PARTITIONS)]
+        planes = [_cells(p + 1, bits, width) for p in range(parts)]
         for batch in batches:
             v = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(-1, width)
             for p, plane in enumerate(planes):
@@ -311,6 +332,7 @@ def neighbour_graph(vectors: DataFrame, n_nodes: int, width: int) -> tuple[Step,
     vectors: (id, vector: packed 32-bit floats), of distinct ids.
     """
     n_buckets = max(1, -(-n_nodes // BUCKET))
+    parts = partitions(n_nodes)
     bits = max(0, math.ceil(math.log2(max(1, n_nodes) / CELL)))
 
     def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,15 +341,16 @@ def neighbour_graph(vectors: DataFrame, n_nodes: int, width: int) -> tuple[Step,
 
     nodes = vectors.mapInArrow(home, "bucket int, id long, vector binary").groupBy("bucket").applyInArrow(_gather(width), _NODES)
     nodes = checkpoint(nodes)
-    placed = vectors.mapInArrow(_assign(bits, width), "id long, vector binary, part int, cell long")
+    placed = vectors.mapInArrow(_assign(bits, width, parts), "id long, vector binary, part int, cell long")
     # a cell with too many vectors, as near copies make, is dealt out further
     sizes = checkpoint(placed.groupBy("part", "cell").agg(F.count("*").alias("n")))
     unit = F.xxhash64("part", "cell", F.pmod(F.xxhash64("id", "part"), F.ceil(F.col("n") / (2 * CELL))))
-    tasks = max(1, -(-n_nodes * PARTITIONS // (8 * CELL)))
+    tasks = max(1, -(-n_nodes * parts // (8 * CELL)))
     placed = placed.join(sizes, ["part", "cell"]).select("id", "vector", unit.alias("unit")).withColumn("task", F.pmod("unit", F.lit(tasks)))
     told = placed.groupBy("task").applyInArrow(_start(n_buckets, width), _MAIL)
     step = Step(nodes.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(_update(True), _NODES))
-    for _ in range(ROUNDS):
+    new = n_nodes * NEIGHBOURS
+    while new > SETTLED * n_nodes * NEIGHBOURS:
         nodes = step.df
         by = lambda mail: nodes.groupBy("bucket").cogroup(mail.groupBy("bucket"))  # noqa: B023, E731
         reverse = nodes.mapInArrow(_reverse(n_buckets), _MAIL)
@@ -335,6 +358,7 @@ def neighbour_graph(vectors: DataFrame, n_nodes: int, width: int) -> tuple[Step,
         replies = by(asked).applyInArrow(_reply, _MAIL)
         told = by(reverse.unionByName(replies)).applyInArrow(_join(n_buckets), _MAIL)
         step.set(by(reverse.unionByName(told)).applyInArrow(_update(False), _NODES))
+        new = step.df.mapInArrow(_fresh, "n long").agg(F.sum("n")).first()[0]
     return step, n_buckets
 
 
@@ -496,34 +520,38 @@ def _scores(graph: pa.Table, mail: pa.Table) -> pa.Table:
     return _table(out)
 
 
-def _take(queries: pa.Table, mail: pa.Table) -> pa.Table:
+def _take(size: int):
     """Candidates after a round: what was expanded is closed, what is near enough comes in."""
-    out = []
-    for r in queries.to_pylist():
-        pools = _Pools(r)
-        n = len(pools.queries)
-        opened = pools.open.copy()
-        place, column = np.nonzero(pools.open == 1)
-        order, rank = _rank(place, column)
-        done = order[rank < EXPAND]
-        opened[place[done], column[done]] = 0
-        have = opened >= 0
-        row, node, score, state = np.nonzero(have)[0], pools.pool[have], pools.scores[have], opened[have]
-        more, letters = _received(pools, mail.to_pylist())
-        if len(more):
-            row = np.concatenate([row, more])
-            node = np.concatenate([node, *(np.frombuffer(m["b"], np.int64) for m in letters)])
-            score = np.concatenate([score, *(np.frombuffer(m["c"], np.float32) for m in letters)])
-            state = np.concatenate([state, np.ones(len(more), np.int8)])
-        order, rank = _rank(row, -score, node)
-        keep, rank = order[rank < POOL], rank[rank < POOL]
-        pool, scores, opened = np.full((n, POOL), -1, np.int64), np.full((n, POOL), -np.inf, np.float32), np.full((n, POOL), -1, np.int8)
-        pool[row[keep], rank], scores[row[keep], rank], opened[row[keep], rank] = node[keep], score[keep], state[keep]
-        out.append((pools.number, r["queries"], r["vectors"], _pack(pool), _pack(scores), _pack(opened)))
-    return _table(out, _POOL_TYPES)
-
-
-def _open_pools(width: int):
+
+    def run(queries: pa.Table, mail: pa.Table) -> pa.Table:
+        out = []
+        for r in queries.to_pylist():
+            pools = _Pools(r)
+            n = len(pools.queries)
+            opened = pools.open.copy()
+            place, column = np.nonzero(pools.open == 1)
+            order, rank = _rank(place, column)
+            done = order[rank < EXPAND]
+            opened[place[done], column[done]] = 0
+            have = opened >= 0
+            row, node, score, state = np.nonzero(have)[0], pools.pool[have], pools.scores[have], opened[have]
+            more, letters = _received(pools, mail.to_pylist())
+            if len(more):
+                row = np.concatenate([row, more])
+                node = np.concatenate([node, *(np.frombuffer(m["b"], np.int64) for m in letters)])
+                score = np.concatenate([score, *(np.frombuffer(m["c"], np.float32) for m in letters)])
+                state = np.concatenate([state, np.ones(len(more), np.int8)])
+            order, rank = _rank(row, -score, node)
+            keep, rank = order[rank < size], rank[rank < size]
+            pool, scores, opened = np.full((n, size), -1, np.int64), np.full((n, size), -np.inf, np.float32), np.full((n, size), -1, np.int8)
+            pool[row[keep], rank], scores[row[keep], rank], opened[row[keep], rank] = node[keep], score[keep], state[keep]
+            out.append((pools.number, r["queries"], r["vectors"], _pack(pool), _pack(scores), _pack(opened)))
+        return _table(out, _POOL_TYPES)
+
+    return run
+
+
+def _open_pools(width: int, size: int):
     """Searches that begin at the query's own node."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -531,7 +559,7 @@ def _open_pools(width: int):
         vectors = np.frombuffer(b"".join(table.column("vector").to_pylist()), np.float32).reshape(-1, width)
         order = np.argsort(ids)
         n = len(ids)
-        pool, scores, opened = np.full((n, POOL), -1, np.int64), np.full((n, POOL), -np.inf, np.float32), np.full((n, POOL), -1, np.int8)
+        pool, scores, opened = np.full((n, size), -1, np.int64), np.full((n, size), -np.inf, np.float32), np.full((n, size), -1, np.int8)
         pool[:, 0], scores[:, 0], opened[:, 0] = ids[order], np.inf, 1
         return _table([(table.column("bucket")[0].as_py(), _pack(ids[order]), _pack(vectors[order]), _pack(pool), _pack(scores), _pack(opened))], _POOL_TYPES)
 
@@ -549,20 +577,20 @@ def _results(k: int):
     return run
 
 
-def search(graph: DataFrame, n_buckets: int, queries: DataFrame, width: int, n_queries: int, k: int) -> DataFrame:
+def search(graph: DataFrame, n_buckets: int, queries: DataFrame, width: int, n_queries: int, k: int, size: int = POOL) -> DataFrame:
     """(query_node, node): the k nearest nodes that a greedy search finds for each query, itself included."""
     adjacent = checkpoint(graph.groupBy("bucket").cogroup(graph.mapInArrow(_reverse(n_buckets), _MAIL).groupBy("bucket")).applyInArrow(_both_ways, _ADJACENT))
     tasks = max(1, -(-n_queries // 256))
-    step = Step(queries.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(tasks)).cast("int")).groupBy("bucket").applyInArrow(_open_pools(width), _POOLS))
-    for _ in range(HOPS):
+    step = Step(queries.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(tasks)).cast("int")).groupBy("bucket").applyInArrow(_open_pools(width, size), _POOLS))
+    searching = True
+    while searching:  # ends, as nothing that has left the candidates comes back
         pools = step.df
         asked = pools.mapInArrow(_expand(n_buckets), _MAIL)
         near = adjacent.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(_neighbours, _MAIL)
         wanted = pools.groupBy("bucket").cogroup(near.groupBy("bucket")).applyInArrow(_ask_scores(n_buckets), _MAIL)
         scored = adjacent.groupBy("bucket").cogroup(wanted.groupBy("bucket")).applyInArrow(_scores, _MAIL)
-        step.set(pools.groupBy("bucket").cogroup(scored.groupBy("bucket")).applyInArrow(_take, _POOLS))
-        if step.df.where(F.expr("locate(x'01', open) > 0")).isEmpty():
-            break
+        step.set(pools.groupBy("bucket").cogroup(scored.groupBy("bucket")).applyInArrow(_take(size), _POOLS))
+        searching = not step.df.where(F.expr("locate(x'01', open) > 0")).isEmpty()
     found = checkpoint(step.df.mapInArrow(_results(k), "query_node long, node long"))
     step.drop()
     return found
@@ -600,7 +628,7 @@ def nearest(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "em
     asking = checkpoint(asking)
     sought = checkpoint(asking.select(F.col("node").alias("id")).distinct())
     graph, n_buckets = neighbour_graph(packed, n_nodes, width)
-    found = search(graph.df, n_buckets, packed.join(sought, "id", "left_semi"), width, max(1, sought.count()), 2 * k)
+    found = search(graph.df, n_buckets, packed.join(sought, "id", "left_semi"), width, max(1, sought.count()), 2 * k, pool_size(n_nodes))
     graph.drop()
     # exact scores of the nodes found, once for equal queries
     one = rows.select(F.col("id").alias("query_node"), F.col("v").alias("q"))

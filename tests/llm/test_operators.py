@@ -440,6 +440,25 @@ def test_recall(spark):
     assert hits >= 0.9 * 20 * len(expected)
 
 
+def test_graph_goes_on_until_it_settles(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CELL", 32)
+    x = np.random.default_rng(3).standard_normal((2500, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    frame = spark.createDataFrame([(i, v.tobytes()) for i, v in enumerate(x)], "id long, vector binary")
+    graph, _ = ann.neighbour_graph(frame, len(x), 64)
+    product = x @ x.T
+    np.fill_diagonal(product, -np.inf)
+    truth = np.argsort(-product, axis=1)[:, :32]
+    found, fresh = [], []
+    for r in graph.df.collect():
+        fresh.append(np.frombuffer(r["fresh"], np.int8) > 0)
+        ids, near = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["near"], np.int64).reshape(-1, 32)
+        found += [len(np.intersect1d(row, truth[i])) / 32 for i, row in zip(ids, near, strict=True)]
+    graph.drop()
+    assert len(found) == 2500 and np.mean(found) > 0.9, np.mean(found)
+    assert np.mean(np.concatenate(fresh)) <= 0.002, np.mean(np.concatenate(fresh))
+
+
 @pytest.mark.parametrize("edges", [[], [(1, 1)], [(1, 2), (2, 3), (4, 5), (9, 1)], [(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 40)]])
 def test_components(spark, edges):
     from kindred.llm.spark import components
