@@ -1,6 +1,10 @@
 """Registered queries against their SQL, on the smallest tables."""
 
 import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pandas as pd
@@ -39,11 +43,13 @@ def test_flagship(spark):
     assert entry.entry(spark).count() > 0
 
 
-def test_rest_stands_alone():
-    """Without the optional subpackage the other queries are still there."""
-    import subprocess
-    import sys
-
-    code = "import sys; sys.modules['kindred.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert e.queries() and not any(n.startswith('op') for n in e.queries()), e.queries(); assert e.oracle_sql()"
-    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=os.path.dirname(os.path.dirname(__file__)))
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_rest_stands_alone(tmp_path, pipeline):
+    """In a copy without the optional folders the other queries are still there, with the pipeline's file or without."""
+    root = Path(__file__).resolve().parents[1]
+    shutil.copytree(root / "kindred", tmp_path / "kindred", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", *(["corpus_pipeline.py"] if pipeline else [])):
+        shutil.copy(root / name, tmp_path)
+    code = "import __spark_entry__ as e; assert e.queries() and not any(n.startswith('op') or n == 'pipeline' for n in e.queries()), e.queries(); assert e.oracle_sql()"
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)})
     assert done.returncode == 0, done.stderr
