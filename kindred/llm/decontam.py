@@ -3,11 +3,13 @@
 Patterns are the windows of the benchmark items, texts the words of documents.
 A table gives for each block of two words how far the search may jump, so most
 positions are never looked at; where the jump is zero, the bucket of that suffix
-block names the patterns to test, and a direct comparison of bytes confirms.
-Many stretches of text are searched side by side as lanes of numpy arrays.
+block and the hash of the whole window name the pattern to test, and a direct
+comparison of bytes confirms. Many stretches of text are searched side by side as
+lanes of numpy arrays, and all their hits are confirmed in one pass.
 
-Patterns travel to the tasks in chunks of a bounded number of windows; each
-chunk is one pass over the documents, so a benchmark of any size can be used.
+Patterns travel to the tasks in chunks of a bounded number of windows, made one
+after the other; a task searches a batch of texts with one chunk after the other,
+so that neither the driver nor a task holds more than one.
 """
 
 from __future__ import annotations
@@ -17,59 +19,93 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .text import Words, mix, text_words
 
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-#: Words of text in a lane.
-LANE = 256
+#: Words of text in a lane; bytes that are compared in one pass; log2 of the entries of a jump table, at most.
+LANE, COMPARED, TABLE_BITS = 256, 16 << 20, 24
 
 
-def normalized(body: bytes | np.ndarray) -> Words:
-    buf = np.frombuffer(body, dtype=np.uint8) if isinstance(body, bytes) else body
-    return Words(buf, np.array([0, len(buf)]))
+def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[i], start[i] + 1, ... for `size[i]` places, one run behind the other."""
+    return np.arange(int(size.sum())) + np.repeat(start - np.cumsum(size) + size, size)
+
+
+def _joined(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words with one space behind each, and where each begins and ends."""
+    size = words.end - words.start
+    end = np.cumsum(size + 1) - 1
+    out = np.full(int(end[-1]) + 1 if len(end) else 0, 32, dtype=np.uint8)
+    out[_runs(end - size, size)] = words.low[_runs(words.start, size)]
+    return out, end - size, end
+
+
+def _hashes(code: np.ndarray, m: int) -> np.ndarray:
+    """Hash of the m codes from each one on."""
+    n = max(0, len(code) - m + 1)
+    run = np.zeros(n, dtype=np.uint64)
+    for i in range(m):
+        run = run * np.uint64(0xD6E8FEB86659FD93) + code[i : n + i]
+    return mix(run)
 
 
 class WuManber:
-    """Search machine for patterns of `m` words each.
+    """Search machine for the distinct windows of `m` words each of some items.
 
-    patterns: the words of a pattern, joined by single spaces, to its items.
+    words: of the items, item by item; item: number of each one; windows of another
+    length than m, of items that are too short, are other machines' business.
     """
 
-    def __init__(self, patterns: dict[bytes, list[str]], m: int):
+    def __init__(self, words: Words, item: np.ndarray, m: int):
         self.m, self.block = m, min(2, m)
-        self.texts = list(patterns)
-        self.items = [patterns[t] for t in self.texts]
-        joined = b"\n".join(self.texts)
-        # the words' hashes, pattern by pattern
-        code = normalized(joined).code.reshape(len(self.texts), m) if self.texts else np.zeros((0, m), np.uint64)
-        blocks = self._blocks(code)
-        self.bits = max(12, int(len(self.texts) * m * 8).bit_length())
-        self.shift = np.full(1 << self.bits, m - self.block + 1, dtype=np.int16)
-        for i in range(blocks.shape[1]):
-            np.minimum.at(self.shift, self._slot(blocks[:, i]), m - self.block - i)
-        suffix = blocks[:, -1] if len(self.texts) else np.zeros(0, np.uint64)
-        order = np.argsort(suffix, kind="stable")
-        self.buckets: dict[int, list[int]] = {}
-        for i in order:
-            self.buckets.setdefault(int(suffix[i]), []).append(int(i))
-        self.suffixes = np.unique(suffix)
+        self.text, start, end = _joined(words)
+        counts = np.diff(words.first)
+        begin = _runs(words.first[:-1], np.maximum(counts - m + 1, 0))
+        who = np.repeat(item, np.maximum(counts - m + 1, 0))
+        # equal windows are one pattern: 128 bits of hashes
+        one, two = _hashes(words.code, m)[begin], _hashes(mix(words.code + np.uint64(7)), m)[begin]
+        order = np.lexsort((who, two, one))
+        begin, who, one, two = begin[order], who[order], one[order], two[order]
+        new = np.ones(len(begin), dtype=bool)
+        new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        fresh = new.copy()
+        fresh[1:] |= who[1:] != who[:-1]
+        pattern = np.cumsum(new) - 1
+        first = begin[new]
+        self.start, self.end = start[first], end[first + m - 1] if len(first) else first
+        # items of each pattern
+        self.items, self.offsets = who[fresh], np.searchsorted(pattern[fresh], np.arange(len(first) + 1))
+        blocks = self._blocks(words.code)
+        self.bits = min(TABLE_BITS, max(12, int(len(first) * m * 4).bit_length()))
+        self.shift = np.full(1 << self.bits, min(m - self.block + 1, 127), dtype=np.int8)
+        for i in range(m - self.block + 1):
+            np.minimum.at(self.shift, self._slot(blocks[first + i]), min(m - self.block - i, 127))
+        # buckets of the suffix block, in each the patterns by the hash of the whole
+        key = self._key(blocks[first + m - self.block], one[new]) if len(first) else np.zeros(0, np.uint64)
+        self.order = np.argsort(key, kind="stable")
+        self.keys = key[self.order]
 
     def _blocks(self, code: np.ndarray) -> np.ndarray:
         if self.block == 1:
             return code
-        return mix(code[..., :-1] * np.uint64(3) + code[..., 1:])
+        return mix(code[:-1] * np.uint64(3) + code[1:])
 
     def _slot(self, block: np.ndarray) -> np.ndarray:
         return (block >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def search(self, words: Words) -> Iterator[tuple[int, int]]:
+    def _key(self, suffix: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        return (suffix & np.uint64(0xFFFFFFFF00000000)) | (whole >> np.uint64(32))
+
+    def search(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """(first word, pattern) of all occurrences, in no special order."""
+        none = np.zeros(0, np.int64)
         counts = np.diff(words.first)
-        if not self.texts or len(words) < self.m:
-            return
+        if not len(self.keys) or len(words) < self.m:
+            return none, none
         block = self._blocks(words.code)  # block ending at word i + block - 1
         jump = self.shift[self._slot(block)].astype(np.int64)
         # lanes: places where a pattern's last word may stand, document by document
@@ -88,37 +124,46 @@ class WuManber:
             live = at < stop
             at, stop = at[live], stop[live]
         if not found:
-            return
-        ends = np.concatenate(found)
-        suffix = block[ends - self.block + 1]
-        slot = np.minimum(np.searchsorted(self.suffixes, suffix), len(self.suffixes) - 1)
-        known = self.suffixes[slot] == suffix
-        for end, key in zip(ends[known].tolist(), suffix[known].tolist(), strict=True):
-            start = end - self.m + 1
-            text = b" ".join(words.low[a:b].tobytes() for a, b in zip(words.start[start : end + 1], words.end[start : end + 1], strict=True))
-            for i in self.buckets[key]:
-                if self.texts[i] == text:
-                    yield start, i
-
-
-def machines(items: list[tuple[str, str | None]], window: int) -> list[WuManber]:
-    """One machine for each length of pattern that the items give."""
-    by_length: dict[int, dict[bytes, list[str]]] = {}
-    for item, text in items:
-        words = normalized((text or "").encode())
-        n = len(words)
-        if not n:
-            continue
-        m = min(window, n)
-        parts = [words.low[a:b].tobytes() for a, b in zip(words.start, words.end, strict=True)]
-        for i in range(n - m + 1):
-            who = by_length.setdefault(m, {}).setdefault(b" ".join(parts[i : i + m]), [])
-            if item not in who:
-                who.append(item)
-    return [WuManber(p, m) for m, p in sorted(by_length.items())]
-
-
-def _chunks(benchmark: DataFrame, item_col: str, text_col: str, window: int, most: int) -> Iterator[list[WuManber]]:
+            return none, none
+        begin = np.concatenate(found) - self.m + 1
+        key = self._key(block[begin + self.m - self.block], _hashes(words.code, self.m)[begin])
+        low, high = np.searchsorted(self.keys, key), np.searchsorted(self.keys, key, "right")
+        candidates = _runs(low, high - low)
+        begin, pattern = np.repeat(begin, high - low), self.order[candidates]
+        text, start, end = _joined(words)
+        a, size = start[begin], end[begin + self.m - 1] - start[begin]
+        b = self.start[pattern]
+        same = size == self.end[pattern] - b
+        begin, pattern, a, b, size = begin[same], pattern[same], a[same], b[same], size[same]
+        good = np.ones(len(begin), dtype=bool)
+        cuts = np.searchsorted(np.cumsum(size), np.arange(0, int(size.sum()), COMPARED)[1:]) if len(size) else []
+        for part in np.split(np.arange(len(begin)), cuts):
+            differ = text[_runs(a[part], size[part])] != self.text[_runs(b[part], size[part])]
+            good[part] = np.bincount(np.repeat(np.arange(len(part)), size[part])[differ], minlength=len(part)) == 0
+        return begin[good], pattern[good]
+
+    def of_items(self, row: np.ndarray, pattern: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct (row, item) of rows in which patterns occur."""
+        size = self.offsets[pattern + 1] - self.offsets[pattern]
+        pair = np.unique(np.repeat(row, size) * np.int64(1 << 31) + self.items[_runs(self.offsets[pattern], size)])
+        return pair >> 31, pair & ((1 << 31) - 1)
+
+
+def machines(items: list[tuple[str, str | None]], window: int) -> tuple[np.ndarray, list[WuManber]]:
+    """The items' names, and one machine for each length of pattern that they give."""
+    names = np.array([i for i, _ in items], dtype=object)
+    body = [(t or "").encode() for _, t in items]
+    whole = Words(np.frombuffer(b"".join(body), np.uint8), np.cumsum([0, *map(len, body)]))
+    length = np.minimum(np.diff(whole.first), window)
+    out = []
+    for m in np.unique(length[length > 0]).tolist():
+        rows = np.flatnonzero(length == m)
+        part = [body[i] for i in rows]
+        out.append(WuManber(Words(np.frombuffer(b"".join(part), np.uint8), np.cumsum([0, *map(len, part)])), rows, m))
+    return names, out
+
+
+def _chunks(benchmark: DataFrame, item_col: str, text_col: str, window: int, most: int) -> Iterator[tuple[np.ndarray, list[WuManber]]]:
     """Machines of at most about `most` patterns each, in order of the items' rows."""
     items, size = [], 0
     for item, text in benchmark.select(F.col(item_col).cast("string"), F.col(text_col).cast("string")).toLocalIterator():
@@ -129,20 +174,32 @@ def _chunks(benchmark: DataFrame, item_col: str, text_col: str, window: int, mos
         if size >= most:
             yield machines(items, window)
             items, size = [], 0
-    yield machines(items, window)
+    if items:
+        yield machines(items, window)
 
 
-def _occurrences(machines_: list[WuManber], words: Words):
-    """Hit words as a mask, and the items by document."""
+def _sent(spark: SparkSession, chunks: Iterator) -> list[Broadcast]:
+    """The chunks as files of their own for the tasks; the driver keeps none of them in memory."""
+    return [spark.sparkContext.broadcast(chunk) for chunk in chunks]
+
+
+def _occurrences(chunks: list[Broadcast], words: Words) -> tuple[np.ndarray, list[set[str]], np.ndarray]:
+    """Hit words as a mask, the items of each document, and how many longest windows of it are hit."""
     hit = np.zeros(len(words) + 1, dtype=np.int64)
-    items: dict[int, set[str]] = {}
-    for machine in machines_:
-        for start, i in machine.search(words):
-            hit[start] += 1
-            hit[start + machine.m] -= 1
-            d = int(np.searchsorted(words.first, start, "right")) - 1
-            items.setdefault(d, set()).update(machine.items[i])
-    return np.cumsum(hit)[:-1] > 0, items
+    items: list[set[str]] = [set() for _ in range(len(words.first) - 1)]
+    full = np.zeros(len(items), dtype=np.int64)
+    for shared in chunks:
+        names, parts = shared.value
+        for machine in parts:
+            start, pattern = machine.search(words)
+            hit += np.bincount(start, minlength=len(hit)) - np.bincount(start + machine.m, minlength=len(hit))
+            row = np.searchsorted(words.first, start, "right") - 1
+            full = np.maximum(full, np.where(np.bincount(row, minlength=len(full)) > 0, machine.m, 0))
+            for d, i in zip(*(x.tolist() for x in machine.of_items(row, pattern)), strict=True):
+                items[d].add(names[i])
+        if len(chunks) > 1:
+            shared._value = None  # read again from its file with the next texts
+    return np.cumsum(hit)[:-1] > 0, items, full
 
 
 def digest(items: set[str]) -> str:
@@ -159,68 +216,28 @@ def benchmark_overlap(
     item_text_col: str = "text",
     window: int = 8,
     min_items: int = 2,
-    max_patterns: int = 2_000_000,
+    max_patterns: int = 500_000,
 ) -> DataFrame:
     """How much of each whole document stands in benchmark items.
 
     Returns per document its words, the words inside any occurrence of an item's
     window, the items that occur, their digest, and whether at least `min_items`
     items occur. An item of fewer words than a window, but not none, is one
-    window. Null texts have no words; items without an id are left out; a
-    repeated row is judged as often as it stands. Nothing is shuffled as long as
-    the benchmark has at most about `max_patterns` windows; a larger one takes
-    one pass for each such chunk, whose hits are then joined.
+    window. Null texts have no words; items without an id are left out, a benchmark
+    without items occurs nowhere; a repeated row is judged as often as it stands, a
+    null id stays null; no documents give no rows; other columns don't matter, and a
+    text of any length is searched as a whole. Nothing is shuffled. A chunk has at
+    most about `max_patterns` windows, some 30 bytes each and 16 MB for its table.
     """
-    parts = list(_chunks(benchmark, item_col, item_text_col, window, max_patterns))
+    spark = docs.sparkSession
+    chunks = _sent(spark, _chunks(benchmark, item_col, item_text_col, window, max_patterns))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    if len(parts) == 1:
-        return docs.mapInArrow(_judge(docs.sparkSession, parts[0], min_items), SCHEMA)
-    return _many(docs, parts, min_items)
-
-
-def item_count(
-    spark: SparkSession,
-    benchmark: DataFrame,
-    text: Column,
-    *,
-    item_col: str = "item_id",
-    item_text_col: str = "text",
-    window: int = 8,
-    max_patterns: int = 2_000_000,
-) -> Column:
-    """Number of benchmark items with a window that occurs in `text`, as a column.
-
-    Items have unique ids; null texts have none.
-    """
-    total = F.lit(0).cast("long")
-    for part in _chunks(benchmark, item_col, item_text_col, window, max_patterns):
-        total = total + _counter(spark, part)(text.cast("string"))
-    return total
-
-
-def _counter(spark: SparkSession, part: list[WuManber]):
-    shared = spark.sparkContext.broadcast(part)
-
-    @F.arrow_udf("long")
-    def count(column: pa.Array) -> pa.Array:
-        out = []
-        for a, b, words in text_words(column):
-            _, items = _occurrences(shared.value, words)
-            out += [len(items.get(d, ())) for d in range(b - a)]
-        return pa.array(out, pa.int64())
-
-    return count
-
-
-def _judge(spark: SparkSession, part: list[WuManber], min_items: int):
-    shared = spark.sparkContext.broadcast(part)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, words in text_words(batch.column(1)):
-                hit, items = _occurrences(shared.value, words)
+                hit, sets, _ = _occurrences(chunks, words)
                 total = np.concatenate([[0], np.cumsum(hit)])
-                sets = [items.get(d, set()) for d in range(b - a)]
                 columns = [
                     batch.column(0).slice(a, b - a),
                     pa.array(np.diff(words.first).astype(np.int64)),
@@ -231,53 +248,34 @@ def _judge(spark: SparkSession, part: list[WuManber], min_items: int):
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    return run
+    return docs.mapInArrow(run, SCHEMA)
 
 
-def _many(docs: DataFrame, parts: list[list[WuManber]], min_items: int) -> DataFrame:
-    """Hit words and items of every chunk, brought together by row."""
-    spark = docs.sparkSession
-    row = docs.withColumn("row", F.monotonically_increasing_id())
-
-    def judge(part):
-        shared = spark.sparkContext.broadcast(part)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for a, b, words in text_words(batch.column(1)):
-                    hit, items = _occurrences(shared.value, words)
-                    n = b - a
-                    first = words.first
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            batch.column(2).slice(a, n),
-                            batch.column(0).slice(a, n),
-                            pa.array(np.diff(first).astype(np.int64)),
-                            pa.array([np.flatnonzero(hit[first[d] : first[d + 1]]).tolist() for d in range(n)], pa.list_(pa.int64())),
-                            pa.array([sorted(items.get(d, ())) for d in range(n)], pa.list_(pa.string())),
-                        ],
-                        names=["row", "doc_id", "n_words", "hits", "items"],
-                    )
-
-        return row.mapInArrow(run, "row long, doc_id long, n_words long, hits array<long>, items array<string>")
-
-    found = judge(parts[0])
-    for part in parts[1:]:
-        found = found.unionByName(judge(part))
-    return (
-        found.groupBy("row")
-        .agg(
-            F.any_value("doc_id").alias("doc_id"),
-            F.any_value("n_words").alias("n_words"),
-            F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).cast("long").alias("n_hit"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        )
-        .select(
-            "doc_id",
-            "n_words",
-            "n_hit",
-            F.size("items").cast("long").alias("n_items"),
-            F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
-            (F.size("items") >= min_items).alias("contaminated"),
-        )
-    )
+def leaks(
+    spark: SparkSession,
+    benchmark: DataFrame,
+    text: Column,
+    *,
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    window: int = 8,
+    min_items: int = 2,
+    max_patterns: int = 500_000,
+) -> Column:
+    """Whether benchmark text leaks into `text`: as a column, for filters.
+
+    It does if any whole window of `window` words of an item occurs. A shorter item
+    is too common for that; such ones count if at least `min_items` items occur.
+    Null texts have none.
+    """
+    chunks = _sent(spark, _chunks(benchmark, item_col, item_text_col, window, max_patterns))
+
+    @F.arrow_udf("boolean")
+    def found(column: pa.Array) -> pa.Array:
+        out = []
+        for _, _, words in text_words(column):
+            _, sets, longest = _occurrences(chunks, words)
+            out += [n >= window or len(s) >= min_items for n, s in zip(longest.tolist(), sets, strict=True)]
+        return pa.array(out, pa.bool_())
+
+    return found(text.cast("string"))

@@ -336,11 +336,27 @@ def test_decontamination_equals_brute_force(spark):
     assert sum(e[3] > 0 for e in expected) >= 6
     assert sorted(map(tuple, decontam.benchmark_overlap(docs, benchmark).collect())) == expected
     assert sorted(map(tuple, decontam.benchmark_overlap(docs, benchmark, max_patterns=100).collect())) == expected
-    counts = docs.select("doc_id", decontam.item_count(spark, benchmark, F.col("text"), max_patterns=100).alias("n"))
-    assert sorted(map(tuple, counts.collect())) == [(e[0], e[3]) for e in expected]
+    leaks = docs.select("doc_id", decontam.leaks(spark, benchmark, F.col("text"), max_patterns=100).alias("n"))
+    whole = [(i, t) for i, t in items if len(alnum(t)) >= 8]
+
+    def leak(t):
+        w = alnum(t)
+        windows = {tuple(w[i : i + 8]) for i in range(len(w) - 7)}
+        return any(tuple(own[i : i + 8]) in windows for _, x in whole for own in [alnum(x)] for i in range(len(own) - 7))
+
+    texts = dict(rows)
+    assert sorted(map(tuple, leaks.collect())) == [(e[0], leak(texts[e[0]]) or e[3] >= 2) for e in expected]
     assert decontam.benchmark_overlap(docs, benchmark.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
 
 
+def test_decontamination_with_many_items_and_long_texts(spark):
+    """A benchmark of several chunks whose windows are all common, and a text of a megabyte."""
+    items = [(i, prose(7000 + i % 300, 40)) for i in range(900)]
+    rows = [(1, f"{prose(1, 150_000)} {prose(7005, 40)} {prose(2, 50)}"), (2, " ".join(prose(7000 + i, 40) for i in range(300)))]
+    found = {r["doc_id"]: r for r in decontam.benchmark_overlap(table(spark, rows), spark.createDataFrame(items, "item_id long, text string"), max_patterns=5000).collect()}
+    assert (found[1]["n_hit"], found[1]["n_items"]) == (40, 3) and (found[2]["n_hit"], found[2]["n_items"]) == (12_000, 900)
+
+
 # 8
 
 
