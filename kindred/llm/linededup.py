@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spark import checkpoint, likely
+from .spark import checkpoint, key_id, likely, row_key, split
 from .text import column_bytes, mix, powers, slices
 
 _U = np.uint64
@@ -119,11 +119,12 @@ def _slice_lines(ids: pa.Array, text: str, column: pa.Array, min_chars: int) ->
     keys = [np.where(end - start >= min_chars, key.view(np.int64), 0) for _, _, key in _block_keys(chars, start, end, 2)]
     yield pa.RecordBatch.from_arrays(
         [ids.take(pa.array(document)), pa.array(number.astype(np.int32)), _signed(h1), _signed(h2), pa.array(again), pa.array((end - start >= min_chars) & ~again), *(pa.array(k) for k in keys)],
-        names=["doc_id", "line", "h1", "h2", "again", "fuzzy", "k0", "k1", "k2", "k3"],
+        names=["doc", "line", "h1", "h2", "again", "fuzzy", "k0", "k1", "k2", "k3"],
     )
 
 
-_LINES = "doc_id long, line int, h1 long, h2 long, again boolean, fuzzy boolean, k0 long, k1 long, k2 long, k3 long"
+_DOC = "doc struct<n: boolean, id: bigint, t: bigint>"
+_LINES = f"{_DOC}, line int, h1 long, h2 long, again boolean, fuzzy boolean, k0 long, k1 long, k2 long, k3 long"
 
 
 def _eighths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +140,7 @@ def _eighths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = len(texts)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(np.full(n, longer, np.int32)), pa.array(np.full(n, i, np.int32)), _signed(key)],
-                names=["doc_id", "line", "longer", "block", "key"],
+                names=["doc", "line", "longer", "block", "key"],
             )
 
 
@@ -174,74 +175,106 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.array(np.concatenate([row, whole]))
         yield pa.RecordBatch.from_arrays(
             [doc.take(rows), line.take(rows), pa.array(np.concatenate([kind, np.full(len(whole), 2)]).astype(np.int32)), _signed(np.concatenate([key, own]))],
-            names=["doc_id", "line", "kind", "key"],
+            names=["doc", "line", "kind", "key"],
         )
 
 
-def duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20) -> DataFrame:
-    """(doc_id, line) of every line that an earlier one makes superfluous.
+def _edit(a: str, b: str) -> bool:
+    """Whether at most one edit makes a to b: they agree up to some place, and behind it."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) - len(a) > 1:
+        return False
+    x, y = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (a, b))
+    differ = np.flatnonzero(x != y[: len(x)])
+    at = int(differ[0]) if len(differ) else len(x)
+    return a[at + (len(a) == len(b)) :] == b[at + 1 :]
 
-    Lines are what line feeds separate, numbered from 0; earlier means a smaller
-    (doc_id, line). A line goes if an earlier line of the table equals it, or, for
-    lines of at least `min_chars` characters, is within one edit of it. Blank lines
-    stay. Null texts have no lines. A null id comes after all others. Rows that
-    share an id are versions of one document: a line that they have in common at
-    the same place is one line.
-    """
-    last = F.lit((1 << 63) - 1)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), last).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines within one edit of another."""
+    for batch in batches:
+        good = [_edit(a, b) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        yield batch.select(["doc", "line"]).filter(pa.array(good, pa.bool_()))
+
+
+def _marked(rows: DataFrame, min_chars: int) -> DataFrame:
+    """(doc, line) of every line that an earlier one makes superfluous; rows: (doc, text)."""
     lines = rows.mapInArrow(lambda batches: _lines(batches, min_chars), _LINES)
     lines = checkpoint(lines)
     once = lines.where(~F.col("again"))
     # the first document of equal lines; within a document `again` has marked the others
-    first = once.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    first = once.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.count("*").alias("n"))
     # cut off, so that the join has an exchange on both sides and Spark can split a line that is everywhere
     repeated = checkpoint(first.where("n > 1"))
-    several = once.select("doc_id", "line", "h1", "h2").join(repeated, ["h1", "h2"]).where(F.col("doc_id") != F.col("first"))
-    equal = lines.where("again").select("doc_id", "line").union(several.select("doc_id", "line"))
+    several = once.select("doc", "line", "h1", "h2").join(repeated, ["h1", "h2"]).where(F.col("doc") != F.col("first"))
+    equal = lines.where("again").select("doc", "line").union(several.select("doc", "line"))
     equal = checkpoint(equal.distinct())
-    fuzzy = once.where("fuzzy").select("doc_id", "line", "k0", "k1", "k2", "k3").join(equal, ["doc_id", "line"], "left_anti")
-    keys = fuzzy.select("doc_id", "line", F.explode(F.array("k0", "k1", "k2", "k3")).alias("key"))
+    fuzzy = once.where("fuzzy").select("doc", "line", "k0", "k1", "k2", "k3").join(equal, ["doc", "line"], "left_anti")
+    keys = fuzzy.select("doc", "line", F.explode(F.array("k0", "k1", "k2", "k3")).alias("key"))
     met = _meeting(keys)
-    near = keys.join(met, "key", "left_semi").select("doc_id", "line").distinct()
-    near = checkpoint(near.groupBy("doc_id").agg(F.collect_list("line").alias("lines")))
-    texts = likely(rows, near, "doc_id").join(near, "doc_id").select("doc_id", F.explode("lines").alias("line"), F.get(F.split("text", "\n"), F.col("line")).alias("text")).where("text is not null")
-    texts = checkpoint(texts.distinct())
-    eighths = texts.mapInArrow(_eighths, "doc_id long, line int, longer int, block int, key long")
-    hits = eighths.join(_meeting(eighths.select("doc_id", "line", "key")), "key", "left_semi").select("doc_id", "line", "longer", "block")
-    variants = texts.join(hits, ["doc_id", "line"]).select("doc_id", "line", "text", "longer", "block").mapInArrow(_variants, "doc_id long, line int, kind int, key long")
+    near = keys.join(met, "key", "left_semi").select("doc", "line").distinct()
+    near = checkpoint(near.groupBy("doc").agg(F.collect_list("line").alias("lines")))
+    texts = likely(rows, near, "doc").join(near, "doc").select("doc", F.explode("lines").alias("line"), F.get(F.split("text", "\n"), F.col("line")).alias("text")).where("text is not null")
+    texts = checkpoint(texts.dropDuplicates(["doc", "line"]))
+    eighths = texts.mapInArrow(_eighths, f"{_DOC}, line int, longer int, block int, key long")
+    hits = eighths.join(_meeting(eighths.select("doc", "line", "key")), "key", "left_semi").select("doc", "line", "longer", "block")
+    variants = texts.join(hits, ["doc", "line"]).select("doc", "line", "text", "longer", "block").mapInArrow(_variants, f"{_DOC}, line int, kind int, key long")
     variants = checkpoint(variants)
-    place = F.struct("doc_id", "line")
+    place = F.struct("doc", "line")
     least = lambda kind: F.min(F.when(F.col("kind") == kind, place))
     groups = variants.groupBy("key").agg(least(0).alias("m0"), least(1).alias("m1"), least(2).alias("m2"), F.count("*").alias("n")).where("n > 1")
     other = F.when(F.col("kind") == 0, F.col("m0")).when(F.col("kind") == 1, F.col("m2")).otherwise(F.col("m1"))
-    pairs = variants.join(groups, "key").select("doc_id", "line", other.alias("o")).where(F.col("o") < place)
-    pairs = pairs.select("doc_id", "line", F.col("o.doc_id").alias("other"), F.col("o.line").alias("other_line")).distinct()
-    one = texts.select(F.col("doc_id").alias("other"), F.col("line").alias("other_line"), F.col("text").alias("other_text"))
-    verified = pairs.join(texts, ["doc_id", "line"]).join(one, ["other", "other_line"]).where(F.levenshtein("text", "other_text", 1).between(0, 1))
-    found = equal.union(verified.select("doc_id", "line")).distinct()
-    return found.select(F.when(F.col("doc_id") != last, F.col("doc_id")).alias("doc_id"), "line")
+    pairs = variants.join(groups, "key").select("doc", "line", other.alias("o")).where(F.col("o") < place)
+    pairs = pairs.select("doc", "line", F.col("o.doc").alias("other"), F.col("o.line").alias("other_line")).distinct()
+    one = texts.select(F.col("doc").alias("other"), F.col("line").alias("other_line"), F.col("text").alias("other_text"))
+    both = pairs.join(texts, ["doc", "line"]).join(one, ["other", "other_line"]).select("doc", "line", "text", "other_text")
+    return equal.union(both.mapInArrow(_verified, f"{_DOC}, line int")).distinct()
 
 
 def _meeting(keys: DataFrame) -> DataFrame:
     """Keys that more than one line has."""
-    place = F.xxhash64("doc_id", "line")
+    place = F.xxhash64("doc", "line")
     return keys.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("key")
 
 
-def by_document(lines: DataFrame) -> DataFrame:
-    """(doc_id, dropped): the dropped lines of each document in order."""
-    return lines.groupBy("doc_id").agg(F.array_sort(F.collect_list("line")).alias("dropped"))
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(row_key(id_col, text_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
+
+
+def _by_row(lines: DataFrame) -> DataFrame:
+    """(doc, dropped): the dropped lines of each row in order."""
+    return lines.groupBy("doc").agg(F.array_sort(F.collect_list("line")).alias("dropped"))
+
+
+def duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20) -> DataFrame:
+    """(doc_id, text_key, line) of every line that an earlier one makes superfluous.
+
+    Lines are what line feeds separate, numbered from 0; earlier means a smaller
+    (row, line). Rows are in order of their id, null ids last; of rows with one id, or
+    none, the order is that of text_key, 60 bits of the text's MD5 hash. Each such row
+    stands for itself; rows with equal id and text are one, with the same lines. A line
+    goes if an earlier line of the table equals it, or, for lines of at least
+    `min_chars` characters, is within one edit of it. Blank lines stay. Null and empty
+    texts and empty tables have no such lines, a line or text may have any length, and
+    other columns don't matter.
+    """
+    found = _marked(_rows(docs, id_col, text_col), min_chars)
+    return found.select(key_id("doc").alias("doc_id"), F.col("doc.t").alias("text_key"), "line")
 
 
 def line_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20) -> DataFrame:
-    """Per document: its lines, how many go, and which, comma-joined."""
-    dropped = by_document(duplicate_lines(docs, id_col=id_col, text_col=text_col, min_chars=min_chars)).withColumnRenamed("doc_id", "id")
+    """Per row: its lines, how many go, and which, comma-joined.
+
+    Rows as for `duplicate_lines`; a null text has no lines, a repeated row the same
+    report as often as it stands, and an empty table gives no rows.
+    """
+    dropped = _by_row(_marked(_rows(docs, id_col, text_col), min_chars))
     text = F.col(text_col).cast("string")
-    sizes = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).alias("lines"))
-    sizes = sizes.select("doc_id", F.when(F.col("lines") < 0, 0).otherwise(F.col("lines")).cast("long").alias("n_lines"))
-    return sizes.join(dropped, F.col("doc_id").eqNullSafe(F.col("id")), "left").select(
-        "doc_id",
+    sizes = docs.select(row_key(id_col, text_col).alias("doc"), F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).alias("lines"))
+    sizes = sizes.select("doc", F.when(F.col("lines") < 0, 0).otherwise(F.col("lines")).cast("long").alias("n_lines"))
+    return sizes.join(dropped, "doc", "left").select(
+        key_id("doc").alias("doc_id"),
         "n_lines",
         F.coalesce(F.size(F.coalesce("dropped", F.array().cast("array<int>"))), F.lit(0)).cast("long").alias("n_dropped"),
         F.coalesce(F.array_join(F.col("dropped").cast("array<string>"), ","), F.lit("")).alias("dropped_lines"),
@@ -249,14 +282,14 @@ def line_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 def drop_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20) -> DataFrame:
-    """`docs` without its duplicate lines, all columns kept.
+    """`docs` without its duplicate lines, all columns kept; rows as for `duplicate_lines`.
 
-    Texts that lose no line stay as they are. A document all of whose lines go is
-    left with an empty text.
+    Texts that lose no line stay as they are, and aren't shuffled. A document all of
+    whose lines go is left with an empty text.
     """
-    dropped = by_document(duplicate_lines(docs, id_col=id_col, text_col=text_col, min_chars=min_chars))
-    dropped = dropped.select(F.col("doc_id").alias("__id"), F.col("dropped").alias("__dropped"))
-    joined = docs.join(dropped, docs[id_col].cast("long").eqNullSafe(F.col("__id")), "left")
+    dropped = checkpoint(_by_row(_marked(_rows(docs, id_col, text_col), min_chars)).select(F.col("doc").alias("__doc"), F.col("dropped").alias("__dropped")))
+    some, others = split(docs.withColumn("__doc", row_key(id_col, text_col)), dropped, "__doc")
+    joined = some.join(dropped, "__doc", "left")
     kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(F.col("__dropped"), i)), "\n")
     text = F.when(F.col("__dropped").isNull(), F.col(text_col)).otherwise(kept)
-    return joined.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    return joined.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns)).unionByName(others.select(*docs.columns))

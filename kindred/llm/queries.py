@@ -134,10 +134,12 @@ SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(n_copies, 1) AS
 FROM doc LEFT JOIN sig USING (r) LEFT JOIN class USING (s) LEFT JOIN root USING (s) LEFT JOIN degree USING (s)"""
 
 _OP9 = r"""
-WITH parts AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents),
-l AS (SELECT doc_id, i AS line, p[i + 1] AS x FROM (SELECT doc_id, p, unnest(range(0, len(p))) AS i FROM parts)),
+WITH parts AS (
+  SELECT row(doc_id IS NULL, coalesce(doc_id, 0), coalesce(CAST('0x' || left(md5(text), 15) AS BIGINT), -1)) AS doc,
+    doc_id, string_split(text, chr(10)) AS p FROM documents),
+l AS (SELECT doc, i AS line, p[i + 1] AS x FROM (SELECT doc, p, unnest(range(0, len(p))) AS i FROM (SELECT DISTINCT doc, p FROM parts))),
 dark AS (SELECT * FROM l WHERE regexp_matches(x, '[^\x09-\x0D\x20\xA0]')),
-d AS (SELECT x, min(row(doc_id, line)) AS first FROM dark GROUP BY x),
+d AS (SELECT x, min(row(doc, line)) AS first FROM dark GROUP BY x),
 f AS (SELECT x, first, length(x) AS n FROM d WHERE length(x) >= 20),
 k AS (
   SELECT x, first, n, unnest([n || '|0|' || left(x, n // 2), n || '|1|' || right(x, n - n // 2),
@@ -147,11 +149,11 @@ s AS (SELECT first, CASE WHEN n <= m THEN x ELSE y END AS s, CASE WHEN n <= m TH
 e AS (SELECT first, s, t, coalesce(list_min(list_filter(range(1, length(s) + 1), lambda i: substr(s, i, 1) <> substr(t, i, 1))), length(s) + 1) AS p FROM s),
 near AS (SELECT DISTINCT first FROM e WHERE substr(t, p + 1) = CASE WHEN length(s) = length(t) THEN substr(s, p + 1) ELSE substr(s, p) END),
 gone AS (
-  SELECT doc_id, line FROM dark JOIN d USING (x) WHERE row(doc_id, line) > d.first
-  UNION SELECT first.doc_id, first.line FROM (SELECT {'doc_id': first[1], 'line': first[2]} AS first FROM near)),
-by_doc AS (SELECT doc_id, count(*) AS n, string_agg(line, ',' ORDER BY line) AS dropped FROM gone GROUP BY doc_id)
+  SELECT doc, line FROM dark JOIN d USING (x) WHERE row(doc, line) > d.first
+  UNION SELECT first[1] AS doc, first[2] AS line FROM near),
+by_doc AS (SELECT doc, count(*) AS n, string_agg(line, ',' ORDER BY line) AS dropped FROM gone GROUP BY doc)
 SELECT doc_id, CAST(coalesce(len(p), 0) AS BIGINT) AS n_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_dropped, coalesce(dropped, '') AS dropped_lines
-FROM parts LEFT JOIN by_doc USING (doc_id)"""
+FROM parts LEFT JOIN by_doc USING (doc)"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,18 +7,23 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: that of spark.checkpoint.dir.
 
-    Only where it is unset, as in tests on one machine, a temporary one is used.
+    Only where it is unset and all runs on one machine, as in tests, a temporary one is used.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
@@ -90,18 +95,45 @@ def components(edges: DataFrame) -> DataFrame:
     return out
 
 
-def likely(docs: DataFrame, wanted: DataFrame, id_col: str) -> DataFrame:
-    """Rows of `docs` whose id may be among those of `wanted`: all that are, and a few more.
+def row_key(id_col: str, text_col: str) -> Column:
+    """What tells rows apart, in order: by id, nulls last, and rows of one id by a hash of their text.
 
-    A bitmap of 2**23 hashed ids, 1 MB for any input, is broadcast, so that an exact
-    join behind it shuffles few other rows.
+    Rows with the same id and the same text have the same key.
     """
-    bits = 1 << 23
-    number = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(bits))
-    place = wanted.select(number(id_col).alias("bit"))
+    number, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    own = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+    return F.struct(number.isNull().alias("n"), F.coalesce(number, F.lit(0)).alias("id"), F.coalesce(own, F.lit(-1)).alias("t"))
+
+
+def key_id(key: str) -> Column:
+    """The id in a row's key."""
+    return F.when(~F.col(f"{key}.n"), F.col(f"{key}.id"))
+
+
+def flagged(docs: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+    """`docs` with `__likely`: true for all rows whose `column` is among those of `wanted`, and a few more.
+
+    A bitmap of hashes is broadcast, 16 bits for each wanted value up to 2**27 bits, 16 MB,
+    so that an exact join behind it shuffles few other rows. With very many more
+    wanted values it lets more rows pass, which costs time only.
+    """
+    bits = 1 << min(27, max(16, (16 * wanted.count()).bit_length()))
+    number = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(bits))
+    place = wanted.select(number(column).alias("bit"))
     bitmap = place.groupBy(F.bitmap_bucket_number("bit").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("__bitmap"))
-    joined = docs.withColumn("__bit", number(id_col)).join(F.broadcast(bitmap), F.bitmap_bucket_number("__bit") == F.col("__bucket"))
+    joined = docs.withColumn("__bit", number(column)).join(F.broadcast(bitmap), F.bitmap_bucket_number("__bit") == F.col("__bucket"), "left")
     at = F.bitmap_bit_position("__bit")
     byte = F.conv(F.hex(F.expr("substring(__bitmap, cast(bitmap_bit_position(__bit) div 8 as int) + 1, 1)")), 16, 10).cast("int")
     mask = F.pow(F.lit(2), F.pmod(at, F.lit(8))).cast("int")
-    return joined.where(byte.bitwiseAND(mask) != 0).select(*docs.columns)
+    return joined.select(*docs.columns, F.coalesce(byte.bitwiseAND(mask) != 0, F.lit(False)).alias("__likely"))
+
+
+def likely(docs: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+    """Rows of `docs` whose `column` may be among those of `wanted`: all that are, and a few more."""
+    return flagged(docs, wanted, column).where("__likely").drop("__likely")
+
+
+def split(docs: DataFrame, wanted: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of `docs` as for `likely`, and all the others."""
+    both = flagged(docs, wanted, column)
+    return both.where("__likely").drop("__likely"), both.where("not __likely").drop("__likely")

@@ -383,6 +383,13 @@ def levenshtein(a, b):
     return row[-1]
 
 
+def test_one_edit():
+    rng = random.Random(5)
+    for _ in range(3000):
+        a, b = ("".join(rng.choice("ab") for _ in range(rng.randint(0, 5))) for _ in range(2))
+        assert linededup._edit(a, b) == (levenshtein(a, b) <= 1), (a, b)
+
+
 def test_line_dedup_equals_brute_force(spark):
     rng = random.Random(3)
     lines = [prose(400 + i, rng.randint(1, 12)) for i in range(40)] + ["é" * 25, "short", "", "  ", "a" * 30, "ab" * 20]
@@ -411,6 +418,22 @@ def test_line_dedup_equals_brute_force(spark):
         assert r["text"] == (None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[r["doc_id"]]))
 
 
+def test_line_dedup_goes_by_row(spark):
+    """Rows without an id or with a repeated one stand for themselves; no id stands for another."""
+    dup, most = "a line that many rows have", (1 << 63) - 1
+    rows = [(None, dup), (None, "a line of no other row at all"), (5, dup), (5, "one more line of a single row"), (most, f"{dup}\nthe line of the greatest id"), (most, "yet another line of that id"), (7, "twice the same line\nof a row"), (7, "twice the same line\nof a row")]
+    docs = table(spark, rows)
+    left = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["text"]) for r in linededup.drop_lines(docs).collect())
+    assert left == sorted([(-1, ""), (-1, rows[1][1]), (5, dup), (5, rows[3][1]), (most, "the line of the greatest id"), (most, rows[5][1]), (7, rows[6][1]), (7, rows[6][1])])
+    report = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_lines"], r["dropped_lines"]) for r in linededup.line_report(docs).collect())
+    assert report == sorted([(-1, 1, "0"), (-1, 1, ""), (5, 1, ""), (5, 1, ""), (most, 2, "0"), (most, 1, ""), (7, 2, ""), (7, 2, "")])
+    found = linededup.duplicate_lines(docs).collect()
+    assert sorted((r["doc_id"] or 0, r["line"]) for r in found) == [(0, 0), (most, 0)]
+    long = "x" * 1_000_000
+    found = linededup.line_report(table(spark, [(1, long + "a"), (2, long + "b\nshort"), (3, "short")])).collect()
+    assert sorted((r["doc_id"], r["dropped_lines"]) for r in found) == [(1, ""), (2, "0"), (3, "0")]
+
+
 # 10
 
 
