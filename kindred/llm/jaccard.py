@@ -16,16 +16,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spark import checkpoint, components, likely
+from .spark import checkpoint, components, key_id, likely, row_key, split
 from .text import Words, column_bytes, mix, slices
 
 #: A chance of 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.9996 for a pair of similarity 0.8.
 BANDS, ROWS = 20, 5
-#: Texts in a block of a large cluster, and bytes of sets in a task.
-BLOCK, TASK_BYTES = 1024, 16 << 20
+#: Texts and bytes of sets in a block of a large cluster, and bytes of small clusters in a task.
+BLOCK, BLOCK_BYTES, TASK_BYTES = 1024, 8 << 20, 16 << 20
+_DOC = "doc struct<n: boolean, id: bigint, t: bigint>"
 _DOCUMENTS = 4096
 
 
@@ -83,7 +84,7 @@ def _signatures(n: int):
                         pa.array(size[there].astype(np.int64)),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, k * BANDS + 1, BANDS, dtype=np.int32)), pa.array(np.ascontiguousarray(bands.T).view(np.int64).ravel())),
                     ],
-                    names=["doc_id", "s1", "s2", "size", "bands"],
+                    names=["doc", "s1", "s2", "size", "bands"],
                 )
 
     return run
@@ -168,6 +169,27 @@ def _compare(threshold: float):
     return run
 
 
+def _classes(rows: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(doc, root, n_copies, n_links) of each row with words, root: the first row of its class; rows: (doc, text)."""
+    signed = checkpoint(rows.mapInArrow(_signatures(n), f"{_DOC}, s1 long, s2 long, size long, bands array<long>"))
+    classes = checkpoint(signed.groupBy("s1", "s2").agg(F.min("doc").alias("rep"), F.count("*").alias("n_copies"), F.max("size").alias("size")))
+    # in graphs a class goes by the first half of its hash
+    one = signed.join(classes.select("s1", F.col("rep").alias("doc")), ["s1", "doc"], "left_semi").dropDuplicates(["s1"]).select("s1", F.explode("bands").alias("band"))
+    bands = checkpoint(one.groupBy("band").agg(F.min("s1").alias("a"), F.max("s1").alias("z")).where("a <> z").select("band", "a"))
+    edges = one.join(bands, "band").where("s1 <> a").select("a", F.col("s1").alias("b"))
+    clusters = components(edges)
+    links = checkpoint(_verified(rows, classes, clusters, n, threshold))
+    degree = links.groupBy("node").agg(F.sum("links").alias("n_links"))
+    joined = components(links.select(F.col("node").alias("a"), F.col("peer").alias("b")))
+    reps = joined.join(classes, joined["id"] == classes["s1"]).groupBy("root").agg(F.min("rep").alias("first"))
+    linked = joined.join(reps, "root").join(degree, F.col("id") == F.col("node")).select(F.col("id").alias("s1"), "first", "n_links")
+    several = classes.join(linked, "s1", "left").where("n_copies > 1 or first is not null")
+    several = checkpoint(several.select("s1", "s2", F.coalesce("first", "rep").alias("root"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    return signed.select("doc", "s1", "s2").join(several, ["s1", "s2"], "left").select(
+        "doc", F.coalesce("root", "doc").alias("root"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+    )
+
+
 def similarity_classes(
     docs: DataFrame,
     *,
@@ -176,48 +198,48 @@ def similarity_classes(
     n: int = 5,
     threshold: float = 0.8,
 ) -> DataFrame:
-    """(doc_id, class_id, n_copies, n_links) of each document.
+    """(doc_id, class_id, n_copies, n_links) of each row.
 
     Two texts are linked if their sets of word n-grams have a Jaccard similarity of
-    at least `threshold`; a class holds all documents that links connect, and
-    class_id is its smallest doc_id. n_copies counts the rows with this very set,
-    n_links the different sets linked to it. Words are runs of ASCII letters and
-    digits and other than ASCII characters, without case of A-Z. A text without
-    words (null, empty) is a class of its own, and so is a row with a null id, whose
-    class is null. Repeated rows count as copies.
+    at least `threshold`; a class holds all rows that links connect, and class_id is
+    the smallest doc_id of them, null if they have none. n_copies counts the rows with
+    this very set, n_links the different sets linked to it. Words are runs of ASCII
+    letters and digits and other than ASCII characters, without case of A-Z. A text of
+    fewer than n words is one n-gram. A text without words (null, empty) is a class of
+    its own, of one row and no link. Rows stand for themselves, whether their id is
+    null, repeated or neither; repeated rows count as copies. An empty table gives no
+    rows, other columns don't matter, and a text of any length counts as a whole.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    named = rows.where("doc_id is not null")
-    signed = checkpoint(named.mapInArrow(_signatures(n), "doc_id long, s1 long, s2 long, size long, bands array<long>"))
-    classes = checkpoint(signed.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")))
-    # a class goes by the first half of its hash
-    one = signed.join(classes.select("s1", F.col("rep").alias("doc_id")), ["s1", "doc_id"], "left_semi").dropDuplicates(["s1"]).select("s1", F.explode("bands").alias("band"))
-    bands = checkpoint(one.groupBy("band").agg(F.min("s1").alias("a"), F.max("s1").alias("z")).where("a <> z").select("band", "a"))
-    edges = one.join(bands, "band").where("s1 <> a").select("a", F.col("s1").alias("b"))
-    clusters = components(edges)
-    links = checkpoint(_verified(named, classes, clusters, n, threshold))
-    degree = links.groupBy("node").agg(F.sum("links").alias("n_links"))
-    joined = components(links.select(F.col("node").alias("a"), F.col("peer").alias("b")))
-    reps = joined.join(classes, joined["id"] == classes["s1"]).groupBy("root").agg(F.min("rep").alias("class_id"))
-    linked = joined.join(reps, "root").join(degree, F.col("id") == F.col("node")).select(F.col("id").alias("s1"), "class_id", "n_links")
-    several = classes.join(linked, "s1", "left").where("n_copies > 1 or class_id is not null")
-    several = checkpoint(several.select("s1", F.coalesce("class_id", "rep").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    found = signed.select("doc_id", "s1").join(several, "s1", "left").select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links")
-    )
-    empty = rows.select("doc_id", F.col("text").alias("t")).where(F.col("doc_id").isNull() | ~F.coalesce(F.col("t").rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"), F.lit(False)))
+    rows = docs.select(row_key(id_col, text_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    found = _classes(rows, n, threshold).select(key_id("doc").alias("doc_id"), key_id("root").alias("class_id"), "n_copies", "n_links")
+    empty = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t")).where(~F.coalesce(F.col("t").rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"), F.lit(False)))
     return found.union(empty.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long"), F.lit(0).cast("long")))
 
 
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8) -> DataFrame:
+    """`docs` with one row of each class of similar texts: the first by id, nulls last.
+
+    Classes as for `similarity_classes`. Of classes with rows of one id, or of none, a
+    hash of the text decides; of rows that are equal in id and text any one stays. Texts
+    without words all stay. Rows of which no other is alike aren't shuffled.
+    """
+    keyed = docs.withColumn("__doc", row_key(id_col, text_col))
+    classes = _classes(keyed.select(F.col("__doc").alias("doc"), F.col(text_col).cast("string").alias("text")), n, threshold)
+    alike = checkpoint(classes.where("n_copies > 1 or n_links > 0").select(F.col("doc").alias("__doc"), (F.col("doc") == F.col("root")).alias("__stays")).distinct())
+    some, others = split(keyed, alike, "__doc")
+    some = some.join(alike, "__doc", "left").where(F.coalesce("__stays", F.lit(True)))
+    first = some.where(F.col("__stays").isNotNull()).dropDuplicates(["__doc"])
+    return first.select(*docs.columns).unionByName(some.where("__stays is null").select(*docs.columns)).unionByName(others.select(*docs.columns))
+
+
 def _verified(named: DataFrame, classes: DataFrame, clusters: DataFrame, n: int, threshold: float) -> DataFrame:
     """(node, peer, links): links of a class in one unit of its cluster, and its root there."""
-    spark: SparkSession = named.sparkSession
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("members"))
-    placed = clusters.join(sizes, "root").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
-    placed = checkpoint(placed.join(classes.select(F.col("s1").alias("id"), "rep"), "id").select("id", "root", "rep", "blocks", "block"))
-    reps = checkpoint(placed.select(F.col("rep").alias("doc_id")).distinct())
-    wanted = likely(named, reps, "doc_id").join(reps, "doc_id").select("doc_id", "text")
+    known = clusters.join(classes.select(F.col("s1").alias("id"), "rep", "size").dropDuplicates(["id"]), "id")
+    sizes = known.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(8 * F.sum("size") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    placed = known.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
+    placed = checkpoint(placed.select("id", "root", "rep", "size", "blocks", "block"))
+    reps = checkpoint(placed.select(F.col("rep").alias("doc")).distinct())
+    wanted = likely(named, reps, "doc").join(reps, "doc").select("doc", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,9 +255,11 @@ def _verified(named: DataFrame, classes: DataFrame, clusters: DataFrame, n: int,
     member = grams.join(placed, grams["s1"] == placed["id"])
     # a unit is a pair of blocks of a cluster; each text goes to the units of its block
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    member = member.select("s1", "grams", "root", "block", other.alias("other"))
+    member = member.select("s1", "grams", "root", "blocks", "block", other.alias("other"))
     low, high = F.least("block", "other"), F.greatest("block", "other")
-    member = member.select("s1", "grams", F.xxhash64("root", low, high).alias("unit"), F.when(F.col("block") == low, 0).otherwise(1).alias("side"))
-    work = clusters.count()
-    tasks = max(8, work * 4096 // TASK_BYTES, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return member.withColumn("task", F.pmod("unit", F.lit(tasks)).cast("int")).groupBy("task").applyInArrow(_compare(threshold), "node long, peer long, links long")
+    member = member.select("s1", "grams", "blocks", F.xxhash64("root", low, high).alias("unit"), F.when(F.col("block") == low, 0).otherwise(1).alias("side"))
+    # small clusters share tasks, a unit of a large one has its own
+    work = placed.where("blocks = 1").agg(F.coalesce(F.sum("size"), F.lit(0)) * 8).first()[0]
+    tasks = max(8, work // TASK_BYTES, 4 * int(named.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    task = F.when(F.col("blocks") > 1, F.col("unit")).otherwise(F.pmod("unit", F.lit(tasks)))
+    return member.withColumn("task", task).groupBy("task").applyInArrow(_compare(threshold), "node long, peer long, links long")

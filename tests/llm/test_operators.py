@@ -78,7 +78,7 @@ def test_jaccard_join_equals_brute_force(spark):
     rows = [(100 * s + k, edited(b, [0, 0, 0.01, 0.02, 0.03, 0.05, 0.3][k], 10 * s + k)) for s, b in enumerate(base) for k in range(7)]
     rows += [(900, "a b"), (901, "A  b!"), (902, "a c"), (903, None), (None, prose(0, 120))]
     found = {r["doc_id"]: r for r in jaccard.similarity_classes(table(spark, rows)).collect()}
-    sets = {i: shingles(t) for i, t in rows if i is not None}
+    sets = {i: shingles(t) for i, t in rows}
     distinct = {s for s in sets.values() if s}
     links = {s: {o for o in distinct if o != s and len(s & o) >= 0.8 * len(s | o)} for s in distinct}
     for i, s in sets.items():
@@ -91,8 +91,17 @@ def test_jaccard_join_equals_brute_force(spark):
                 reach.add(o)
                 todo.append(o)
         assert found[i]["n_links"] == len(links[s]) and found[i]["n_copies"] == sum(x == s for x in sets.values())
-        assert found[i]["class_id"] == min(j for j, x in sets.items() if x in reach)
-    assert found[None]["class_id"] is None
+        assert found[i]["class_id"] == min(j for j, x in sets.items() if x in reach and j is not None)
+    assert found[None]["class_id"] == 0
+
+
+def test_one_row_of_each_class_stays(spark):
+    text, other, third = prose(1, 120), prose(2, 120), prose(3, 120)
+    near = text.replace(text.split()[60], "new", 1)
+    rows = [(5, text), (5, other), (9, near), (None, text), (None, third), (None, third), (8, other), (7, None), (7, None), ((1 << 63) - 1, third)]
+    left = sorted(((r["doc_id"] if r["doc_id"] is not None else -1, r["text"] or "") for r in jaccard.keep_one(table(spark, rows)).collect()))
+    assert left == sorted([(5, text), (5, other), (7, ""), (7, ""), ((1 << 63) - 1, third)])
+    assert jaccard.keep_one(table(spark, rows)).columns == table(spark, rows).columns
 
 
 def test_large_clusters_are_cut_into_blocks(spark, monkeypatch):
