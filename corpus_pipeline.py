@@ -7,7 +7,6 @@ the columns of `documents`, of what they keep.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 
 from kindred.llm import decontam, jaccard, linededup, packing, quality
 from kindred.llm.queries import tokenizer_path
+from kindred.llm.spark import shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -44,20 +44,14 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of similar ones: that with the smallest doc_id."""
-    classes = jaccard.similarity_classes(docs)
-    gone = classes.where("class_id <> doc_id").select("doc_id").distinct()
-    copies = classes.where("class_id = doc_id and n_copies > 1").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    # rows that repeat an id with the same text are copies, too
-    again = left.join(copies, "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    repeated = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return _documents(left.join(again, "doc_id", "left_anti").unionByName(repeated))
+    return _documents(jaccard.keep_one(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which fewer than two benchmark items occur."""
+    """Documents in which no whole window of a benchmark item stands, nor two items of fewer words."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _documents(docs.where(decontam.item_count(spark, benchmark, F.col("text")) < 2))
+    leak = decontam.leaks(spark, benchmark, F.col("text"))
+    return _documents(docs.where(~leak))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,9 +72,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The result of all stages on `documents`."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    folder = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    """The result of all stages on `documents`; their tables stay in the shared folder as long as Spark runs."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
