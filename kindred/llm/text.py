@@ -18,7 +18,7 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 #: Bytes of text that are handled in one numpy pass.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -65,7 +65,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     size = 1 << 16
     while size < n:
         size *= 2
-    return _tables(max(size, SLICE_BYTES * 2))
+    return _tables(SLICE_BYTES + (1 << 16) if n <= SLICE_BYTES + (1 << 16) else size)
 
 
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
