@@ -170,27 +170,91 @@ def test_recall_of_changed_passages(spark):
     assert all(a // 2 == b // 2 for a, b in found)
 
 
+def quadratic(x, y, n):
+    """Score of the best chain that ends in each segment, from all segments before it."""
+    score = []
+    for j in range(len(x)):
+        before = [score[i] - substring._GAP_COST * (x[j] - x[i] - n[i] + substring.K + y[j] - y[i] - n[i] + substring.K) for i in range(j) if x[i] + n[i] - substring.K < x[j] and y[i] + n[i] - substring.K < y[j]]
+        score.append(n[j] + max([0.0, *before]))
+    return score
+
+
 def test_chains_equal_the_quadratic_program():
     rng = np.random.default_rng(2)
-    for _ in range(60):
-        n = int(rng.integers(2, 40))
-        pairs = sorted({(int(a), int(b)) for a, b in rng.integers(0, 60, (n, 2))})
-        x, y = (np.array(c) for c in zip(*pairs, strict=True))
-        cost, k = substring._GAP_COST, substring.K
-        score = []
-        for i, (a, b) in enumerate(pairs):
-            best = max([0.0, *(score[j] - cost * (a - c + b - d) for j, (c, d) in enumerate(pairs[:i]) if c < a and d < b)])
-            score.append(k + best)
-        found = substring.chains(x, y)
-        if max(score) > k:  # the best chain of the program, up to where a gap is too wide
-            assert max(map(len, found)) >= 2 or all(abs(a - c) > substring.MAX_GAP or abs(b - d) > substring.MAX_GAP for i, (a, b) in enumerate(pairs) for c, d in pairs[:i] if c < a and d < b and score[i] > k)
-        assert sorted(i for c in found for i in c) == list(range(len(pairs)))
+    for _ in range(200):
+        m = int(rng.integers(1, 40))
+        rows = np.unique(np.column_stack([rng.integers(0, 60, (m, 2)), rng.integers(5, 9, m)]), axis=0)
+        x, y, n = (c.astype(np.int64) for c in rows.T)
+        found = substring.chains(x, y, n)
+        assert sorted(i for c in found for i in c) == list(range(len(x)))
         for c in found:
-            assert (np.diff(x[c]) > 0).all() and (np.diff(y[c]) > 0).all() and (np.diff(x[c]) <= substring.MAX_GAP).all()
-        tree = substring.Fenwick(5)
-        for i, v in enumerate([3.0, 9.0, 4.0]):
-            tree.put(i, v, i)
-        assert tree.best(1) == (3.0, 0) and tree.best(3) == (9.0, 1) and tree.best(0) == (0.0, -1)
+            assert (np.diff(x[c]) > 0).all() and (np.diff(y[c]) > 0).all() and not substring._apart(x, y, n, c).any()
+        score = quadratic(x.tolist(), y.tolist(), n.tolist())
+        cost = lambda c: n[c].sum() - substring._GAP_COST * (np.diff(x[c]) + np.diff(y[c]) - 2 * n[c[:-1]] + 2 * substring.K).sum()
+        wide = substring.MAX_GAP
+        substring.MAX_GAP = 1000  # whole chains
+        try:
+            best = max(cost(c) for c in substring.chains(x, y, n))
+        finally:
+            substring.MAX_GAP = wide
+        assert math.isclose(best, max(score))
+    tree = substring.Fenwick(5)
+    for i, v in enumerate([3.0, 9.0, 4.0]):
+        tree.put(i, v, i)
+    assert tree.best(1) == (3.0, 0) and tree.best(3) == (9.0, 1) and tree.best(0) == (0.0, -1)
+
+
+def test_segments():
+    pair, x, y = (np.array(c, np.int64) for c in zip(*[(0, i, i + 3) for i in range(4)], (0, 12, 15), (0, 8, 11), (0, 30, 2), (1, 4, 7), strict=True))
+    found = [c.tolist() for c in substring.segments(pair, x, y, np.full(len(x), 5, np.int64))]
+    assert found == [[0, 0, 1], [0, 30, 4], [3, 2, 7], [17, 5, 5]]
+
+
+def test_exact_passages_of_random_corpora(spark):
+    """Whatever repeats, each document with 50 words of another one is in a row with such words."""
+    rng = random.Random(11)
+    stock = [prose(9000 + i, rng.choice([10, 20, 30, 60])).split() for i in range(12)]
+    rows = []
+    for i in range(160):
+        words = []
+        while len(words) < 200:
+            words += rng.choice(stock) if rng.random() < 0.5 else prose(10_000 + 100 * i + len(words), rng.randint(5, 60)).split()
+        rows.append((i, " ".join(words)))
+    rows += [(500, rows[3][1]), (501, rows[3][1]), (502, "same " * 300), (503, f"{prose(1, 20)} {'same ' * 200}"), (504, "same same " + prose(2, 60))]
+    windows = defaultdict(set)
+    for i, t in rows:
+        w = t.split()
+        for a in range(len(w) - 49):
+            windows[tuple(w[a : a + 50])].add(i)
+    expected = {i for who in windows.values() if len(who) > 1 for i in who}
+    found = substring.repeated_passages(table(spark, rows), block_bytes=1 << 14).collect()
+    named = {r["doc_id"] for r in found} | {r["other_id"] for r in found}
+    assert expected <= named and len(expected) < len(rows)
+    texts = {i: t.split() for i, t in rows}
+    for r in found:
+        own, other = texts[r["doc_id"]][r["start_word"] : r["end_word"]], texts[r["other_id"]][r["other_start_word"] : r["other_end_word"]]
+        assert min(len(own), len(other)) >= 50 and r["matches"] >= 0.8 * max(len(own), len(other)) - 1e-9
+        assert dict(rows)[r["doc_id"]].encode()[r["start_byte"] : r["end_byte"]].decode().split() == own
+        assert longest_common(own, other) >= r["matches"]
+
+
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for v in a:
+        left = 0
+        for j, w in enumerate(b):
+            left, row[j], up = (row[j] + 1 if v == w else max(row[j + 1], left)), left, row[j + 1]
+        row[-1] = left
+    return row[-1]
+
+
+def test_passages_among_fragments(spark):
+    """The pair with the whole passage is found though each of its seeds stands in many other documents."""
+    passage = prose(703, 60).split()
+    rows = [(i, f"{prose(800 + i, 60)} {' '.join(passage[(i % 3) * 20 : (i % 3) * 20 + 20])} {prose(900 + i, 20)}") for i in (*range(9), *range(200, 209))]
+    rows += [(i, f"{prose(800 + i, 60)} {' '.join(passage)} {prose(900 + i, 20)}") for i in (100, 101)]
+    found = substring.repeated_passages(table(spark, rows)).collect()
+    assert {frozenset((r["doc_id"], r["other_id"])) for r in found} == {frozenset((100, 101))}
 
 
 # 3
