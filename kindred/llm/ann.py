@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .spark import Step, checkpoint
+from .spark import Step, written
 from .text import mix
 
 #: Nodes of a bucket and of a cell; the cells' partitions, at least.
@@ -340,10 +340,10 @@ def neighbour_graph(vectors: DataFrame, n_nodes: int, width: int) -> tuple[Step,
             yield pa.RecordBatch.from_arrays([pa.array(_home(batch.column(0).to_numpy(), n_buckets).astype(np.int32)), batch.column(0), batch.column(1)], names=["bucket", "id", "vector"])
 
     nodes = vectors.mapInArrow(home, "bucket int, id long, vector binary").groupBy("bucket").applyInArrow(_gather(width), _NODES)
-    nodes = checkpoint(nodes)
+    nodes = written(nodes)
     placed = vectors.mapInArrow(_assign(bits, width, parts), "id long, vector binary, part int, cell long")
     # a cell with too many vectors, as near copies make, is dealt out further
-    sizes = checkpoint(placed.groupBy("part", "cell").agg(F.count("*").alias("n")))
+    sizes = written(placed.groupBy("part", "cell").agg(F.count("*").alias("n")))
     unit = F.xxhash64("part", "cell", F.pmod(F.xxhash64("id", "part"), F.ceil(F.col("n") / (2 * CELL))))
     tasks = max(1, -(-n_nodes * parts // (8 * CELL)))
     placed = placed.join(sizes, ["part", "cell"]).select("id", "vector", unit.alias("unit")).withColumn("task", F.pmod("unit", F.lit(tasks)))
@@ -579,7 +579,7 @@ def _results(k: int):
 
 def search(graph: DataFrame, n_buckets: int, queries: DataFrame, width: int, n_queries: int, k: int, size: int = POOL) -> DataFrame:
     """(query_node, node): the k nearest nodes that a greedy search finds for each query, itself included."""
-    adjacent = checkpoint(graph.groupBy("bucket").cogroup(graph.mapInArrow(_reverse(n_buckets), _MAIL).groupBy("bucket")).applyInArrow(_both_ways, _ADJACENT))
+    adjacent = written(graph.groupBy("bucket").cogroup(graph.mapInArrow(_reverse(n_buckets), _MAIL).groupBy("bucket")).applyInArrow(_both_ways, _ADJACENT))
     tasks = max(1, -(-n_queries // 256))
     step = Step(queries.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(tasks)).cast("int")).groupBy("bucket").applyInArrow(_open_pools(width, size), _POOLS))
     searching = True
@@ -591,7 +591,7 @@ def search(graph: DataFrame, n_buckets: int, queries: DataFrame, width: int, n_q
         scored = adjacent.groupBy("bucket").cogroup(wanted.groupBy("bucket")).applyInArrow(_scores, _MAIL)
         step.set(pools.groupBy("bucket").cogroup(scored.groupBy("bucket")).applyInArrow(_take(size), _POOLS))
         searching = not step.df.where(F.expr("locate(x'01', open) > 0")).isEmpty()
-    found = checkpoint(step.df.mapInArrow(_results(k), "query_node long, node long"))
+    found = written(step.df.mapInArrow(_results(k), "query_node long, node long"))
     step.drop()
     return found
 
@@ -616,17 +616,17 @@ def nearest(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "em
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     width = lengths["n"]
     rows = rows.where(F.size("v") == width).select("id", "v", F.xxhash64("v").alias("h"))
-    rows = checkpoint(rows.groupBy("id").agg(F.min_by("v", "h").alias("v"), F.min("h").alias("h")).select("id", "v", F.xxhash64("v", F.lit(3)).alias("h2"), "h"))
+    rows = written(rows.groupBy("id").agg(F.min_by("v", "h").alias("v"), F.min("h").alias("h")).select("id", "v", F.xxhash64("v", F.lit(3)).alias("h2"), "h"))
     # equal vectors are one node, known by their smallest id
     order = Window.partitionBy("h", "h2").orderBy("id")
     first = rows.select("id", "h", "h2", F.row_number().over(order).alias("nth")).where(F.col("nth") <= k + 1)
-    node = checkpoint(rows.groupBy("h", "h2").agg(F.min("id").alias("node")))
+    node = written(rows.groupBy("h", "h2").agg(F.min("id").alias("node")))
     members = first.join(node, ["h", "h2"]).select("node", F.col("id").alias("vec_id"))
-    packed = checkpoint(_packed(rows.join(node.select(F.col("node").alias("id")), "id", "left_semi").select("id", "v")))
+    packed = written(_packed(rows.join(node.select(F.col("node").alias("id")), "id", "left_semi").select("id", "v")))
     n_nodes = packed.count()
     asking = rows.where(F.pmod("id", F.lit(every)) == 0).select("id", "h", "h2").join(node, ["h", "h2"]).select(F.col("id").alias("query_id"), "node")
-    asking = checkpoint(asking)
-    sought = checkpoint(asking.select(F.col("node").alias("id")).distinct())
+    asking = written(asking)
+    sought = written(asking.select(F.col("node").alias("id")).distinct())
     graph, n_buckets = neighbour_graph(packed, n_nodes, width)
     found = search(graph.df, n_buckets, packed.join(sought, "id", "left_semi"), width, max(1, sought.count()), 2 * k, pool_size(n_nodes))
     graph.drop()

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spark import checkpoint, components, key_id, likely, row_key, split
+from .spark import written, components, key_id, likely, row_key, split
 from .text import Words, column_bytes, mix, slices
 
 #: A chance of 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.9996 for a pair of similarity 0.8.
@@ -171,20 +171,20 @@ def _compare(threshold: float):
 
 def _classes(rows: DataFrame, n: int, threshold: float) -> DataFrame:
     """(doc, root, n_copies, n_links) of each row with words, root: the first row of its class; rows: (doc, text)."""
-    signed = checkpoint(rows.mapInArrow(_signatures(n), f"{_DOC}, s1 long, s2 long, size long, bands array<long>"))
-    classes = checkpoint(signed.groupBy("s1", "s2").agg(F.min("doc").alias("rep"), F.count("*").alias("n_copies"), F.max("size").alias("size")))
+    signed = written(rows.mapInArrow(_signatures(n), f"{_DOC}, s1 long, s2 long, size long, bands array<long>"))
+    classes = written(signed.groupBy("s1", "s2").agg(F.min("doc").alias("rep"), F.count("*").alias("n_copies"), F.max("size").alias("size")))
     # in graphs a class goes by the first half of its hash
     one = signed.join(classes.select("s1", F.col("rep").alias("doc")), ["s1", "doc"], "left_semi").dropDuplicates(["s1"]).select("s1", F.explode("bands").alias("band"))
-    bands = checkpoint(one.groupBy("band").agg(F.min("s1").alias("a"), F.max("s1").alias("z")).where("a <> z").select("band", "a"))
+    bands = written(one.groupBy("band").agg(F.min("s1").alias("a"), F.max("s1").alias("z")).where("a <> z").select("band", "a"))
     edges = one.join(bands, "band").where("s1 <> a").select("a", F.col("s1").alias("b"))
     clusters = components(edges)
-    links = checkpoint(_verified(rows, classes, clusters, n, threshold))
+    links = written(_verified(rows, classes, clusters, n, threshold))
     degree = links.groupBy("node").agg(F.sum("links").alias("n_links"))
     joined = components(links.select(F.col("node").alias("a"), F.col("peer").alias("b")))
     reps = joined.join(classes, joined["id"] == classes["s1"]).groupBy("root").agg(F.min("rep").alias("first"))
     linked = joined.join(reps, "root").join(degree, F.col("id") == F.col("node")).select(F.col("id").alias("s1"), "first", "n_links")
     several = classes.join(linked, "s1", "left").where("n_copies > 1 or first is not null")
-    several = checkpoint(several.select("s1", "s2", F.coalesce("first", "rep").alias("root"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    several = written(several.select("s1", "s2", F.coalesce("first", "rep").alias("root"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links")))
     return signed.select("doc", "s1", "s2").join(several, ["s1", "s2"], "left").select(
         "doc", F.coalesce("root", "doc").alias("root"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
@@ -225,7 +225,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """
     keyed = docs.withColumn("__doc", row_key(id_col, text_col))
     classes = _classes(keyed.select(F.col("__doc").alias("doc"), F.col(text_col).cast("string").alias("text")), n, threshold)
-    alike = checkpoint(classes.where("n_copies > 1 or n_links > 0").select(F.col("doc").alias("__doc"), (F.col("doc") == F.col("root")).alias("__stays")).distinct())
+    alike = written(classes.where("n_copies > 1 or n_links > 0").select(F.col("doc").alias("__doc"), (F.col("doc") == F.col("root")).alias("__stays")).distinct())
     some, others = split(keyed, alike, "__doc")
     some = some.join(alike, "__doc", "left").where(F.coalesce("__stays", F.lit(True)))
     first = some.where(F.col("__stays").isNotNull()).dropDuplicates(["__doc"])
@@ -237,8 +237,8 @@ def _verified(named: DataFrame, classes: DataFrame, clusters: DataFrame, n: int,
     known = clusters.join(classes.select(F.col("s1").alias("id"), "rep", "size").dropDuplicates(["id"]), "id")
     sizes = known.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(8 * F.sum("size") / BLOCK_BYTES)).cast("int").alias("blocks"))
     placed = known.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
-    placed = checkpoint(placed.select("id", "root", "rep", "size", "blocks", "block"))
-    reps = checkpoint(placed.select(F.col("rep").alias("doc")).distinct())
+    placed = written(placed.select("id", "root", "rep", "size", "blocks", "block"))
+    reps = written(placed.select(F.col("rep").alias("doc")).distinct())
     wanted = likely(named, reps, "doc").join(reps, "doc").select("doc", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spark import checkpoint, key_id, likely, row_key, split
+from .spark import written, key_id, likely, row_key, split
 from .text import column_bytes, mix, powers, slices
 
 _U = np.uint64
@@ -201,26 +201,26 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _marked(rows: DataFrame, min_chars: int) -> DataFrame:
     """(doc, line) of every line that an earlier one makes superfluous; rows: (doc, text)."""
     lines = rows.mapInArrow(lambda batches: _lines(batches, min_chars), _LINES)
-    lines = checkpoint(lines)
+    lines = written(lines)
     once = lines.where(~F.col("again"))
     # the first document of equal lines; within a document `again` has marked the others
     first = once.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.count("*").alias("n"))
     # cut off, so that the join has an exchange on both sides and Spark can split a line that is everywhere
-    repeated = checkpoint(first.where("n > 1"))
+    repeated = written(first.where("n > 1"))
     several = once.select("doc", "line", "h1", "h2").join(repeated, ["h1", "h2"]).where(F.col("doc") != F.col("first"))
     equal = lines.where("again").select("doc", "line").union(several.select("doc", "line"))
-    equal = checkpoint(equal.distinct())
+    equal = written(equal.distinct())
     fuzzy = once.where("fuzzy").select("doc", "line", "k0", "k1", "k2", "k3").join(equal, ["doc", "line"], "left_anti")
     keys = fuzzy.select("doc", "line", F.explode(F.array("k0", "k1", "k2", "k3")).alias("key"))
     met = _meeting(keys)
     near = keys.join(met, "key", "left_semi").select("doc", "line").distinct()
-    near = checkpoint(near.groupBy("doc").agg(F.collect_list("line").alias("lines")))
+    near = written(near.groupBy("doc").agg(F.collect_list("line").alias("lines")))
     texts = likely(rows, near, "doc").join(near, "doc").select("doc", F.explode("lines").alias("line"), F.get(F.split("text", "\n"), F.col("line")).alias("text")).where("text is not null")
-    texts = checkpoint(texts.dropDuplicates(["doc", "line"]))
+    texts = written(texts.dropDuplicates(["doc", "line"]))
     eighths = texts.mapInArrow(_eighths, f"{_DOC}, line int, longer int, block int, key long")
     hits = eighths.join(_meeting(eighths.select("doc", "line", "key")), "key", "left_semi").select("doc", "line", "longer", "block")
     variants = texts.join(hits, ["doc", "line"]).select("doc", "line", "text", "longer", "block").mapInArrow(_variants, f"{_DOC}, line int, kind int, key long")
-    variants = checkpoint(variants)
+    variants = written(variants)
     place = F.struct("doc", "line")
     least = lambda kind: F.min(F.when(F.col("kind") == kind, place))
     groups = variants.groupBy("key").agg(least(0).alias("m0"), least(1).alias("m1"), least(2).alias("m2"), F.count("*").alias("n")).where("n > 1")
@@ -287,7 +287,7 @@ def drop_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     Texts that lose no line stay as they are, and aren't shuffled. A document all of
     whose lines go is left with an empty text.
     """
-    dropped = checkpoint(_by_row(_marked(_rows(docs, id_col, text_col), min_chars)).select(F.col("doc").alias("__doc"), F.col("dropped").alias("__dropped")))
+    dropped = written(_by_row(_marked(_rows(docs, id_col, text_col), min_chars)).select(F.col("doc").alias("__doc"), F.col("dropped").alias("__dropped")))
     some, others = split(docs.withColumn("__doc", row_key(id_col, text_col)), dropped, "__doc")
     joined = some.join(dropped, "__doc", "left")
     kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(F.col("__dropped"), i)), "\n")

@@ -28,10 +28,18 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """`df`, computed and kept in the shared folder; Spark deletes it when nothing uses it any more."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """`df` as a table in the shared folder, there as long as the driver's Python runs.
+
+    Unlike a checkpoint, for which Spark computes the last stage twice, a table is
+    computed once, and its size is known to the plans that read it.
+    """
+    return Step(df).df
 
 
 def release(spark: SparkSession) -> None:
@@ -41,12 +49,7 @@ def release(spark: SparkSession) -> None:
 
 
 class Step:
-    """The state of a loop, as a table in the shared folder.
-
-    Unlike a checkpoint, a table's size estimate comes from its files. An estimate
-    that is carried on from round to round is a product of products, and soon
-    takes longer to compute than the data. A new state replaces the last one.
-    """
+    """A table in the shared folder that can be replaced, as the state of a loop, or dropped once nothing reads it any more."""
 
     def __init__(self, df: DataFrame):
         self._spark, self._path, self.df = df.sparkSession, None, df
@@ -56,22 +59,18 @@ class Step:
     def set(self, df: DataFrame) -> None:
         path = f"{shared_folder(self._spark)}/step-{uuid.uuid4().hex}"
         df.write.parquet(path)
-        self._delete()
-        self._path = path
+        last, self._path = self._path, path
+        if last is not None:
+            _delete(self._spark, last)
         self.df = self._spark.read.schema(df.schema).parquet(path)
 
     def drop(self) -> None:
-        """Delete the table, once nothing reads it any more."""
         with contextlib.suppress(Exception):  # Spark may have ended before
-            self._delete()
+            if self._path is not None:
+                _delete(self._spark, self._path)
+        self._path = None
         atexit.unregister(self.drop)
 
-    def _delete(self) -> None:
-        if self._path is not None:
-            path = self._spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._path)
-            path.getFileSystem(self._spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-            self._path = None
-
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) of every id in `edges` (a long, b long); root is the smallest id reachable.
@@ -86,7 +85,7 @@ def components(edges: DataFrame) -> DataFrame:
         tree = step.df
         both = tree.union(tree.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # cut off, so that the join has an exchange on both sides and Spark can split a node with very many neighbours
-        least = checkpoint(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
+        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
@@ -97,7 +96,7 @@ def components(edges: DataFrame) -> DataFrame:
         flat = n == ids and inner == 0
     tree = step.df
     out = tree.select(F.col("a").alias("id"), F.col("b").alias("root")).union(tree.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
-    out = checkpoint(out)
+    out = written(out)
     step.drop()
     return out
 
