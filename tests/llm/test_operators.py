@@ -323,6 +323,64 @@ def test_lm_base_equals_brute_force(spark):
         assert r["score"] < 0
 
 
+def test_lm_score_equals_a_plain_tree(spark):
+    """The tree from its definition, in dictionaries, on texts that repeat words, pairs and passages."""
+    rng, vocabulary = random.Random(9), prose(5, 40).split()
+    passage = [rng.choice(vocabulary) for _ in range(30)]
+    texts = [[*(rng.choice(vocabulary) for _ in range(rng.randint(0, 40))), *(passage[: rng.randint(0, 30)] if i % 3 == 0 else [])] for i in range(120)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)] + [(200, "unseen " + "x" * 3000 + " words"), (201, None)]
+    spelling = suffixlm.fit_spelling(table(spark, rows))
+    found = {r["doc_id"]: r for r in suffixlm.score_texts(table(spark, rows), spelling=spelling, gain=6.0, block_bytes=2000).collect()}
+    tokens = {i: [*(t or "").split(), None] for i, t in rows}
+    train = [t for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    counts = Counter(w for t in train for w in t)
+    n, v = sum(counts.values()), len(counts)
+
+    def spelt(w):
+        if w is None:
+            return suffixlm._STOP_SHARE
+        own = np.frombuffer(w.encode() + b"\n", np.uint8)
+        return (1 - suffixlm._STOP_SHARE) * 10.0 ** float(spelling.score(own, np.array([0, len(own)]))[0])
+
+    root = lambda w: (counts[w] + v * spelt(w)) / (n + v)
+    followers = {k: defaultdict(Counter) for k in (1, 3)}
+    for t in train:
+        for k in (1, 3):
+            for i in range(k, len(t)):
+                followers[k][tuple(t[i - k : i])][t[i]] += 1
+    pairs = {(c[0], w): m for c, ws in followers[1].items() for w, m in ws.items()}
+
+    def smoothed(own, w, lower):
+        total, kinds = sum(own.values()), len(own)
+        gain = sum(m * math.log(m / total / lower(x)) for x, m in own.items())
+        return (own[w] + kinds * lower(w)) / (total + kinds) if total >= 2 and gain > 6.0 else lower(w)
+
+    def one(c, w):
+        return smoothed(followers[1][c], w, root) if counts[c[0]] >= 2 else root(w)
+
+    kept = 0
+    for i, t in tokens.items():
+        log = 0.0
+        for j, w in enumerate(t):
+            p = one((t[j - 1],), w) if j else root(w)
+            if j >= 3 and min(pairs.get((t[j - 3], t[j - 2]), 0), pairs.get((t[j - 2], t[j - 1]), 0)) >= 2:
+                longer = smoothed(followers[3][tuple(t[j - 3 : j])], w, lambda x, c=(t[j - 1],): one(c, x))
+                kept += longer != p
+                p = longer
+            log += math.log10(p) if p > 0 else float(spelling.score(np.frombuffer(w.encode() + b"\n", np.uint8), np.array([0, len(w) + 1]))[0]) + math.log10(0.99 * v / (n + v))
+        assert math.isclose(found[i]["score"], log, rel_tol=1e-3), (i, found[i]["score"], log)
+    assert kept > 100
+    # probabilities of all next tokens add up to one behind any context, but for unseen words
+    for c in list(followers[1])[:20]:
+        assert math.isclose(sum(one(c, w) for w in counts) + (1 - sum(root(w) for w in counts)) * (one(c, "zzzz") / root("zzzz")), 1, rel_tol=1e-6)
+
+
+def test_lm_beats_token_counts_on_held_out_texts(spark):
+    found = queries.op5_lm_scoring(spark, "/root/testdata/sf0.01").toPandas()
+    held = found[found.held_out]
+    assert len(held) > 50 and held.score.sum() > held.base_score.sum()
+
+
 def test_automaton_is_the_longest_kept_suffix():
     text = np.frombuffer((prose(1, 3000) + "\n").encode(), np.uint8)
     offsets = np.array([0, len(text)])
