@@ -4,7 +4,7 @@ Each class has a Gaussian over transformed statistics of whole texts. Its
 covariance is shrunk towards the pooled diagonal, which keeps it regular for
 rare classes, and its Cholesky factor is computed once and sent to the tasks. A
 score is the logistic of the difference of the Mahalanobis log-densities and
-priors. Only sums and products of statistics, of a fixed number, reach the driver.
+priors. Only means and covariances of the statistics, of a fixed number, reach the driver.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .spark import likely
 from .text import VISIBLE, Words, column_bytes, slices
 
 STATISTICS = ("length", "word_length", "capitals", "exclamations", "marks", "bars", "stops", "digits", "echoes", "variety", "lines")
@@ -91,12 +92,9 @@ class Discriminant:
     offsets: np.ndarray
 
     @classmethod
-    def fit(cls, counts: np.ndarray, sums: np.ndarray, products: np.ndarray, shrinkage: float, floor: float) -> Discriminant:
-        """From each class's count, sums and sums of products of the statistics."""
-        k = sums.shape[1]
-        n = np.maximum(counts, 1)
-        means = sums / n[:, None]
-        covariances = products / n[:, None, None] - means[:, :, None] * means[:, None, :]
+    def fit(cls, counts: np.ndarray, means: np.ndarray, covariances: np.ndarray, shrinkage: float, floor: float) -> Discriminant:
+        """From each class's count, and means and covariances of the statistics."""
+        k = means.shape[1]
         pooled = np.einsum("c,cii->i", counts, covariances) / max(counts.sum(), 1)
         factors, offsets = [], []
         for c in range(2):
@@ -141,27 +139,30 @@ def fit_quality(
 ) -> Discriminant:
     """Learn from all rows of `docs` that have a label 0 or 1.
 
-    Every labelled row counts, repeated ones as often as they stand; rows without
-    id or label are left out. A class without rows gets the pooled Gaussian, so
-    that with no labels at all every score is one half.
+    Every labelled row counts, repeated ones as often as they stand, a text of any
+    length as a whole; null texts count as empty, rows without id or label are left out,
+    other columns don't matter. A class without rows gets the pooled Gaussian, so that
+    with no labels, or no rows, at all every score is one half. Statistics are computed
+    for labelled rows only, which a bitmap of their ids finds without a shuffle of texts.
     """
-    marks = labels.select(F.col(label_id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1))
-    x = _statistics_of(docs, id_col, text_col).join(marks, "doc_id")
+    marks = labels.select(F.col(label_id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    x = _statistics_of(likely(rows, marks, "doc_id"), "doc_id", "text").join(marks, "doc_id")
     k = len(STATISTICS)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    sums = [F.sum(s).alias(f"s{i}") for i, s in enumerate(STATISTICS)]
-    products = [F.sum(F.col(STATISTICS[i]) * F.col(STATISTICS[j])).alias(f"p{i}_{j}") for i, j in pairs]
-    counts, s, p = np.zeros(2), np.zeros((2, k)), np.zeros((2, k, k))
-    for row in x.groupBy("label").agg(F.count("*").alias("n"), *sums, *products).collect():
-        c = row["label"]
-        counts[c] = row["n"]
-        s[c] = [row[f"s{i}"] for i in range(k)]
+    means = [F.avg(s).alias(f"m{i}") for i, s in enumerate(STATISTICS)]
+    covariances = [F.covar_pop(STATISTICS[i], STATISTICS[j]).alias(f"c{i}_{j}") for i, j in pairs]
+    counts, m, c = np.zeros(2), np.zeros((2, k)), np.zeros((2, k, k))
+    for row in x.groupBy("label").agg(F.count("*").alias("n"), *means, *covariances).collect():
+        own = row["label"]
+        counts[own] = row["n"]
+        m[own] = [row[f"m{i}"] for i in range(k)]
         for i, j in pairs:
-            p[c, i, j] = p[c, j, i] = row[f"p{i}_{j}"]
-    for c in range(2):
-        if not counts[c]:
-            s[c], p[c] = s[1 - c] / max(counts[1 - c], 1), p[1 - c] / max(counts[1 - c], 1)
-    return Discriminant.fit(counts, s, p, shrinkage, floor)
+            c[own, i, j] = c[own, j, i] = row[f"c{i}_{j}"]
+    for own in range(2):
+        if not counts[own]:
+            m[own], c[own] = m[1 - own], c[1 - own]
+    return Discriminant.fit(counts, m, c, shrinkage, floor)
 
 
 def quality_score(spark: SparkSession, model: Discriminant):
