@@ -13,11 +13,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Literals that go into a plan as constants, at most.
+LITERALS = 4096
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -49,6 +52,36 @@ def word_rule(word: str) -> Rule:
     return Rule(f"*{word}*", "block", rf"(?:^|[^0-9A-Za-z]){re.escape(word)}(?:[^0-9A-Za-z]|$)", (word,), listed=False)
 
 
+def read_rules(lines: Iterable[str]) -> list[Rule]:
+    """Rules of a filter list, one a line; comments (`!`) and blank lines are passed over.
+
+    `||host/path` fits a host, its subdomains and what follows; `|` at either end is the
+    begin or end of host and path; `*` stands for anything, `^` for one separator or
+    the end; a line without `||` or `|` fits anywhere. `@@` before a rule allows. Letters
+    match in either case. As of all rules, the longest one that fits decides. A rule
+    without a whole token, one that its neighbours keep from going on, can't be indexed
+    and is an error.
+    """
+    out = []
+    for line in lines:
+        text = line.strip()
+        if not text or text.startswith("!"):
+            continue
+        verdict, body = ("allow", text[2:]) if text.startswith("@@") else ("block", text)
+        begin, body = ("host", body[2:]) if body.startswith("||") else ("start", body[1:]) if body.startswith("|") else ("", body)
+        end, body = (True, body[:-1]) if body.endswith("|") else (False, body)
+        parts = re.split(r"([*^])", body)
+        regex = "".join({"*": ".*", "^": "(?:[^0-9A-Za-z._%-]|$)"}.get(p, re.escape(p)) for p in parts)
+        regex = {"host": r"^(?:[^/]*\.)?", "start": "^", "": ""}[begin] + regex + ("$" if end else "")
+        # tokens that end inside the rule; at its open ends, and beside `*`, they may go on in the URL
+        marked = ("" if begin else "*") + body.lower() + ("" if end else "*")
+        literals = tuple(t for t in re.findall(r"(?<![0-9a-z*])[0-9a-z]+(?![0-9a-z*])", marked))
+        if not literals:
+            raise ValueError(f"a rule needs a literal token: {text}")
+        out.append(Rule(text, verdict, "(?i)" + regex, literals))
+    return out
+
+
 #: Rules of the method itself, for URLs that no listed rule fits.
 OWN_RULES = tuple(word_rule(w) for w in ("spam", "casino", "porn", "xxx", "viagra", "malware", "phishing", "torrent", "warez", "adserver"))
 
@@ -93,9 +126,16 @@ def token_frequency(urls: DataFrame, rules: list[Rule], url_col: str = "url") ->
     literals = sorted({t for r in rules for t in r.literals})
     host, path = split_url(F.col(_URL))
     rows = urls.select(F.col(url_col).cast("string").alias(_URL)).select(F.concat(host, path).alias("target"))
-    found = rows.select(F.explode(tokens(F.col("target"))).alias("t"))
-    wanted = urls.sparkSession.createDataFrame([(t,) for t in literals], "t string")
-    return {r["t"]: r["count"] for r in found.join(wanted, "t", "left_semi").groupBy("t").count().collect()}
+    if not literals:
+        return {}
+    if len(literals) <= LITERALS:  # only they are counted, in the tasks that read the URLs
+        own = F.array_intersect(tokens(F.col("target")), F.array(*map(F.lit, literals)))
+        found = rows.select(F.explode(own).alias("t"))
+    else:
+        wanted = urls.sparkSession.createDataFrame([(t,) for t in literals], "t string")
+        found = rows.select(F.explode(tokens(F.col("target"))).alias("t")).groupBy("t").agg(F.count("*").alias("count")).join(wanted, "t")
+        return {r["t"]: r["count"] for r in found.collect()}
+    return {r["t"]: r["count"] for r in found.groupBy("t").count().collect()}
 
 
 def judge_urls(
@@ -113,7 +153,11 @@ def judge_urls(
     The longest listed rule that fits gives rule and verdict; equal lengths go to
     the smaller name. Where none fits, rule is null and the verdict is that of the
     method's own rules, or `default`. Null and malformed URLs have empty host and
-    path and get the default. Repeated rows are judged as often as they stand.
+    path and get the default. Repeated rows are judged as often as they stand; null
+    ids stay null; an empty table gives no rows; other columns don't matter; a URL of
+    any length is used as a whole. Up to `inline_rules` rules are constants of the plan,
+    and nothing is shuffled; more are a table that tokens are joined with. Both give
+    the same result.
     """
     every = [*rules, *own_rules]
     host, path = split_url(F.col(_URL))
