@@ -11,6 +11,7 @@ keeps only its open bins, so lost tasks are simply run again.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -72,16 +73,16 @@ class BestFit:
 def encoder(path: str):
     """Function from a text to its ids as an array, for a byte-level BPE file.
 
-    The vocabulary is that of the file. A byte-level vocabulary numbers its
-    merges in order, so ranks can be read from it for the faster encoder; that
-    both libraries give the same ids is verified on loading, else the slower one
-    that reads the file itself is used.
+    Ids are those of the file's own library with its default settings, by which the
+    contents of added tokens are these tokens. A byte-level vocabulary numbers its
+    merges in order, so ranks can be read from it for a faster encoder. It is used if
+    both give the same ids for one probe text on loading, and only for texts that
+    hold no added token's content.
     """
     import tiktoken
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(path)
-    exact.encode_special_tokens = True
 
     def slow(text: str) -> np.ndarray:
         return np.array(exact.encode(text, add_special_tokens=False).ids, dtype="<u4")
@@ -96,13 +97,16 @@ def encoder(path: str):
         special = {t.content for t in exact.get_added_tokens_decoder().values()}
         ranks = {k: v for k, v in ranks.items() if k.decode("utf-8", "replace") not in special}
         fast = tiktoken.Encoding("file", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
-        probe = "The quick, brown\n\n fox's 1234 cafés 你好 \U0001f600ß  ---!! x\t\t y <|endoftext|> Éç"
+        added = re.compile("|".join(map(re.escape, sorted(special)))) if special else None
+        probe = "The quick, brown\n\n fox's 1234 cafés 你好 \U0001f600ß  ---!! x\t\t y <|end Éç"
         if fast.encode_ordinary(probe) != slow(probe).tolist():
             return slow
     except (KeyError, ValueError):  # not a byte-level vocabulary
         return slow
 
     def quick(text: str) -> np.ndarray:
+        if added is not None and added.search(text):
+            return slow(text)
         try:
             return np.array(fast.encode_ordinary(text), dtype="<u4") if text else np.zeros(0, dtype="<u4")
         except BaseException as e:  # the encoder panics on some very long runs of one class
