@@ -105,7 +105,10 @@ def fit_languages(
 
     `sample` is the bound of this training: of a language with more rows, so many
     are taken in expectation, by a hash of the id and so evenly over the table.
-    Priors come from the counts of all rows. Null languages are left out.
+    Priors come from the counts of all rows. Null languages are left out, null texts
+    count as empty, other columns don't matter. More than MAX_LANGUAGES languages
+    are an error, as their matrix would be too large for the driver; each takes half a
+    megabyte with 16 bits. No rows, or none with a language, give a model that knows none.
     """
     named = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null")
     sizes = {r["lang"]: r["count"] for r in named.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
@@ -148,6 +151,9 @@ def predict_languages(docs: DataFrame, model: NaiveBayes, *, id_col: str = "doc_
 
     Null texts and texts without a letter are `und` with score 0, and so is every
     text if no language was learned. Equal scores go to the first language by name.
+    The score is the posterior probability, which n-grams taken as independent make
+    nearly 1 for all but short texts; it orders answers, and isn't calibrated. A text of
+    any length is used as a whole; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -273,9 +273,72 @@ def test_language_held_out_accuracy(spark):
     assert {r["lang_pred"] for r in langid.predict_languages(docs, langid.fit_languages(docs.where("lang is null"))).collect()} == {"und"}
 
 
+def test_language_scores_equal_a_plain_naive_bayes(spark):
+    rows = [(i, prose(i, 30) if i % 2 else prose(i, 30).translate(str.maketrans("abcd", "wxyz")), "ab"[i % 2]) for i in range(12)] + [(12, prose(50, 4), None), (13, "Wxé wX", "b"), (14, None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    bits = 8
+    found = {r["doc_id"]: r for r in langid.predict_languages(docs, langid.fit_languages(docs, bits=bits)).collect()}
+
+    def buckets(text):
+        """Buckets by the definition, one n-gram after the other."""
+        low = [c if c.isalpha() else " " for c in (text or "").lower()]
+        for n in (1, 2, 3):
+            for i in range(len(low) - n + 1):
+                own = low[i : i + n]
+                if any(c != " " for c in own):
+                    code = 0x9E3779B1 * n & 0xFFFFFFFF
+                    for c in own:
+                        code = (code ^ ord(c)) * 0x85EBCA6B & 0xFFFFFFFF
+                        code ^= code >> 15
+                    yield (code * 0xC2B2AE35 & 0xFFFFFFFF) >> 32 - bits
+
+    counts = {k: Counter(b for _, t, k2 in rows if k2 == k for b in buckets(t)) for k in "ab"}
+    used = len(set(counts["a"]) | set(counts["b"]))
+    for i, t, _ in rows:
+        own = list(buckets(t))
+        logs = {k: math.log(sum(r[2] == k for r in rows) / 14) + sum(math.log((c[b] + 0.5) / (sum(c.values()) + 0.5 * used)) for b in own) for k, c in counts.items()}
+        if not own:
+            assert (found[i]["lang_pred"], found[i]["score"]) == ("und", 0)
+            continue
+        best = max(logs, key=logs.get)
+        assert found[i]["lang_pred"] == best and math.isclose(found[i]["score"], 1 / sum(math.exp(x - logs[best]) for x in logs.values()), rel_tol=1e-6)
+
+
 # 4
 
 
+def test_filter_lists(spark):
+    """Some thousand rules against running every one of them."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 3)))
+    lines = ["! a comment", "", "||ads.example.com^", "@@||ads.example.com/good^", "|track.", "/banner/*/img^", "||net^*/x.gif|", "@@||Example.org/en/", "^id^"]
+    while len(lines) < 2500:
+        lines.append(rng.choice(["", "@@"]) + f"||{word()}.{word()}.{rng.choice(['com', 'net'])}^" + rng.choice(["", f"{word()}/", f"*{word()}^", f"{word()}|"]))
+    rules = urlfilter.read_rules(lines)
+    hosts = [f"{word()}.{word()}.{rng.choice(['com', 'net'])}" for _ in range(60)] + ["ads.example.com", "x.ads.example.com", "bads.example.com", "track.me", "example.org", "a.net"]
+    urls = [f"http://{h}{rng.choice(['', '/', '/' + word() + '/', '/good', '/goods', '/banner/a/img', '/en/' + word(), '/x.gif', '/q/id', '/' + word()])}" for h in hosts for _ in range(4)]
+    compiled = [(r, re.compile(r.pattern)) for r in rules]
+
+    def plain(url):
+        target = url.split("://", 1)[1]
+        fits = [r for r, p in compiled if p.search(target)]
+        best = min(fits, key=lambda r: (-len(r.name), r.name), default=None)
+        return (None, "allow") if best is None else (best.name, best.verdict)
+
+    expected = {i: plain(u) for i, u in enumerate(urls)}
+    assert 30 < sum(n is not None for n, _ in expected.values()) < len(urls)
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for inline in (0, 5000):
+        some = rules if not inline else rules[:300]
+        if inline:
+            compiled = [(r, re.compile(r.pattern)) for r in some]
+            expected = {i: plain(u) for i, u in enumerate(urls)}
+        found = {r["page_id"]: (r["rule"], r["verdict"]) for r in urlfilter.judge_urls(pages, some, (), inline_rules=inline).collect()}
+        assert found == expected
+    with pytest.raises(ValueError):
+        urlfilter.read_rules(["||*x*"])
+
+
 def test_rules_equal_a_plain_reading(spark):
     urls = ["http://example.com/en/1", "https://www.example.com/en/1", "http://a.www.EXAMPLE.com/en/", "http://example.com/EN/1", "http://net/es/x", "x://b.net/fr/?q", "http://com", "http://com/", "com/", None, "", "http://", "://a.com/x#y", "http://notexample.com/en/x", "http://evil.net/casino/x", "http://a b.com/x", "http://h.net?x=/es/", "http://u:1@example.com/en/", "http://spamalot.org/", "HTTP://X.COM/a\nb", "a://b://c.com/d"]
     pages = spark.createDataFrame([(i, u, "h", "p") for i, u in enumerate(urls)], "page_id long, url string, host string, path string")
@@ -415,7 +478,6 @@ def test_packing_is_an_exact_round_trip(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(queries.tokenizer_path())
-    tokenizer.encode_special_tokens = True
     rows = [(i, t) for i, t in ODD if i is not None][:6] + [(20, prose(4, 3000)), (21, "<|endoftext|> a"), (22, "x" * 20_000)]
     rows += [(100 + i, prose(i, 20 + i)) for i in range(100)]
     found = packing.pack_documents(table(spark, rows), queries.tokenizer_path(), max_tokens=512).toPandas()
@@ -502,6 +564,29 @@ def test_quality_held_out_accuracy(spark):
     assert np.allclose(none.score, 0.5)
 
 
+def test_quality_equals_a_plain_discriminant(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(rng.choice(["Ab", "the", "x!", "#4", "word.", "x|y", "a,b"], int(rng.integers(1, 60)), p=[0.3 - 0.2 * (i % 2), 0.3, 0.05 + 0.2 * (i % 2), 0.05, 0.1, 0.1, 0.1]))) for i in range(60)] + [(60, None), (61, "")]
+    labels = [(i, i % 2) for i in range(40)] + [(3, 1), (61, 0), (None, 1), (50, None), (99, 1)]
+    model = quality.fit_quality(table(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int"))
+    found = {r["doc_id"]: r["score"] for r in quality.score_quality(table(spark, rows), model).collect()}
+    import pyarrow as pa
+
+    x = dict(zip([i for i, _ in rows], quality.statistics(pa.array([t for _, t in rows])), strict=True))
+    own = [np.array([x[i] for i, q in labels if q == c and i in x]) for c in (0, 1)]
+    k, n = len(quality.STATISTICS), np.array([len(o) for o in own], float)
+    cov = [np.cov(o.T, bias=True) for o in own]
+    pooled = sum(m * np.diag(s) for m, s in zip(n, cov, strict=True)) / n.sum()
+    for i, v in x.items():
+        logs = []
+        for c in (0, 1):
+            share = 0.02 + 0.98 * k / (n[c] + k)
+            sigma = (1 - share) * cov[c] + share * np.diag(pooled) + 1e-4 * np.eye(k)
+            d = v - own[c].mean(axis=0)
+            logs.append(math.log((n[c] + 1) / (n.sum() + 2)) - 0.5 * np.linalg.slogdet(sigma)[1] - 0.5 * d @ np.linalg.solve(sigma, d))
+        assert math.isclose(found[i], 1 / (1 + math.exp(min(700, logs[0] - logs[1]))), rel_tol=1e-6, abs_tol=1e-12)
+
+
 # 9
 
 
