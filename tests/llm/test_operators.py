@@ -392,7 +392,8 @@ def test_lm_score_equals_a_plain_tree(spark):
     passage = [rng.choice(vocabulary) for _ in range(30)]
     texts = [[*(rng.choice(vocabulary) for _ in range(rng.randint(0, 40))), *(passage[: rng.randint(0, 30)] if i % 3 == 0 else [])] for i in range(120)]
     rows = [(i, " ".join(w)) for i, w in enumerate(texts)] + [(200, "unseen " + "x" * 3000 + " words"), (201, None)]
-    spelling = suffixlm.fit_spelling(table(spark, rows))
+    blocks = table(spark, rows).selectExpr("doc_id", "text", "false AS held_out", "true AS train", "false AS nothing").mapInArrow(suffixlm._blocks(2000), suffixlm._BLOCKS)
+    spelling = suffixlm.fit_spelling(blocks)
     found = {r["doc_id"]: r for r in suffixlm.score_texts(table(spark, rows), spelling=spelling, gain=6.0, block_bytes=2000).collect()}
     tokens = {i: [*(t or "").split(), None] for i, t in rows}
     train = [t for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2]
