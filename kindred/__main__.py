@@ -3,7 +3,9 @@
 python -m kindred [options] FILES...           digest files and print the digests
 python -m kindred --gen-compare FILES...       digest files and compare them all
 python -m kindred --compare A [B]              compare one digest file with itself, or two
-python -m kindred --index NAME FILES...        build an index of files (with --output)
+python -m kindred -                            digest the standard input in segments
+python -m kindred --large -o DIR FILES...      large digests, as files of their own format
+python -m kindred --index NAME FILES...        build an index of files (with --output), a file for each batch
 python -m kindred --index-search DIR FILES...  search files in the indexes of a folder
 python -m kindred --validate FILES...          check digest files
 python -m kindred --details FILES...           describe files of large digests
@@ -12,6 +14,7 @@ python -m kindred --details FILES...           describe files of large digests
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 from pathlib import Path
 
@@ -23,13 +26,15 @@ from .functions import tables as t
 from .operators import compare, digest, index, segments
 from .plans.options import Options, UnknownOption
 from .sources import digest_text, files, index_file, large_file
+from .sources import segments as segment_source
 
 VERSION = "0.1"
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="kindred", description=about)
-    p.add_argument("files", nargs="*")
+    p.add_argument("files", nargs="*", help="files and folders, or - for the standard input")
+    p.add_argument("--hash-name", help="name of the standard input's digests (stdin)")
     p.add_argument("-r", "--deep", action="store_true", default=None, help="files of folders, too")
     p.add_argument("-f", "--target-list", help="text file that names files, one to a line")
     p.add_argument("--root", default="/", help="folder that the files of a list are under")
@@ -64,8 +69,14 @@ def _emit(lines: DataFrame, output: str) -> None:
 
 
 def _objects(spark: SparkSession, args: argparse.Namespace, options: Options) -> DataFrame:
-    found = files.read_target_list(spark, args.target_list, args.root) if args.target_list else files.read_objects(spark, args.files, recursive=options.deep)
-    return segments.cut_segments(found, segment=options.segment_size << 20)
+    """(name, content) of what is digested, in segments; `-` is the standard input."""
+    size = options.segment_size << 20
+    if args.target_list:
+        return segments.cut_segments(files.read_target_list(spark, args.target_list, args.root), segment=size)
+    if args.files == ["-"]:
+        path = segment_source.keep_stream(spark, sys.stdin.buffer)
+        return segment_source.read_segments(spark, path, segment=size, label=args.hash_name or "stdin").select("name", "content")
+    return segment_source.read_segments(spark, args.files, segment=size, recursive=bool(options.deep)).select("name", "content")
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -106,9 +117,11 @@ def main(argv: list[str] | None = None) -> int:
             print("an index needs --output", file=sys.stderr)
             return 2
         found = digest.features(_objects(spark, args, options), block_size=t.BLOCK, ranks=ranks)
-        row = index_file.export_index(index.build_index(found, F.lit(args.index))).first()
+        objects = _objects(spark, args, options)
+        built = index.build_in_batches(found, objects.select("name", F.octet_length("content").alias("size")), args.index)
         Path(options.output).mkdir(parents=True, exist_ok=True)
-        (Path(options.output) / f"{args.index}.idx").write_bytes(row["file"] if row else b"")
+        for row in index_file.export_index(built).toLocalIterator():  # one file for each batch of 640 MB
+            (Path(options.output) / f"{row['index_set']}.idx").write_bytes(row["file"])
     elif args.index_search:
         found = digest.features(_objects(spark, args, options), block_size=t.BLOCK, ranks=ranks)
         _emit(index.hit_lines(index.index_search(found, index_file.read_indexes(spark, args.index_search))), options.output)
@@ -116,9 +129,12 @@ def main(argv: list[str] | None = None) -> int:
         if not options.output:
             print("large digests need --output", file=sys.stderr)
             return 2
-        digest.large_digest(_objects(spark, args, options), ranks=ranks).write.parquet(options.output)
+        made = digest.large_digest(_objects(spark, args, options), ranks=ranks)
+        folder = options.output if "://" in options.output else os.path.abspath(options.output)
+        _emit(large_file.write_large(made, folder, "digests").select("file"), "")
     else:
-        made = digest.digest_by_size(_objects(spark, args, options), requested_kib=options.block_size, ranks=ranks)
+        block = options.block_size if args.files != ["-"] or options.block_size > 0 else 16  # a stream's digests are always in blocks
+        made = digest.digest_by_size(_objects(spark, args, options), requested_kib=block, ranks=ranks)
         if args.gen_compare:
             found = compare.compare_all(numbered(made), threshold=options.threshold, fast=options.fast)
             _emit(compare.comparison_lines(found, options.separator), options.output)

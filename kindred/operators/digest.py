@@ -164,6 +164,20 @@ def window_statistics(df: DataFrame, name: str | Column = "name", data: str | Co
     return _per_object(_objects(df, name, data), "name string, entropy int, n bigint", make)
 
 
+def rank_histogram(df: DataFrame, name: str | Column = "name", data: str | Column = "content", *, ranks: Sequence[int] | None = None) -> DataFrame:
+    """(name, rank, n): how many windows of each object have each rank."""
+    table = t.default_ranks() if ranks is None else t.check_ranks(ranks)
+
+    def make(who: str, content: bytes):
+        for start, length in kernel.chunks(len(content)):
+            found = kernel.window_ranks(np.frombuffer(content[start : start + length], np.uint8), table)[: max(0, length - t.WINDOW)]
+            for r, n in enumerate(np.bincount(found).tolist()):
+                if n:
+                    yield {"name": who, "rank": r, "n": n}
+
+    return _per_object(_objects(df, name, data), "name string, rank int, n bigint", make)
+
+
 def popularity_histogram(df: DataFrame, name: str | Column = "name", data: str | Column = "content", *, ranks: Sequence[int] | None = None) -> DataFrame:
     """(name, score, n): how many offsets of each object have how many votes."""
     table = t.default_ranks() if ranks is None else t.check_ranks(ranks)

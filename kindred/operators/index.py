@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tables as t
 from ..functions.columns import feature_bits
+from .segments import plan_batches
 
 #: Every so many counted features of a block are probed.
 PROBE_EVERY = 4
@@ -32,6 +33,17 @@ def build_index(features: DataFrame, set_col: str | Column = "name", *, mask: in
     return bits.groupBy("index_set", F.bitmap_bucket_number(F.col("bit") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("bit") + 1)).alias("bitmap"))
 
 
+def build_in_batches(features: DataFrame, objects: DataFrame, name: str, *, name_col: str = "name", size_col: str = "size", limit: int = t.INDEX_BATCH, mask: int = t.INDEX_MASK) -> DataFrame:
+    """The index of a collection as one filter for each batch of about `limit` bytes of objects, so that none fills up.
+
+    The sets are `name` with the batch's number behind it.
+    """
+    sized = objects if size_col in objects.columns else objects.withColumn(size_col, F.octet_length("content"))
+    batches = plan_batches(sized, name=name_col, size=size_col, limit=limit).select(F.col("name").alias("__name"), "batch").distinct()
+    rows = features.join(batches, F.col("name").eqNullSafe(F.col("__name")))
+    return build_index(rows, F.concat(F.lit(name), F.col("batch").cast("string")), mask=mask)
+
+
 def merge_indexes(indexes: DataFrame) -> DataFrame:
     """Union of indexes of the same name."""
     return indexes.groupBy("index_set", "bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))

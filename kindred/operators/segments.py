@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tables as t
+from .storage import keep
 
 
 def segment_count(size: Column, segment: int) -> Column:
@@ -69,21 +67,21 @@ def plan_blocks(objects: DataFrame, *, name: str = "name", size: str = "size", b
 
 
 def plan_batches(objects: DataFrame, *, name: str = "name", size: str = "size", limit: int = t.INDEX_BATCH) -> DataFrame:
-    """(name, size, batch): objects in order of their names, a new batch after more than `limit` bytes.
+    """(name, size, batch): objects in order of their names, a new batch for each `limit` bytes of all before.
 
-    The sum starts anew with each batch, so rows are folded in order, as a stream.
+    Ranges of names are summed side by side, and each goes on from the sum of those
+    before it. A batch thus begins at the first object behind a multiple of the
+    limit; a sum that starts anew with each batch would take all objects in one task.
     """
-    rows = objects.select(F.col(name).cast("string").alias("name"), F.col(size).cast("long").alias("size")).orderBy("name", "size").coalesce(1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = total = 0
-        for batch in batches:
-            numbers = []
-            for n in batch.column(1).to_pylist():
-                numbers.append(number)
-                total += n or 0
-                if total > limit:
-                    number, total = number + 1, 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(numbers, pa.int32())], names=["name", "size", "batch"])
-
-    return rows.mapInArrow(run, "name string, size bigint, batch int")
+    spark = objects.sparkSession
+    rows = keep(objects.select(F.col(name).cast("string").alias("name"), F.col(size).cast("long").alias("size")).repartitionByRange("name", "size").withColumn("range", F.spark_partition_id()))
+    # one sum for each range
+    sums = rows.groupBy("range").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).orderBy("range").collect()
+    total, before = 0, []
+    for r in sums:
+        before.append((r["range"], total))
+        total += r["bytes"]
+    starts = spark.createDataFrame(before, "range int, before long")
+    order = Window.partitionBy("range").orderBy("name", "size").rowsBetween(Window.unboundedPreceding, -1)
+    own = F.coalesce(F.sum("size").over(order), F.lit(0))
+    return rows.withColumn("own", own).join(F.broadcast(starts), "range").select("name", "size", F.floor((F.col("before") + F.col("own")) / limit).cast("int").alias("batch"))

@@ -6,7 +6,7 @@ but not the kernel, a text's own SHA-1 is its one feature.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +16,7 @@ from ..functions import columns as c
 from ..functions import tables as t
 from ..operators import compare, digest, filters, ground_truth, index, segments
 from ..sources import digest_text, files, index_file, large_file
+from ..operators.storage import shared_folder
 from ..streaming import ingest
 from . import catalog
 
@@ -121,6 +122,10 @@ def window_entropy(spark, sf_dir):
     return digest.window_statistics(documents(spark, sf_dir))
 
 
+def chunk_ranks(spark, sf_dir):
+    return digest.rank_histogram(documents(spark, sf_dir))
+
+
 def popularity_scores(spark, sf_dir):
     return digest.popularity_histogram(documents(spark, sf_dir))
 
@@ -204,7 +209,8 @@ def index_probe(spark, sf_dir):
 
 
 def index_search(spark, sf_dir):
-    built = index.build_index(digest.features(documents(spark, sf_dir), block_size=16 << 10), F.lit("documents"))
+    docs = documents(spark, sf_dir)
+    built = index.build_in_batches(digest.features(docs, block_size=16 << 10), docs, "documents", limit=16 * BATCH)
     return index.index_search(digest.features(pages(spark, sf_dir), block_size=16 << 10), built)
 
 
@@ -217,8 +223,16 @@ def large_digests(spark, sf_dir):
     return digest.large_digest(documents(spark, sf_dir)).select("name", "file_size", "filter_count", F.element_at("filters", -1)["elem_count"].alias("last_elements"))
 
 
+def _volumes(spark, sf_dir, n: int) -> DataFrame:
+    """Each n documents with neighbouring ids as one object."""
+    docs = table(spark, sf_dir, "documents").where("doc_id is not null").groupBy(F.floor(F.col("doc_id") / n).alias("k"))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"])
+    return docs.agg(c.content(F.array_join(texts, "\n")).alias("content")).select(F.concat(F.lit(f"{n}-"), F.col("k").cast("string")).alias("name"), "content")
+
+
 def large_compare(spark, sf_dir):
-    return compare.compare_large(digest.large_digest(pages(spark, sf_dir)).withColumn("digest_id", F.substring("name", 6, 20).cast("long")))
+    """Volumes of 32 documents against volumes of 64."""
+    return compare.compare_large(*(digest.large_digest(_volumes(spark, sf_dir, n)) for n in (32, 64)))
 
 
 def large_roundtrip(spark, sf_dir):
@@ -257,10 +271,7 @@ def common_substrings(spark, sf_dir):
 def stream_ingest(spark, sf_dir):
     """Documents as a stream of rows, digested and kept."""
     source = spark.readStream.schema(table(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parquet*")
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    import uuid
-
-    folder = f"{shared}/ingest-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
     objects = files.from_texts(source, "doc_id", "text", "doc-")
     ingest.append_digests(ingest.digest_stream(objects), f"{folder}/digests", f"{folder}/log").awaitTermination()
     return spark.read.parquet(f"{folder}/digests")
@@ -287,7 +298,24 @@ _HUMAN = "CASE WHEN s > 1073741824 THEN (s // 1073741824) || 'G' WHEN s > 104857
 _SUMMARY = f"SELECT source AS set_name, count(*) AS items, CAST(count(*) AS BIGINT) AS filters, CAST(sum({_SIZE}) AS BIGINT) AS s FROM documents GROUP BY source"
 
 
+def _entropy_sql() -> str:
+    """Entropy classes of all windows but the last: how often a byte stands in the 63 places before or behind it gives what it adds and takes."""
+    units = t.entropy_units()
+    step = "[" + ", ".join(str(int(x)) for x in units[1:] - units[:-1]) + "]"
+    return f"""o AS (SELECT row_number() OVER () AS r, 'doc-' || doc_id AS name, encode(text) AS x FROM documents WHERE {_SIZE} >= 512),
+            h AS (SELECT r, name, hex(x) AS x, unnest(range(0, octet_length(x))) AS p FROM o),
+            b AS (SELECT r, name, p, substr(x, 2 * p + 1, 2) AS c FROM h),
+            n AS (SELECT r, name, p,
+                {step}[count(*) OVER (PARTITION BY r, c ORDER BY p RANGE BETWEEN 63 PRECEDING AND 1 PRECEDING) + 1] AS more,
+                {step}[count(*) OVER (PARTITION BY r, c ORDER BY p RANGE BETWEEN 1 FOLLOWING AND 63 FOLLOWING) + 1] AS less FROM b),
+            e AS (SELECT r, name, p, sum(more) OVER (PARTITION BY r ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 63 FOLLOWING)
+                - coalesce(sum(less) OVER (PARTITION BY r ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS u,
+                count(*) OVER (PARTITION BY r) AS size FROM n),
+            w AS (SELECT r, name, CAST(u // 1024 AS INT) AS entropy FROM e WHERE p < size - 64)"""
+
+
 def oracle_sql() -> dict[str, str]:
+    ranks = "[" + ", ".join(map(str, t.default_ranks().tolist())) + "]"
     cut = "[" + ", ".join(map(str, t.CUTOFFS_256)) + "]"
     index_bits = f"WITH {_WORDS}, b AS (SELECT DISTINCT source, v % 536870912 AS bit FROM word)"
     return {
@@ -307,6 +335,10 @@ def oracle_sql() -> dict[str, str]:
             s AS (SELECT name, size, unnest(range(0, size // {BLOCK} + CASE WHEN size % {BLOCK} >= 512 THEN 1 ELSE 0 END)) AS block FROM o WHERE size >= 512)
             SELECT name, CAST(block AS BIGINT) AS block, CAST(block * {BLOCK} AS BIGINT) AS start, CAST(least({BLOCK}, size - block * {BLOCK}) AS BIGINT) AS length,
             size - block * {BLOCK} < {BLOCK} AS tail FROM s""",
+        "batch_plan": f"""WITH o AS (SELECT 'doc-' || doc_id AS name, CAST({_SIZE} AS BIGINT) AS size FROM documents)
+            SELECT name, size, CAST(coalesce(sum(size) OVER (ORDER BY name NULLS FIRST, size NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // {BATCH} AS INT) AS batch FROM o""",
+        "window_entropy": f"WITH {_entropy_sql()} SELECT name, entropy, count(*) AS n FROM w GROUP BY r, name, entropy",
+        "chunk_ranks": f"WITH {_entropy_sql()} SELECT name, CAST({ranks}[entropy + 1] AS INT) AS rank, count(*) AS n FROM w GROUP BY r, name, rank",
         "feature_bits": f"WITH {_WORDS} SELECT doc_id, CAST(w AS INT) AS word, v % 2048 AS small_bit, v % 131072 AS large_bit FROM word",
         "bloom_build": f"WITH {_WORDS}, {_SOURCE} SELECT grp, CAST(n AS INT) AS elements, CAST(count(*) AS INT) AS hamming, round(2048.0 / n, 6) AS bits_per_element FROM e JOIN b USING (grp) GROUP BY grp, n",
         "bloom_bits": f"WITH {_WORDS}, {_SOURCE} SELECT grp, bit FROM b",
@@ -336,7 +368,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         for f in (
             eligible_objects, size_router, segment_plan, block_plan, batch_plan, feature_bits, bloom_build, bloom_bits,
             bloom_union, bloom_fold, large_fold, filter_overlap, filter_score, score_lines, window_entropy,
-            popularity_scores, stream_features, stream_digest, block_digest, sized_digest, segment_digest, compare_all,
+            chunk_ranks, popularity_scores, stream_features, stream_digest, block_digest, sized_digest, segment_digest, compare_all,
             compare_fast, compare_to, compare_sampled, compare_matrix, compare_blocks, digest_text_roundtrip, validate,
             index_build, index_merge, index_probe, index_search, index_files, large_digests, large_compare,
             large_roundtrip, set_summary, set_listing_json, result_status, common_substrings, stream_ingest,

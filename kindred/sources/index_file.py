@@ -61,7 +61,11 @@ def export_index(index: DataFrame, elements: DataFrame | None = None, *, size: i
 
 def read_indexes(spark: SparkSession, folder: str) -> DataFrame:
     """(index_set, bucket, bitmap, elements) of all `*.idx` files of a folder; empty bitmaps are left out."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.idx").load(folder).select("content")
+    return parse_indexes(spark.read.format("binaryFile").option("pathGlobFilter", "*.idx").load(folder))
+
+
+def parse_indexes(files: DataFrame) -> DataFrame:
+    """The same of a column `content` of index files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,4 +79,4 @@ def read_indexes(spark: SparkSession, folder: str) -> DataFrame:
                     names=["index_set", "bucket", "bitmap", "elements"],
                 )
 
-    return files.mapInArrow(run, "index_set string, bucket long, bitmap binary, elements long")
+    return files.select("content").mapInArrow(run, "index_set string, bucket long, bitmap binary, elements long")

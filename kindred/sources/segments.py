@@ -1,4 +1,4 @@
-"""A data source for files too large for one row: one partition for each segment.
+"""A data source for files too large for one row: one row for each segment; small files share partitions.
 
 spark.dataSource.register(SegmentSource)
 spark.read.format("segments").option("path", "s3://...").option("segmentBytes", 128 << 20).load()
@@ -6,11 +6,17 @@ spark.read.format("segments").option("path", "s3://...").option("segmentBytes",
 
 from __future__ import annotations
 
+import os
+import re
+import uuid
 from collections.abc import Iterator
+from typing import BinaryIO
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import tables as t
+from ..operators.storage import shared_folder
 
 
 def segment_bounds(size: int, segment: int) -> list[tuple[int, int]]:
@@ -21,37 +27,54 @@ def segment_bounds(size: int, segment: int) -> list[tuple[int, int]]:
     return [(i * segment, size - i * segment if i == n - 1 else segment) for i in range(n)]
 
 
-class _Segment(InputPartition):
-    def __init__(self, path: str, name: str, start: int, length: int):
-        self.path, self.name, self.start, self.length = path, name, start, length
+#: Bytes of small files that one partition reads.
+_TOGETHER = 64 << 20
+
+
+class _Segments(InputPartition):
+    def __init__(self, parts: list[tuple[str, str, int, int]]):
+        self.parts = parts  # path, name, start and length of each segment
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
         self.segment = int(options.get("segmentBytes", options.get("segmentbytes", 128 << 20)))
+        self.recursive = str(options.get("recursive", "true")).lower() == "true"
+        # names of streams that were kept in a file
+        self.label = options.get("label")
 
-    def partitions(self) -> list[_Segment]:
+    def partitions(self) -> list[_Segments]:
         from pyarrow import fs
 
         files, path = fs.FileSystem.from_uri(self.path)
         info = files.get_file_info(path)
-        found = [info] if info.type == fs.FileType.File else files.get_file_info(fs.FileSelector(path, recursive=True))
-        out = []
+        if info.type == fs.FileType.NotFound:
+            raise FileNotFoundError(self.path)
+        found = [info] if info.type == fs.FileType.File else files.get_file_info(fs.FileSelector(path, recursive=self.recursive))
+        out: list[list[tuple[str, str, int, int]]] = [[]]
+        size = 0
         for f in sorted((f for f in found if f.type == fs.FileType.File), key=lambda f: f.path):
             bounds = segment_bounds(f.size, self.segment)
             for start, length in bounds:
-                name = f"{f.path}.{start >> 20:04d}M" if len(bounds) > 1 else f.path
-                if length >= t.MIN_SIZE:
-                    out.append(_Segment(f.path, name, start, length))
-        return out
-
-    def read(self, partition: _Segment) -> Iterator[tuple]:
+                label = self.label or f.path
+                name = f"{label}.{start >> 20:04d}M" if len(bounds) > 1 or self.label else label
+                if length < t.MIN_SIZE:
+                    continue
+                if size and size + length > _TOGETHER:
+                    out.append([])
+                    size = 0
+                out[-1].append((f.path, name, start, length))
+                size += length
+        return [_Segments(p) for p in out]
+
+    def read(self, partition: _Segments) -> Iterator[tuple]:
         from pyarrow import fs
 
         files, _ = fs.FileSystem.from_uri(self.path)
-        with files.open_input_file(partition.path) as file:
-            yield partition.name, partition.start, bytes(file.read_at(partition.length, partition.start))
+        for path, name, start, length in partition.parts:
+            with files.open_input_file(path) as file:
+                yield name, start, bytes(file.read_at(length, start))
 
 
 class SegmentSource(DataSource):
@@ -64,3 +87,31 @@ class SegmentSource(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)
+
+
+def read_segments(spark: SparkSession, paths: str | list[str], *, segment: int = 128 << 20, recursive: bool = False, label: str | None = None) -> DataFrame:
+    """(name, start, content) of the segments of files, and of all files of folders, of any size.
+
+    label: the name of all of them instead of their path; their start then always follows.
+    """
+    spark.dataSource.register(SegmentSource)
+    out = None
+    for path in [paths] if isinstance(paths, str) else paths:
+        whole = path if "://" in path else os.path.abspath(path)
+        reader = spark.read.format("segments").option("path", whole).option("segmentBytes", str(segment)).option("recursive", str(recursive))
+        rows = (reader.option("label", label) if label else reader).load()
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def keep_stream(spark: SparkSession, stream: BinaryIO) -> str:
+    """A stream of bytes, such as the standard input, as a file in the shared folder; returns its path."""
+    from pyarrow import fs
+
+    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    uri = path if "://" in path else re.sub("^file:/*", "/", path)
+    files, place = fs.FileSystem.from_uri(uri)
+    with files.open_output_stream(place) as out:
+        while data := stream.read(1 << 20):
+            out.write(data)
+    return uri

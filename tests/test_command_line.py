@@ -25,3 +25,36 @@ def test_digest_compare_index(spark, tmp_path, capsys):
     assert main(["--compare"]) == 2 and main(["--index", "x", source]) == 2
     (tmp_path / "cfg").write_text("nonsense=1\n")
     assert main(["--config-file", str(tmp_path / "cfg"), source]) == 2
+
+
+def test_segments_streams_and_large_digests(spark, tmp_path, capsys, monkeypatch):
+    import io
+    import sys
+
+    rng = np.random.default_rng(2)
+    data = rng.integers(0, 256, (2 << 20) + 90_000).astype(np.uint8).tobytes()
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    (tmp_path / "in" / "big").write_bytes(data)
+    (tmp_path / "in" / "deep" / "small").write_bytes(data[:30_000])
+    (tmp_path / "in" / "tiny").write_bytes(b"x" * 100)
+    source = str(tmp_path / "in")
+    assert main([source, "-z", "1"]) == 0
+    names = sorted(line.split(":")[3] for line in capsys.readouterr().out.split())
+    assert names == [f"{source}/big.000{i}M" for i in range(3)]
+    assert main([source, "-z", "1", "--deep"]) == 0
+    assert sum("deep/small" in line for line in capsys.readouterr().out.split()) == 1
+
+    class Stdin:
+        buffer = io.BytesIO(data)
+
+    monkeypatch.setattr(sys, "stdin", Stdin)
+    assert main(["-", "-z", "1", "--hash-name", "pipe"]) == 0
+    lines = capsys.readouterr().out.split()
+    assert sorted(line.split(":")[3] for line in lines) == [f"pipe.000{i}M" for i in range(3)] and all(line.startswith("sdbf-dd") for line in lines)
+    assert main(["--large", "-o", str(tmp_path / "lg"), source, "--deep"]) == 0
+    written = capsys.readouterr().out.split()
+    assert written and all(f.endswith(".sdbflg") for f in written)
+    assert main(["--details", str(tmp_path / "lg")]) == 0
+    assert len(capsys.readouterr().out.splitlines()) == 2
+    assert main(["--compare", str(tmp_path / "lg"), "--large", "-t", "0"]) == 0
+    assert len(capsys.readouterr().out.splitlines()) == 1

@@ -141,7 +141,7 @@ def test_plans(spark):
     blocks = {r["name"]: r["n"] for r in segments.plan_blocks(sizes, block=1024).groupBy("name").agg(F.count("*").alias("n")).collect()}
     assert blocks == {"b": 1, "c": 2, "d": 3, "e": 3, "f": 4, "g": 4}
     batches = [r["batch"] for r in segments.plan_batches(sizes, limit=3000).orderBy("name").collect()]
-    assert batches == [0, 0, 0, 1, 1, 2, 3, 4]
+    assert batches == [0, 0, 0, 1, 1, 2, 4, 5]
     cases = spark.createDataFrame([(100,), (1 << 25,)], "size bigint")
     assert [tuple(r) for r in cases.select(c.block_kib(F.col("size")), c.block_kib(F.col("size"), 0), c.block_kib(F.col("size"), 99), c.block_kib(F.col("size"), -5)).collect()] == [(0, 0, 16, 0), (16, 0, 16, 16)]
 
@@ -182,11 +182,49 @@ def test_catalog(spark, objects, tmp_path):
     assert catalog.remove_result(job) and not catalog.remove_result(job) and catalog.result_status(job) == "not found"
     with pytest.raises(UnknownSet):
         catalog.digests(1)
+    catalog.append_set(two, one)
+    catalog.append(two, digest.digest(objects.where("name = 'part'")))
+    grown = catalog.digests(two)
+    assert grown.count() == 11 and grown.select("digest_id").distinct().count() == 11
+    # rows of one name, size and number of filters are digests of their own
+    base = blob(9, 30_000)
+    same = spark.createDataFrame([("x", base), ("x", base[:29_000] + blob(10, 1000)), ("a", base)], "name string, content binary")
+    twins = catalog.hash_objects("twins", same)
+    found = catalog.result(catalog.compare_all(twins)).collect()
+    assert sorted((r["query"], r["target"]) for r in found) == [("a", "x"), ("a", "x"), ("x", "x")] and all(r["score"] > 80 for r in found)
+    (tmp_path / "folder").mkdir()
+    lines = [r[0] for r in catalog.display_contents(one).collect()]
+    (tmp_path / "folder" / "first.sdbf").write_text("\n".join(lines) + "\n")
+    (tmp_path / "folder" / "notes.txt").write_text("no digest\n")
+    known = index_file.export_index(index.build_index(digest.features(objects.where("name = 'a:b'"), block_size=16 << 10), F.lit("k"))).first()["file"]
+    (tmp_path / "folder" / "first.sdbf.idx").write_bytes(bytes(known))
+    loaded = catalog.load_folder(str(tmp_path / "folder"))
+    assert list(loaded) == ["first"] and catalog.digests(loaded["first"]).count() == 5
+    assert {r["index_set"] for r in catalog.hash_or_search("", objects.where("name is not null"), level=3).collect()} == {"first"}
+    assert catalog.search(objects.where("name is not null"), level=1).count() == 0
     catalog.index_objects("known", objects.where("name = 'a:b'"))
     assert catalog.search(objects.where("name is not null")).count() > 0
     assert catalog.display_contents(one).count() == 5 and catalog.display_set(one).count() == 5
 
 
+def test_functions_in_sql(spark, objects):
+    from kindred.functions import udf
+
+    udf.register(spark)
+    objects.createOrReplaceTempView("udf_objects")
+    rows = spark.sql("SELECT name, content, digest_filters(content) AS f FROM udf_objects WHERE name IS NOT NULL")
+    rows.createOrReplaceTempView("udf_digests")
+    made = {r["name"]: r["filters"] for r in digest.digest(objects).collect() if r["name"]}
+    assert {r["name"]: r["f"] for r in rows.collect() if r["f"]} == made
+    scores = spark.sql("SELECT a.name AS x, b.name AS y, digest_score(a.name, a.f, b.name, b.f) AS s FROM udf_digests a JOIN udf_digests b ON a.name < b.name").collect()
+    known = {frozenset((r["query"], r["target"])): r["score"] for r in compare.compare_to(digest.digest(objects), digest.digest(objects), threshold=-1).collect()}
+    assert {(r["x"], r["y"]) for r in scores if r["s"] is None} >= {("other", "tiny")}
+    assert all(known[frozenset((r["x"], r["y"]))] == r["s"] for r in scores if r["s"] is not None)
+    found = spark.sql("SELECT name, count(*) AS n FROM udf_objects, LATERAL digest_features(content) GROUP BY name").collect()
+    expected = {r["name"]: r["n"] for r in digest.features(objects).groupBy("name").agg(F.count("*").alias("n")).collect()}
+    assert {r["name"]: r["n"] for r in found} == expected
+
+
 def test_options(tmp_path):
     (tmp_path / "cfg").write_text("threshold=5\nfast = yes # quick\n\n")
     options = Options.load(str(tmp_path / "cfg"), threshold=9)
