@@ -25,7 +25,7 @@ from .text import Words, column_bytes, mix, slices
 #: A chance of 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.9996 for a pair of similarity 0.8.
 BANDS, ROWS = 20, 5
 #: Texts and bytes of sets in a block of a large cluster, and bytes of small clusters in a task.
-BLOCK, BLOCK_BYTES, TASK_BYTES = 1024, 8 << 20, 16 << 20
+BLOCK, BLOCK_BYTES, TASK_BYTES = 512, 4 << 20, 8 << 20
 _DOC = "doc struct<n: boolean, id: bigint, t: bigint>"
 _DOCUMENTS = 4096
 
@@ -143,8 +143,10 @@ def _roots(linked: np.ndarray) -> np.ndarray:
 def similar(members: list[np.ndarray], threshold: float, first: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links of each set and its root among them. `first`: only pairs of a set before it and one behind."""
     size = np.array([len(m) for m in members], dtype=np.float64)
-    both = _intersections(members).astype(np.float64)
-    linked = both * (1 + threshold) >= threshold * (size[:, None] + size[None, :]) - 1e-6
+    both = _intersections(members)
+    linked = np.empty(both.shape, dtype=bool)
+    for i in range(0, len(size), 256):  # some rows at a time, in double precision
+        linked[i : i + 256] = both[i : i + 256].astype(np.float64) * (1 + threshold) >= threshold * (size[i : i + 256, None] + size[None, :]) - 1e-6
     np.fill_diagonal(linked, False)
     if first is not None:
         linked[:first, :first] = linked[first:, first:] = False

@@ -5,8 +5,10 @@ from __future__ import annotations
 import atexit
 import contextlib
 import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +50,26 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Rows and bytes that go to Python at a time in a step, at most; for texts, the usual ten thousand rows are much.
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """The session's limits of Arrow batches, lowered for what is computed inside."""
+    before = {}
+    for key, most in _BATCH.items():
+        before[key] = spark.conf.get(key)
+        own = re.fullmatch(r"([0-9]+)(?:b|B)?", before[key] or "")
+        if own is None or not 0 < int(own[1]) <= most:
+            spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 class Step:
     """A table in the shared folder that can be replaced, as the state of a loop, or dropped once nothing reads it any more."""
 
@@ -58,7 +80,8 @@ class Step:
 
     def set(self, df: DataFrame) -> None:
         path = f"{shared_folder(self._spark)}/step-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        with _small_batches(self._spark):
+            df.write.parquet(path)
         last, self._path = self._path, path
         if last is not None:
             _delete(self._spark, last)
