@@ -7,6 +7,7 @@ import contextlib
 import gc
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -45,9 +46,17 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of steps that are over, which it does when the driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark delete the shuffle files of steps that are over.
+
+    It does so when the driver has collected the plans that used them. The last plan is
+    still referred to until another one has run, and Python's references to the JVM end a
+    little after Python's own collection.
+    """
+    spark.range(64, numPartitions=2).selectExpr("id % 7 AS k").distinct().write.format("noop").mode("overwrite").save()
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 #: Rows and bytes that go to Python at a time in a step, at most; for texts, the usual ten thousand rows are much.
