@@ -52,9 +52,9 @@ def partitions(n_nodes: int) -> int:
     return PARTITIONS + max(0, math.ceil(math.log2(max(1, n_nodes) / SMALL)))
 
 
-def pool_size(n_nodes: int) -> int:
+def pool_size(n_nodes: int, pool: int = POOL) -> int:
     """Candidates that a search among so many nodes keeps: they grow with the cube root."""
-    return math.ceil(POOL * max(1.0, n_nodes / SMALL) ** (1 / 3))
+    return math.ceil(pool * max(1.0, n_nodes / SMALL) ** (1 / 3))
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -326,7 +326,7 @@ def _gather(width: int):
     return run
 
 
-def neighbour_graph(vectors: DataFrame, n_nodes: int, width: int) -> tuple[Step, int]:
+def neighbour_graph(vectors: DataFrame, n_nodes: int, width: int, settled: float = SETTLED) -> tuple[Step, int]:
     """Bucket rows with each node's approximate nearest neighbours, and the number of buckets.
 
     vectors: (id, vector: packed 32-bit floats), of distinct ids.
@@ -350,7 +350,7 @@ def neighbour_graph(vectors: DataFrame, n_nodes: int, width: int) -> tuple[Step,
     told = placed.groupBy("task").applyInArrow(_start(n_buckets, width), _MAIL)
     step = Step(nodes.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(_update(True), _NODES))
     new = n_nodes * NEIGHBOURS
-    while new > SETTLED * n_nodes * NEIGHBOURS:
+    while new > settled * n_nodes * NEIGHBOURS:
         nodes = step.df
         by = lambda mail: nodes.groupBy("bucket").cogroup(mail.groupBy("bucket"))  # noqa: B023, E731
         reverse = nodes.mapInArrow(_reverse(n_buckets), _MAIL)
@@ -596,15 +596,26 @@ def search(graph: DataFrame, n_buckets: int, queries: DataFrame, width: int, n_q
     return found
 
 
-def nearest(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20) -> DataFrame:
+def nearest(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, settled: float = SETTLED, pool: int = POOL) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest others of each vector whose id is divisible by `every`.
 
+    settled: rounds of NN-descent go on until at most so great a share of all
+    neighbours is new. pool: candidates that a search among up to SMALL nodes keeps;
+    among more they grow with the cube root of the nodes. A search goes on until each of
+    its candidates is expanded. What bounds the work of a node in a round are JOINED
+    neighbours that it compares, of both directions and drawn anew in each round, the
+    TOLD nearest of which each is told, and NEIGHBOURS that it keeps; of its edges a
+    search follows DEGREE. These make the answers approximate; recall is measured.
+
     Nearness is the largest inner product in double precision, ties to the smaller
     id. Rows with a null id, and vectors that are null, zero, or hold a null or
     non-finite component take no part; nor do vectors of another length than most
     (the longer one, if equally many). Of rows that share an id one counts. With
     fewer than k others, all that the search reaches are returned; an empty table
-    gives no rows.
+    gives no rows, and other columns don't matter. Equal vectors are one node, so copies
+    are found for certain; of many copies the k + 1 with the smallest ids are used.
+    Inside the graph vectors have 32 bits, and 16 on their way, scaled so that the
+    largest component of all is 1.
     """
     spark = vectors.sparkSession
     v = F.col("v")
@@ -622,13 +633,14 @@ def nearest(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "em
     first = rows.select("id", "h", "h2", F.row_number().over(order).alias("nth")).where(F.col("nth") <= k + 1)
     node = written(rows.groupBy("h", "h2").agg(F.min("id").alias("node")))
     members = first.join(node, ["h", "h2"]).select("node", F.col("id").alias("vec_id"))
-    packed = written(_packed(rows.join(node.select(F.col("node").alias("id")), "id", "left_semi").select("id", "v")))
+    largest = rows.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0]
+    packed = written(_packed(rows.join(node.select(F.col("node").alias("id")), "id", "left_semi").select("id", "v"), largest))
     n_nodes = packed.count()
     asking = rows.where(F.pmod("id", F.lit(every)) == 0).select("id", "h", "h2").join(node, ["h", "h2"]).select(F.col("id").alias("query_id"), "node")
     asking = written(asking)
     sought = written(asking.select(F.col("node").alias("id")).distinct())
-    graph, n_buckets = neighbour_graph(packed, n_nodes, width)
-    found = search(graph.df, n_buckets, packed.join(sought, "id", "left_semi"), width, max(1, sought.count()), 2 * k, pool_size(n_nodes))
+    graph, n_buckets = neighbour_graph(packed, n_nodes, width, settled)
+    found = search(graph.df, n_buckets, packed.join(sought, "id", "left_semi"), width, max(1, sought.count()), 2 * k, pool_size(n_nodes, pool))
     graph.drop()
     # exact scores of the nodes found, once for equal queries
     one = rows.select(F.col("id").alias("query_node"), F.col("v").alias("q"))
@@ -643,12 +655,14 @@ def nearest(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "em
     return answers.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 
 
-def _packed(rows: DataFrame) -> DataFrame:
+def _packed(rows: DataFrame, largest: float) -> DataFrame:
+    """Vectors as bytes of 32-bit floats, of which the largest of all is 1: inner products keep their order."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(1)
             n = len(column)
-            values = column.flatten().to_numpy().astype(np.float32).reshape(n, -1)
+            values = (column.flatten().to_numpy() / largest).astype(np.float32).reshape(n, -1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in values], pa.binary())], names=["id", "vector"])
 
     return rows.mapInArrow(run, "id long, vector binary")

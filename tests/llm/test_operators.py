@@ -686,6 +686,15 @@ def test_neighbours_equal_brute_force_on_small_tables(spark):
     assert sorted(map(tuple, repeated.collect())) == sorted(map(tuple, ann.nearest(frame.where("vec_id < 30")).collect()))
 
 
+@pytest.mark.parametrize("scale", [1e-12, 3e7])
+def test_neighbours_at_any_scale(spark, scale):
+    x = np.random.default_rng(4).standard_normal((400, 16)) * scale
+    frame = spark.createDataFrame(pd.DataFrame({"vec_id": range(400), "embedding": x.tolist()}))
+    found = ann.nearest(frame).toPandas()
+    expected = nearest_by_force(list(enumerate(x.tolist())), 20, 20)
+    assert sum(len(set(own.vec_id) & {i for _, i in expected[q]}) for q, own in found.groupby("query_id")) >= 0.98 * 20 * len(expected)
+
+
 def test_recall(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((3000, 32)).astype(np.float32)
