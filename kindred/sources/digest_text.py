@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernel
 from ..functions import tables as t
+from ..functions.columns import hamming
 from ..operators.digest import DIGEST, _schema, digest_row
 
 #: No digest line is shorter than a filter in base64.
@@ -132,3 +133,45 @@ def validate(lines: DataFrame, column: str = "value") -> DataFrame:
     total = rows.agg(F.count("*").alias("lines"))
     good = parse_digests(rows, column, invalid="drop").agg(F.count("*").alias("valid"), F.coalesce(F.sum("bf_count"), F.lit(0)).alias("filters"), F.coalesce(F.sum("input_size"), F.lit(0)).alias("input_size"))
     return total.crossJoin(good)
+
+
+def filter_line(words: Column, elements: Column, name: Column, mask: int = t.SMALL_MASK) -> Column:
+    """A filter as a line of text: `bf:<bytes>:<elements>:<hashes>:<mask>:0:<name>:<base64>`; 0 says that it isn't packed."""
+    head = F.concat_ws(":", F.lit("bf"), (F.size(words) * 8).cast("string"), elements.cast("string"), F.lit(str(t.HASHES)), F.lit(str(mask)), F.lit("0"), name)
+    return F.concat(head, F.lit(":"), _base64(_bytes_hex(words)))
+
+
+def parse_filters(lines: DataFrame, column: str = "value", *, folds: int = 0) -> DataFrame:
+    """(name, elem_count, hash_count, mask, words, hamming) of lines that `filter_line` makes, each filter halved `folds` times.
+
+    Halving ends at 32 words. A name holds no colon; other lines give null words.
+    """
+    parts = F.split(F.col(column).cast("string"), ":", 8)
+    digits = F.hex(F.unbase64(parts[7]))
+    word = lambda i: F.conv(F.concat(*(F.substring(digits, (i * 16 + 15 - 2 * k).cast("int"), F.lit(2)) for k in range(8))), 16, -10).cast("long")
+    words = F.when(F.length(digits) >= 16, F.transform(F.sequence(F.lit(0), F.floor(F.length(digits) / 16).cast("int") - 1), word))
+    rows = lines.select(parts[6].alias("name"), parts[2].cast("long").alias("elem_count"), parts[3].cast("int").alias("hash_count"), parts[4].cast("long").alias("mask"), words.alias("words"))
+    for _ in range(folds):
+        half = F.floor(F.size("words") / 2).cast("int")
+        folded = F.zip_with(F.slice("words", F.lit(1), half), F.slice("words", half + 1, half), lambda x, y: x.bitwiseOR(y))
+        rows = rows.withColumn("words", F.when(F.size("words") > 32, folded).otherwise(F.col("words")))
+    return rows.withColumn("hamming", hamming(F.col("words")))
+
+
+def read_sets(spark: SparkSession, folder: str) -> DataFrame:
+    """Digest rows of all `*.sdbf` files of a folder, with the file's name without its end as index_set.
+
+    So the sets lie that belong to the index files beside them.
+    """
+    lines = spark.read.option("pathGlobFilter", "*.sdbf").text(folder).select("value", F.input_file_name().alias("file"))
+    stem = F.regexp_extract(F.expr("url_decode(replace(file, '+', '%2B'))"), r"([^/]*)\.sdbf$", 1)
+    rows = lines.select(F.coalesce("value", F.lit("")).alias("value"), stem.alias("index_set")).where("value <> ''")
+    schema = _schema(rows, DIGEST).append(pa.field("index_set", pa.string()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [parse_line(line) | {"index_set": name} for line, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    return rows.mapInArrow(run, f"{DIGEST}, index_set string")

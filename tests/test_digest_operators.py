@@ -207,6 +207,21 @@ def test_catalog(spark, objects, tmp_path):
     assert catalog.display_contents(one).count() == 5 and catalog.display_set(one).count() == 5
 
 
+def test_filters_as_lines(spark, objects, tmp_path):
+    made = digest.digest(objects.where("name = 'a:b'"))
+    rows = made.select(F.explode("filters").alias("f")).select(digest_text.filter_line(F.col("f.words"), F.col("f.elem_count"), F.lit("set")).alias("value"), "f")
+    back = digest_text.parse_filters(rows.select("value")).collect()
+    assert sorted((tuple(r["words"]), r["elem_count"], r["hamming"], r["name"], r["mask"]) for r in back) == sorted((tuple(f["words"]), f["elem_count"], f["hamming"], "set", 2047) for f in made.first()["filters"])
+    large = spark.createDataFrame([(list(range(-128, 128)),)], "w array<bigint>").select(digest_text.filter_line(F.col("w"), F.lit(7), F.lit("x"), 16383).alias("value"))
+    for folds, size in ((0, 256), (1, 128), (2, 64), (9, 32)):
+        words = list(range(-128, 128))
+        while len(words) > size:
+            words = [a | b for a, b in zip(words[: len(words) // 2], words[len(words) // 2 :], strict=True)]
+        assert digest_text.parse_filters(large, folds=folds).first()["words"] == words
+    (tmp_path / "one.sdbf").write_text("\n".join(r[0] for r in made.select(digest_text.digest_line()).collect()) + "\n")
+    assert [(r["index_set"], r["name"]) for r in digest_text.read_sets(spark, str(tmp_path)).collect()] == [("one", "a:b")]
+
+
 def test_functions_in_sql(spark, objects):
     from kindred.functions import udf
 
