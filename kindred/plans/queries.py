@@ -210,7 +210,7 @@ def index_probe(spark, sf_dir):
 
 def index_search(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    built = index.build_in_batches(digest.features(docs, block_size=16 << 10), docs, "documents", limit=16 * BATCH)
+    built = index.build_in_batches(digest.features(docs, block_size=16 << 10), docs, "documents", limit=256 * BATCH)
     return index.index_search(digest.features(pages(spark, sf_dir), block_size=16 << 10), built)
 
 
