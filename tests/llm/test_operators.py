@@ -13,6 +13,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from kindred.llm import ann, decontam, jaccard, langid, linededup, packing, quality, queries, substring, suffixlm, urlfilter
+from kindred.llm.mail import mail_table
+from kindred.llm.mail import read as mail_read
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, row int, block int, bit long"
@@ -148,6 +150,21 @@ def test_passages_of_hot_seeds_are_found(spark):
     assert {frozenset((r["doc_id"], r["other_id"])) for r in found} == {frozenset((40, 50))}
 
 
+def test_first_places_of_hot_seeds_are_spread_over_blocks():
+    """Each of 400 seeds stands in all of 20 blocks: no block has the first place of most of them."""
+    code = np.sort(np.random.default_rng(3).integers(4, 1 << 62, 400).astype(np.uint64))
+    mail = []
+    for block in range(20):
+        number = np.repeat(np.arange(400), 10)  # more often than is sent
+        mail += substring._send(block, 1, 0, np.repeat(code, 10), number, np.tile(np.arange(10), 400))
+    met = substring._meet((substring.K,))(mail_table([m for m in mail if m[1] == substring._SEEDS]))
+    known, one, _, two, _, _ = mail_read(met, substring._FIRSTS, np.uint64, np.int64, np.uint32, np.int64, np.uint32, rising=True)
+    assert set(known.tolist()) == set(code.tolist()) and (one != two).all()
+    for first in (one, two):
+        asked = np.bincount(first >> 32, minlength=20)
+        assert asked.sum() == 400 * 20 and asked.max() < 0.2 * asked.sum()
+
+
 def test_rejected_chains_take_no_seeds_from_other_partners(spark):
     exact = prose(702, 60)
     rows = [(1, f"{prose(801, 60)} {' '.join(exact.split()[:40])} {prose(901, 20)}")]
