@@ -1,7 +1,8 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
 A text is its tokens and one end. The tree predicts a token from the longest kept
-suffix of the tokens before it in its text: three of them, one, or none. A context is
+suffix of the tokens before it in its text, of the lengths in `contexts` or none: the
+query takes three, two and one. A context is
 kept if training texts have it at least twice and its next tokens differ from what its
 suffix predicts, by a likelihood-ratio test. Its distribution is smoothed: what it
 lacks falls to its suffix, in proportion to the kinds of tokens seen behind it (Witten
@@ -13,8 +14,8 @@ What is gathered grows with the corpus, and nothing of it is broadcast but the s
 Documents are turned once into blocks of token numbers. Blocks ask for what they
 need by ranges of hash values, one level after another: counts of tokens; counts of
 pairs, which are spread by the pair's hash, so that a frequent word's followers don't
-meet in one place (only sums over them do); and counts behind three words, for places all of
-whose pairs training texts have twice.
+meet in one place (only sums over them do); and counts behind two words, then three, for
+places all of whose pairs training texts have twice.
 """
 
 from __future__ import annotations
@@ -41,8 +42,6 @@ _LANE = 512
 _CONTEXTS = 8192
 #: Known to the model as the token at the end of a text, and its share among unseen tokens.
 _STOP, _STOP_SHARE = np.uint64(0x5D1F3A7C9B2E4680), 0.01
-#: Tokens of the longest context.
-_LONG = 3
 
 
 def padded(text: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -243,7 +242,7 @@ _BLOCKS = "block int, ids binary, flags binary, sizes binary, tokens binary, cod
 _BLOCK_TYPES = (pa.int32(), *[pa.binary()] * 8)
 _NULL, _HELD, _TRAIN = 1, 2, 4
 # Kinds of messages.
-_TOKENS, _COUNTS, _TOTALS, _ROOT, _PAIRS, _SUMS, _KEPT, _SECOND, _RUNS, _THIRD = range(10)
+_TOKENS, _COUNTS, _TOTALS, _ROOT, _PAIRS, _SUMS, _KEPT, _SECOND, _RUNS, _BEHIND = range(10)  # _BEHIND and the length of the context
 
 
 def _blocks(block_bytes: int):
@@ -326,7 +325,7 @@ class _Model:
 
     Tokens have numbers: the place in their range times the ranges, plus the range. A
     key is a context and, in its lowest `bits`, the number of a token; the context is the
-    number of another token, or a hash of `run_bits` of three.
+    number of another token, or a hash of `run_bits` of several.
     """
 
     n_ranges: int
@@ -335,6 +334,7 @@ class _Model:
     bits: int = 0
     tokens: int = 0
     distinct: int = 0
+    contexts: tuple[int, ...] = (1, 3)
 
     def context(self, key: np.ndarray) -> np.ndarray:
         return key >> np.uint64(self.bits)
@@ -402,20 +402,23 @@ class _State:
         self.often = np.zeros(len(self.tokens), dtype=bool)
         self.often[at] = (often > 0)[keys][which]
 
-    @cached_property
-    def triples(self) -> tuple[np.ndarray, ...]:
-        """Keys of the places behind three tokens whose pairs are frequent, and their places."""
-        at = np.flatnonzero(self.nth >= _LONG)
-        at = at[self.often[at - 1] & self.often[at - 2]]
+    def runs(self, length: int) -> tuple[np.ndarray, ...]:
+        """Keys of the places behind `length` tokens whose pairs are frequent, and their places."""
+        at = np.flatnonzero(self.nth >= length)
+        for i in range(1, length):
+            at = at[self.often[at - i]]
         context = np.zeros(len(at), dtype=np.uint64)
-        for i in range(_LONG, 0, -1):
+        for i in range(length, 0, -1):
             context = mix(context + self.number[self.tokens[at - i]] + np.uint64(1))
         return at, *_by_key(self.model.key(context >> np.uint64(64 - self.model.run_bits), self.number[self.tokens[at]]), self.train[at])
 
-    def by_triples(self) -> None:
-        at, _, _, which, _ = self.triples
-        log, _ = self.answer(_THIRD, np.uint32)
-        self.log[at] = _exact(log)[which]
+    def by_runs(self, below: int) -> None:
+        """The same behind all contexts of several tokens, but fewer than `below`; from short to long, as each falls to the one before."""
+        for length in self.model.contexts[1:]:
+            if length < below:
+                at, _, _, which, _ = self.runs(length)
+                log, _ = self.answer(_BEHIND + length, np.uint32)
+                self.log[at] = _exact(log)[which]
 
 
 def _ask_counts(model: _Model):
@@ -535,19 +538,20 @@ def _answer_pairs(model: _Model):
     return run
 
 
-def _ask_triples(model: _Model):
+def _ask_runs(model: _Model, length: int):
     def run(blocks: pa.Table, mail: pa.Table) -> pa.Table:
         if not blocks.num_rows:
             return mail_table([])
         state = _State(model, blocks, mail)
-        state.by_pairs()  # a place of three frequent tokens has its pair's probability
-        at, key, first, _, counts = state.triples
+        state.by_pairs()
+        state.by_runs(length)  # a place behind frequent tokens has the probability of the next shorter context
+        at, key, first, _, counts = state.runs(length)
         return mail_table(letters(model.range_of_run(key), _RUNS, state.name, key, counts.astype(np.uint32), _rounded(state.log[at[first]]), rising=True))
 
     return run
 
 
-def _answer_triples(model: _Model):
+def _answer_runs(model: _Model, length: int):
     def run(table: pa.Table) -> pa.Table:
         key, n, log, which, sizes = _read_keys(table, _RUNS)
         context = model.context(key)
@@ -555,7 +559,7 @@ def _answer_triples(model: _Model):
         if len(own):
             at = np.minimum(np.searchsorted(own, context), len(own) - 1)
             log = _smooth(n, log, at, (own[at] == context) & _keep(model, total, sums)[at], total, kinds)
-        return mail_table(_same_order(table, _RUNS, _THIRD, which, sizes, _rounded(log)))
+        return mail_table(_same_order(table, _RUNS, _BEHIND + length, which, sizes, _rounded(log)))
 
     return run
 
@@ -570,7 +574,7 @@ def _score(model: _Model):
         state = _State(model, blocks, mail)
         state.by_counts()
         state.by_pairs()
-        state.by_triples()
+        state.by_runs(model.contexts[-1] + 1)
         begin = np.cumsum(state.sizes) - state.sizes
         counts = state.counts[state.tokens]
         return pa.table(
@@ -595,6 +599,7 @@ def score_texts(
     of: int = 7,
     fold: int = 2,
     gain: float = 10.0,
+    contexts: tuple[int, ...] = (1, 3),
     block_bytes: int = 8 << 20,
     spelling: SuffixAutomaton | None = None,
 ) -> DataFrame:
@@ -602,11 +607,14 @@ def score_texts(
 
     Learns from the texts whose crc32(id as text) modulo `of` is not `fold`; a null
     id is never held out. gain: least log-likelihood that a context must add to be
-    kept. Null text counts as empty: one end token. Repeated rows are scored, and
+    kept. contexts: lengths of contexts in tokens, rising from 1; a suffix tree without
+    gaps has all of them, as (1, 2, 3). Null text counts as empty: one end token. Repeated rows are scored, and
     counted, as often as they stand. An empty table gives no rows; other columns don't
-    matter; a text of any length is used as a whole. Tokens, and contexts of three, are
+    matter; a text of any length is used as a whole. Tokens, and contexts of several, are
     told apart by hashes, of 64 and of 32 bits or more; logarithms travel in steps of 1/4096.
     """
+    if contexts[:1] != (1,) or any(a >= b for a, b in zip(contexts, contexts[1:], strict=False)):
+        raise ValueError("contexts must rise from 1")
     spark = docs.sparkSession
     held = held_out(id_col, of, fold)
     number = F.col(id_col).cast("long")
@@ -624,7 +632,7 @@ def score_texts(
     bits = max(1, (most * model.n_ranges).bit_length())
     if bits > 32:
         raise ValueError("more than 2**32 distinct tokens")
-    model = _Model(model.n_ranges, gain, min(64 - bits, max(32, size.bit_length() + 8)), bits, tokens, distinct)
+    model = _Model(model.n_ranges, gain, min(64 - bits, max(32, size.bit_length() + 8)), bits, tokens, distinct, contexts)
     counts = counted.df.where("to >= 0")
     asked = Step(block(*texts, "lengths", "letters").cogroup(to(counts)).applyInArrow(_ask_pairs(model, spelling), MAIL))
     # what spelling and counting took isn't needed any more
@@ -639,10 +647,15 @@ def score_texts(
     asked.drop()
     release(spark)
     known = counts.unionByName(second.df)
-    third = Step(to(block(*texts).cogroup(to(known)).applyInArrow(_ask_triples(model), MAIL)).applyInArrow(_answer_triples(model), MAIL))
-    release(spark)
-    scored = written(block("ids", *texts).cogroup(to(known.unionByName(root.df).unionByName(third.df))).applyInArrow(_score(model), _SCORES))
-    for step in (blocks, counted, root, second, third):
+    longer = []
+    for length in contexts[1:]:
+        runs_ = block(*texts).cogroup(to(known)).applyInArrow(_ask_runs(model, length), MAIL)
+        longer.append(Step(to(runs_).applyInArrow(_answer_runs(model, length), MAIL)))
+        known = known.unionByName(longer[-1].df)
+        del runs_
+        release(spark)
+    scored = written(block("ids", *texts).cogroup(to(known.unionByName(root.df))).applyInArrow(_score(model), _SCORES))
+    for step in (blocks, counted, root, second, *longer):
         step.drop()
     release(spark)
     totals = (tokens, distinct)

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -456,6 +457,55 @@ def test_lm_score_equals_a_plain_tree(spark):
         assert math.isclose(sum(one(c, w) for w in counts) + (1 - sum(root(w) for w in counts)) * (one(c, "zzzz") / root("zzzz")), 1, rel_tol=1e-6)
 
 
+def test_lm_score_equals_a_plain_tree_without_gaps(spark, monkeypatch):
+    """The query's tree: contexts of one, two and three tokens, each falling to the next shorter one."""
+    rng, vocabulary = random.Random(12), prose(6, 30).split()
+    passage = [rng.choice(vocabulary) for _ in range(30)]
+    texts = [[*(rng.choice(vocabulary) for _ in range(rng.randint(0, 40))), *(passage[: rng.randint(0, 30)] if i % 3 == 0 else [])] for i in range(120)]
+    # behind two tokens the next one is known, behind one it isn't, and three tokens never recur
+    texts += [[f"own{i}", vocabulary[0], vocabulary[1 + i % 5], f"next{i % 5}"] for i in range(60)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    blocks = table(spark, rows).selectExpr("doc_id", "text", "false AS held_out", "true AS train", "false AS nothing").mapInArrow(suffixlm._blocks(2000), suffixlm._BLOCKS)
+    spelling = suffixlm.fit_spelling(blocks)
+    whole = suffixlm.score_texts
+    monkeypatch.setattr(queries, "_table", lambda *_: table(spark, rows))
+    monkeypatch.setattr(suffixlm, "score_texts", lambda docs, **options: whole(docs, spelling=spelling, gain=6.0, block_bytes=2000, **options))
+    found = {r["doc_id"]: r for r in queries.op5_lm_scoring(spark, "").collect()}
+    tokens = {i: [*t.split(), None] for i, t in rows}
+    train = [t for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    counts = Counter(w for t in train for w in t)
+    n, v = sum(counts.values()), len(counts)
+    followers = defaultdict(Counter)
+    for t in train:
+        for k in (1, 2, 3):
+            for i in range(k, len(t)):
+                followers[tuple(t[i - k : i])][t[i]] += 1
+
+    def spelt(w):
+        if w is None:
+            return suffixlm._STOP_SHARE
+        return (1 - suffixlm._STOP_SHARE) * 10.0 ** float(spelling.score(np.frombuffer(w.encode() + b"\n", np.uint8), np.array([0, len(w) + 1]))[0])
+
+    @cache
+    def probability(context, w):
+        if not context:
+            return (counts[w] + v * spelt(w)) / (n + v)
+        own, lower_ = followers.get(context, Counter()), lambda x: probability(context[1:], x)
+        total, kinds = sum(own.values()), len(own)
+        gain = sum(m * math.log(m / total / lower_(x)) for x, m in own.items()) if total >= 2 else 0.0
+        return (own[w] + kinds * lower_(w)) / (total + kinds) if gain > 6.0 else lower_(w)
+
+    used = Counter()
+    for i, t in tokens.items():
+        log = 0.0
+        for j, w in enumerate(t):
+            p = [probability(tuple(t[j - k : j]), w) for k in range(min(j, 3) + 1)]
+            used.update(k for k in range(1, len(p)) if p[k] != p[k - 1])
+            log += math.log10(p[-1])
+        assert math.isclose(found[i]["score"], log, rel_tol=1e-3), (i, found[i]["score"], log)
+    assert min(used[1], used[2], used[3]) > 50, used
+
+
 def test_lm_beats_token_counts_on_held_out_texts(spark):
     found = queries.op5_lm_scoring(spark, "/root/testdata/sf0.01").toPandas()
     held = found[found.held_out]
