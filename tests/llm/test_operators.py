@@ -228,6 +228,43 @@ def test_segments():
     assert found == [[0, 0, 1], [0, 30, 4], [3, 2, 7], [17, 5, 5]]
 
 
+def test_changed_passages_of_hot_seeds_only_are_found(spark):
+    """Each run of 5 words or more that two passages share stands in ten more documents, apart from the others."""
+    rng, rows = random.Random(11), []
+    for i in range(20):
+        words = prose(20000 + i, 60).split()
+        changed = list(words)
+        for k in rng.sample(range(60), (9, 6)[i % 2]):  # similarity 0.85, 0.90
+            changed[k] = f"new{rng.randint(0, 10**6)}"
+        shared = [r for r in " ".join(a if a == b else "/" for a, b in zip(words, changed, strict=True)).split("/") if len(r.split()) >= 5]
+        for j, passage in enumerate((words, changed)):
+            rows.append((2 * i + j, f"{prose(30000 + 2 * i + j, 40)} {' '.join(passage)} {prose(40000 + 2 * i + j, 40)}"))
+        for j in range(10):
+            rows.append((1000 + 10 * i + j, " ".join(f"{prose(50000 + 100 * (10 * i + j) + k, 30)} {r}" for k, r in enumerate(shared))))
+    found = {frozenset((r["doc_id"], r["other_id"])) for r in substring.repeated_passages(table(spark, rows)).collect()}
+    assert found == {frozenset((2 * i, 2 * i + 1)) for i in range(20)}
+
+
+def test_hot_places_that_ask_find_all_that_resemble_them():
+    """Against all pairs of places of two seeds, of which some stand in repetitions; asking ones in one part or several."""
+    rng = np.random.default_rng(5)
+    sides = substring._Sides.of(50, 0.8)
+    base = rng.integers(1, 1 << 16, (3, 2 * sides.words)).astype(np.uint16)
+    around = base[rng.integers(0, 3, 400)]
+    around = np.where(rng.random(around.shape) < rng.choice([0.1, 0.4, 0.9], (400, 1)), rng.integers(1, 1 << 16, around.shape), around).astype(np.uint16)
+    code, text, ask = rng.integers(0, 2, 400).astype(np.uint64), rng.integers(0, 200, 400), rng.random(400) < 0.3
+    alike = lambda a, b, side: int((around[a][side] == around[b][side]).sum()) >= sides.common
+    halves = (slice(0, sides.words), slice(sides.words, None))
+    want = {(a, b) for a in range(400) for b in range(400) if code[a] == code[b] and text[a] > text[b] and (ask[a] or ask[b]) and any(alike(a, b, s) for s in halves)}
+    for keys in (1 << 10, 4 << 20):
+        before, substring._KEYS = substring._KEYS, keys
+        try:
+            found = {(int(a), int(b)) for own, other in substring._candidates(sides, code, text, ask, np.zeros(400, bool), around) for a, b in zip(own, other, strict=True)}
+        finally:
+            substring._KEYS = before
+        assert len(want) > 100 and want == found
+
+
 def test_exact_passages_of_random_corpora(spark):
     """Whatever repeats, each document with 50 words of another one is in a row with such words."""
     rng = random.Random(11)
