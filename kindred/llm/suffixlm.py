@@ -241,8 +241,8 @@ def _grams(code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
 _BLOCKS = "block int, ids binary, flags binary, sizes binary, tokens binary, codes binary, taken binary, lengths binary, letters binary"
 _BLOCK_TYPES = (pa.int32(), *[pa.binary()] * 8)
 _NULL, _HELD, _TRAIN = 1, 2, 4
-# Kinds of messages.
-_TOKENS, _COUNTS, _TOTALS, _ROOT, _PAIRS, _SUMS, _KEPT, _SECOND, _RUNS, _BEHIND = range(10)  # _BEHIND and the length of the context
+# Kinds of messages; those that a block sends to itself have the ranges' number added to it.
+_TOKENS, _COUNTS, _TOTALS, _PLACES, _PAIRS, _SUMS, _KEPT, _SECOND, _BASE, _SCORED, _OFTEN, _RUNS, _BEHIND = range(13)  # _BEHIND and the length of the context
 
 
 def _blocks(block_bytes: int):
@@ -360,6 +360,8 @@ class _State:
         self.train = np.repeat((self.flags & _TRAIN) > 0, self.sizes)
         self.nth = np.arange(len(self.tokens)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
         self.counts, place, home = self.answer(_COUNTS, np.int64, np.uint32)
+        if not len(place):  # the counts aren't needed any more
+            place, home = self.answer(_PLACES, np.uint32)
         self.log = np.zeros(len(self.tokens))
         self.number = place.astype(np.uint64) * np.uint64(model.n_ranges) + home.astype(np.uint64)
 
@@ -377,12 +379,19 @@ class _State:
         words = length > 0
         spelt[words] = spelling.score(self.column("letters", np.uint8), np.concatenate([[0], np.cumsum(length[words])])) + math.log10(1 - _STOP_SHARE)
         unseen = max(self.model.distinct, 1)
-        self.root = _rounded(_plus(self.counts, unseen, spelt) - math.log10(self.model.tokens + unseen))
-        self.log = _exact(self.root)[self.tokens]
+        self.log = _exact(_rounded(_plus(self.counts, unseen, spelt) - math.log10(self.model.tokens + unseen)))[self.tokens]
 
-    def by_counts(self) -> None:
-        """The same, as it has been computed before."""
-        self.log = _exact(self.answer(_ROOT, np.uint32)[0])[self.tokens]
+    def sums(self, values: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Of each text, over some places."""
+        return np.bincount(np.repeat(np.arange(len(self.sizes)), self.sizes)[at], weights=values[at], minlength=len(self.sizes))
+
+    def told(self, kind: int, *columns: np.ndarray) -> tuple:
+        """A message to itself, beyond the ranges."""
+        return (self.model.n_ranges + self.name, kind, self.name, *map(planes, columns))
+
+    def settled(self, at: np.ndarray, later: np.ndarray) -> tuple:
+        """What the places add to each text that are among `at` and not among `later`, which longer contexts go on with."""
+        return self.told(_SCORED, self.sums(self.log, np.setdiff1d(at, later, assume_unique=True)))
 
     @cached_property
     def pairs(self) -> tuple[np.ndarray, ...]:
@@ -412,13 +421,15 @@ class _State:
             context = mix(context + self.number[self.tokens[at - i]] + np.uint64(1))
         return at, *_by_key(self.model.key(context >> np.uint64(64 - self.model.run_bits), self.number[self.tokens[at]]), self.train[at])
 
-    def by_runs(self, below: int) -> None:
-        """The same behind all contexts of several tokens, but fewer than `below`; from short to long, as each falls to the one before."""
-        for length in self.model.contexts[1:]:
-            if length < below:
-                at, _, _, which, _ = self.runs(length)
-                log, _ = self.answer(_BEHIND + length, np.uint32)
-                self.log[at] = _exact(log)[which]
+    def by_context(self, length: int) -> np.ndarray:
+        """The places behind contexts of so many tokens; their probabilities, and which pairs are frequent."""
+        if length == 1:
+            self.by_pairs()
+            return self.pairs[0]
+        self.often = np.unpackbits(self.answer(_OFTEN, np.uint8)[0], count=len(self.tokens)).astype(bool)
+        at, _, _, which, _ = self.runs(length)
+        self.log[at] = _exact(self.answer(_BEHIND + length, np.uint32)[0])[which]
+        return at
 
 
 def _ask_counts(model: _Model):
@@ -465,8 +476,10 @@ def _ask_pairs(model: _Model, spelling: Broadcast):
         state = _State(model, blocks, mail)
         state.by_spelling(spelling.value)
         at, key, first, _, counts = state.pairs
-        root = (model.n_ranges + state.name, _ROOT, 0, planes(state.root))  # to itself, beyond the ranges
-        return mail_table([root, *letters(model.range_of_pair(key), _PAIRS, state.name, key, counts.astype(np.uint32), _rounded(state.log[at[first]]), rising=True)])
+        counts_ = state.counts[state.tokens]
+        every = np.arange(len(state.tokens))
+        base = state.told(_BASE, state.sums(counts_ > 0, every).astype(np.uint32), state.sums(np.log10(counts_ + 1.0), every))
+        return mail_table([base, state.settled(every, at), *letters(model.range_of_pair(key), _PAIRS, state.name, key, counts.astype(np.uint32), _rounded(state.log[at[first]]), rising=True)])
 
     return run
 
@@ -538,21 +551,27 @@ def _answer_pairs(model: _Model):
     return run
 
 
-def _ask_runs(model: _Model, length: int):
+def _ask_runs(model: _Model, before: int, length: int):
+    """before: the next shorter context, whose probability a place behind frequent tokens falls to; others have theirs."""
+
     def run(blocks: pa.Table, mail: pa.Table) -> pa.Table:
         if not blocks.num_rows:
             return mail_table([])
         state = _State(model, blocks, mail)
-        state.by_pairs()
-        state.by_runs(length)  # a place behind frequent tokens has the probability of the next shorter context
+        known = state.by_context(before)
         at, key, first, _, counts = state.runs(length)
-        return mail_table(letters(model.range_of_run(key), _RUNS, state.name, key, counts.astype(np.uint32), _rounded(state.log[at[first]]), rising=True))
+        own = [state.settled(known, at)]
+        if before == 1:
+            own.append(state.told(_OFTEN, np.packbits(state.often)))
+        return mail_table(own + letters(model.range_of_run(key), _RUNS, state.name, key, counts.astype(np.uint32), _rounded(state.log[at[first]]), rising=True))
 
     return run
 
 
 def _answer_runs(model: _Model, length: int):
     def run(table: pa.Table) -> pa.Table:
+        if table.column("to")[0].as_py() >= model.n_ranges:  # from a block to itself
+            return table.set_column(0, "to", table.column("block"))
         key, n, log, which, sizes = _read_keys(table, _RUNS)
         context = model.context(key)
         own, total, kinds, sums = _sums_of(context, n, log)
@@ -572,19 +591,17 @@ def _score(model: _Model):
         if not blocks.num_rows:
             return pa.table({c.split()[0]: pa.array([], t) for c, t in zip(_SCORES.split(", "), (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)})
         state = _State(model, blocks, mail)
-        state.by_counts()
-        state.by_pairs()
-        state.by_runs(model.contexts[-1] + 1)
-        begin = np.cumsum(state.sizes) - state.sizes
-        counts = state.counts[state.tokens]
+        last = state.by_context(model.contexts[-1])
+        known, logs, _ = state.answer(_BASE, np.uint32, np.float64)
+        before = state.answer(_SCORED, np.float64)[0].reshape(-1, len(state.sizes))
         return pa.table(
             {
                 "doc_id": pa.array(state.column("ids", np.int64), mask=(state.flags & _NULL) > 0),
                 "held_out": pa.array((state.flags & _HELD) > 0),
                 "n_tokens": pa.array(state.sizes),
-                "n_known": pa.array(np.add.reduceat((counts > 0).astype(np.int64), begin)),
-                "logs": pa.array(np.add.reduceat(np.log10(counts + 1.0), begin)),
-                "score": pa.array(np.add.reduceat(state.log, begin)),
+                "n_known": pa.array(known.astype(np.int64)),
+                "logs": pa.array(logs),
+                "score": pa.array(before.sum(axis=0) + state.sums(state.log, last)),
             }
         )
 
@@ -640,22 +657,31 @@ def score_texts(
     blocks.drop()
     blocks = slim
     release(spark)
-    pairs, root = asked.df.where(F.col("to") < model.n_ranges), asked.df.where(F.col("to") >= model.n_ranges).withColumn("to", F.col("to") - model.n_ranges)
+    pairs, own = asked.df.where(F.col("to") < model.n_ranges), asked.df.where(F.col("to") >= model.n_ranges).withColumn("to", F.col("block"))
     kept = to(to(pairs).applyInArrow(_part(model), MAIL)).applyInArrow(_decide(model), MAIL)
-    second = Step(to(pairs).cogroup(to(kept)).applyInArrow(_answer_pairs(model), MAIL))
-    root = Step(root)
+    last = Step(to(pairs).cogroup(to(kept)).applyInArrow(_answer_pairs(model), MAIL))
+    told = [Step(own)]
     asked.drop()
     release(spark)
-    known = counts.unionByName(second.df)
-    longer = []
-    for length in contexts[1:]:
-        runs_ = block(*texts).cogroup(to(known)).applyInArrow(_ask_runs(model, length), MAIL)
-        longer.append(Step(to(runs_).applyInArrow(_answer_runs(model, length), MAIL)))
-        known = known.unionByName(longer[-1].df)
+    # what is known of the places that longer contexts go on with; the others' sums are told
+    own = F.col("kind").isin(_SCORED, _OFTEN)
+    known = counts
+    places = counts.select("to", F.lit(_PLACES).alias("kind"), "block", F.col("b").alias("a"), *(F.lit(b"").alias(c) for c in "bcde"))
+    for before, length in zip(contexts, contexts[1:], strict=False):
+        runs_ = block(*texts).cogroup(to(known.unionByName(last.df.where(~own)))).applyInArrow(_ask_runs(model, before, length), MAIL)
+        step = Step(to(runs_).applyInArrow(_answer_runs(model, length), MAIL))
+        last.drop()
+        last, known = step, places
+        told.append(Step(last.df.where(own)))
+        for step in told:
+            known = known.unionByName(step.df.where(F.col("kind") == _OFTEN))
         del runs_
         release(spark)
-    scored = written(block("ids", *texts).cogroup(to(known.unionByName(root.df))).applyInArrow(_score(model), _SCORES))
-    for step in (blocks, counted, root, second, *longer):
+    known = (counts if len(contexts) == 1 else places).unionByName(last.df.where(~own))
+    for step in told:
+        known = known.unionByName(step.df)
+    scored = written(block("ids", *texts).cogroup(to(known)).applyInArrow(_score(model), _SCORES))
+    for step in (blocks, counted, last, *told):
         step.drop()
     release(spark)
     totals = (tokens, distinct)

@@ -494,6 +494,15 @@ def test_lm_score_equals_a_plain_tree(spark):
         assert math.isclose(sum(one(c, w) for w in counts) + (1 - sum(root(w) for w in counts)) * (one(c, "zzzz") / root("zzzz")), 1, rel_tol=1e-6)
 
 
+def test_lm_sums_that_a_block_tells_itself_pass_the_ranges():
+    """What is settled goes back to its block, so that later steps don't read the answers behind it."""
+    model = suffixlm._Model(4, 6.0, 32, 8)
+    own = (model.n_ranges + 9, suffixlm._SCORED, 9, suffixlm.planes(np.array([-1.5, -2.5])))
+    back = suffixlm._answer_runs(model, 2)(mail_table([own]))
+    assert back.column("to").to_pylist() == [9]
+    assert mail_read(back, suffixlm._SCORED, np.float64)[0].tolist() == [-1.5, -2.5]
+
+
 def test_lm_score_equals_a_plain_tree_without_gaps(spark, monkeypatch):
     """The query's tree: contexts of one, two and three tokens, each falling to the next shorter one."""
     rng, vocabulary = random.Random(12), prose(6, 30).split()
