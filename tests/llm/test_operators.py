@@ -265,6 +265,46 @@ def test_hot_places_that_ask_find_all_that_resemble_them():
         assert len(want) > 100 and want == found
 
 
+def test_places_of_a_frequent_line_are_not_compared_for_the_line_alone(monkeypatch):
+    """3,000 texts have a line of 14 words in common, two of them much more, with words left out and put in."""
+    rng = np.random.default_rng(6)
+    sides = substring._Window.of(50, 0.8)
+    around = rng.integers(1, 1 << 16, (3000, 2 * sides.words)).astype(np.uint16)
+    around[:, sides.words : sides.words + 9] = np.arange(1, 10)
+    right = around[0, sides.words :]
+    around[1, sides.words :] = np.concatenate([np.delete(right, (12, 17, 22, 27)), [7, 8, 9, 10]])  # 41 of 45
+    around[2, sides.words : sides.words + 30] = right[:30]  # too little
+    compared, real = [], substring._Window.alike
+    monkeypatch.setattr(substring._Window, "alike", lambda self, a, t, one, two: compared.append(len(one)) or real(self, a, t, one, two))
+    everyone = np.ones(3000, bool)
+    found = [(int(a), int(b)) for own, other in substring._candidates(sides, np.zeros(3000, np.uint64), np.arange(3000), everyone, ~everyone, around) for a, b in zip(own, other, strict=True)]
+    assert {frozenset(p) for p in found} == {frozenset((0, 1))} and sum(compared) < 10_000  # of 4,498,500
+
+
+def test_windows_that_hold_a_seed_are_found():
+    """Against all pairs: every split of the 45 words beside the seed, some words repeated, left out or put in."""
+    rng = np.random.default_rng(7)
+    sides = substring._Window.of(50, 0.8)
+    base = rng.integers(1, 30, (3, 200)).astype(np.uint16)
+    rows = []
+    for i in range(300):
+        halves = [base[i % 3, :100], base[i % 3, 100:]]
+        for h in (0, 1):
+            drop = rng.random(100) < rng.choice([0.02, 0.1, 0.3])
+            halves[h] = np.insert(halves[h][~drop], rng.integers(0, 40, rng.integers(0, 4)), 1000 + i)[: sides.words]
+        rows.append(np.concatenate(halves))
+    around, text, ask = np.array(rows), np.arange(300), rng.random(300) < 0.5
+
+    def alike(a, b):
+        left, right = ([longest_common(around[a][s][:n].tolist(), around[b][s].tolist()) for n in range(46)] for s in (slice(0, 45), slice(45, 90)))
+        return any(left[n] + right[m] + 5 >= 0.8 * (n + m + 5) - 1e-6 for n in range(46) for m in range(45 - n, 46))
+
+    found = {(int(a), int(b)) for own, other in substring._candidates(sides, np.zeros(300, np.uint64), text, ask, np.zeros(300, bool), around) for a, b in zip(own, other, strict=True)}
+    some = [(a, b) for a in range(0, 300, 4) for b in range(0, a, 7) if ask[a] or ask[b]]
+    want = {p for p in some if alike(*p)}
+    assert 50 < len(want) < len(some) and want == found & set(some)
+
+
 def test_exact_passages_of_random_corpora(spark):
     """Whatever repeats, each document with 50 words of another one is in a row with such words."""
     rng = random.Random(11)
