@@ -281,6 +281,14 @@ def test_places_of_a_frequent_line_are_not_compared_for_the_line_alone(monkeypat
     assert {frozenset(p) for p in found} == {frozenset((0, 1))} and sum(compared) < 10_000  # of 4,498,500
 
 
+def test_places_that_share_no_key_make_no_pair():
+    """Also if all partners have a place before that stands for them."""
+    sides = substring._Window.of(50, 0.8)
+    around = np.arange(1, 1 + 2 * 2 * sides.words, dtype=np.uint16).reshape(2, -1)
+    for words, before in ((around, False), (np.repeat(around[:1], 2, axis=0), True)):
+        assert not list(substring._candidates(sides, np.zeros(2, np.uint64), np.arange(2), np.ones(2, bool), np.full(2, before), words))
+
+
 def test_windows_that_hold_a_seed_are_found():
     """Against all pairs: every split of the 45 words beside the seed, some words repeated, left out or put in."""
     rng = np.random.default_rng(7)
