@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, jaccard, langid, linededup, packing, quality, substring, suffixlm, urlfilter
+from . import ann, decontam, jaccard, langid, linededup, merkle, packing, quality, substring, suffixlm, urlfilter
 
 #: Bytes A-Z to a-z and the words of the contracts, in DuckDB.
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -81,6 +81,22 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"))
 
 
+#: What a row's digest is made of, in this order.
+MANIFEST_COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
+_UPPER, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    lower = merkle.leaf(MANIFEST_COLUMNS, {"text": F.translate("text", _UPPER, _SMALL)})
+    manifest = merkle.build(docs, MANIFEST_COLUMNS, kept={"tampered": F.when(tampered, lower)})
+    out = manifest.proofs("doc_id", "tampered")
+    out = out.withColumn("folded_root", merkle.fold(F.coalesce("tampered", "leaf"), F.col("proof")))
+    proof = merkle.siblings(F.col("proof")).alias("proof_sha256")
+    return out.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 _OP4 = r"""
 WITH a AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 b AS (
@@ -156,6 +172,54 @@ SELECT doc_id, CAST(coalesce(len(p), 0) AS BIGINT) AS n_lines, CAST(coalesce(n,
 FROM parts LEFT JOIN by_doc USING (doc)"""
 
 
+#: crc32 of a text of ASCII characters, bit by bit.
+_CRC = """xor(4294967295, list_reduce(list_transform(range(1, length({0}) + 1), lambda i: CAST(ascii(substr({0}, i, 1)) AS BIGINT)),
+    lambda c, b: list_reduce([CAST(0 AS BIGINT) FOR i IN range(8)], lambda d, i: xor(d >> 1, 3988292384 * (d & 1)), xor(c, b)), 4294967295))"""
+
+_OP13 = (
+    r"""
+WITH RECURSIVE doc AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, [CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR)] AS own, text,
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS small FROM documents),
+heads AS (SELECT *, array_to_string(list_transform(own, lambda x: coalesce(strlen(x) || ':' || x, '-')), '') AS head FROM doc),
+leaves AS (
+  SELECT r, doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(head || coalesce(strlen(small) || ':' || small, '-')) AS tampered FROM heads),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+tree(top, lvl, g, pos, n, h, ids) AS (
+  SELECT 0, 0, lang, pos, n, leaf, NULL::BIGINT[] FROM placed
+  UNION ALL
+  SELECT 0, lvl + 1, g, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)), NULL FROM tree WHERE n > 1 GROUP BY lvl, g, pos // 8, n),
+subroot AS (SELECT g, h, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1),
+above(lvl, pos, n, h) AS (
+  SELECT 0, pos, n, h FROM subroot
+  UNION ALL
+  SELECT lvl + 1, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM above WHERE n > 1 GROUP BY lvl, pos // 8, n),
+runs AS (SELECT lvl, g, pos // 8 AS up, list(h ORDER BY pos) AS hs FROM tree WHERE n > 1 GROUP BY lvl, g, pos // 8),
+top_runs AS (SELECT lvl, pos // 8 AS up, list(h ORDER BY pos) AS hs FROM above WHERE n > 1 GROUP BY lvl, pos // 8),
+climb(r, lvl, g, pos, n, acc, proof) AS (
+  SELECT r, 0, lang, pos, n, CASE WHEN mod(crc, 3) = 0 THEN tampered ELSE leaf END, ''
+  FROM (SELECT *, """
+    + _CRC.format("CAST(doc_id AS VARCHAR)")
+    + r""" AS crc FROM placed)
+  UNION ALL
+  SELECT r, c.lvl + 1, c.g, c.pos // 8, (c.n + 7) // 8,
+    sha256(array_to_string(hs[:c.pos % 8], '') || acc || array_to_string(hs[c.pos % 8 + 2:], '')),
+    proof || array_to_string(hs[:c.pos % 8], '') || array_to_string(hs[c.pos % 8 + 2:], '')
+  FROM climb c JOIN runs t ON c.n > 1 AND c.lvl = t.lvl AND c.g IS NOT DISTINCT FROM t.g AND c.pos // 8 = t.up),
+climb_top(r, lvl, pos, n, acc, proof) AS (
+  SELECT r, 0, s.pos, s.n, acc, proof FROM climb JOIN subroot s ON climb.n = 1 AND climb.g IS NOT DISTINCT FROM s.g
+  UNION ALL
+  SELECT r, c.lvl + 1, c.pos // 8, (c.n + 7) // 8,
+    sha256(array_to_string(hs[:c.pos % 8], '') || acc || array_to_string(hs[c.pos % 8 + 2:], '')),
+    proof || array_to_string(hs[:c.pos % 8], '') || array_to_string(hs[c.pos % 8 + 2:], '')
+  FROM climb_top c JOIN top_runs t ON c.n > 1 AND c.lvl = t.lvl AND c.pos // 8 = t.up)
+SELECT doc_id, leaf, s.h AS subroot, a.h AS root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = a.h AS verified
+FROM placed p JOIN climb_top c ON p.r = c.r AND c.n = 1 JOIN subroot s ON p.lang IS NOT DISTINCT FROM s.g JOIN above a ON a.n = 1"""
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
@@ -168,8 +232,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_classifier": op8_quality_classifier,
         "op9_line_dedup": op9_line_dedup,
         "op10_nearest_neighbours": op10_nearest_neighbours,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": _OP1, "op4_url_filters": _OP4, "op7_decontamination": _OP7, "op9_line_dedup": _OP9}
+    return {"op1_ngram_jaccard": _OP1, "op4_url_filters": _OP4, "op7_decontamination": _OP7, "op9_line_dedup": _OP9, "op13_merkle_manifest": _OP13}
