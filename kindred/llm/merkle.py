@@ -12,10 +12,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spark import written
+from .spark import numbered, written
 
 
 def digest(*parts: Column) -> Column:
@@ -44,25 +44,6 @@ def siblings(proof: Column) -> Column:
     return F.sha2(F.array_join(F.transform(proof, lambda s: F.concat(s["before"], s["after"])), ""), 256)
 
 
-def _numbered(rows: DataFrame, order: Sequence[str]) -> DataFrame:
-    """`rows` of a written table with `pos`, the place in its `group` by `order`, and the group's size `n`.
-
-    Equal rows are dealt by a hash of their place in the table, so that many of them
-    don't meet in one range; whichever of them is first, the result is the same.
-    """
-    keys = ["group", *order, "__tie"]
-    spread = rows.withColumn("__tie", F.xxhash64(F.monotonically_increasing_id())).repartitionByRange(*keys)
-    # rows of a partition are numbered one by one, from its number times 2**33 on
-    step = written(spread.sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id()).drop("__tie"))
-    part = F.shiftright("__at", 33).alias("__part")
-    parts = step.groupBy("group", part).agg(F.min("__at").alias("__low"), F.count("*").alias("__n"))
-    own = Window.partitionBy("group")
-    before = F.coalesce(F.sum("__n").over(own.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = written(parts.select("group", "__part", "__low", before.alias("__before"), F.sum("__n").over(own).alias("n")))
-    out = step.withColumn("__part", part).join(parts, ["group", "__part"])
-    return out.withColumn("pos", F.col("__at") - F.col("__low") + F.col("__before")).drop("__part", "__at", "__low", "__before")
-
-
 def _runs(nodes: DataFrame, kept: Sequence[str], fanout: int) -> DataFrame:
     """Runs of (group, pos, n, h): their children in order, and their digest; a node without any others is as it is."""
     up = F.floor(F.col("pos") / F.lit(fanout)).cast("long") if fanout & (fanout - 1) else F.shiftright("pos", fanout.bit_length() - 1)
@@ -145,12 +126,12 @@ def build(docs: DataFrame, columns: Sequence[str], *, id_col: str = "doc_id", gr
     kept = {id_col: F.col(id_col)} | dict(kept or {})
     group = F.coalesce(F.concat(F.lit("="), F.col(group_col).cast("string")), F.lit(""))
     rows = written(docs.select(group.alias("group"), F.col(id_col).alias("__id"), leaf(columns).alias("h"), *(c.alias(name) for name, c in kept.items())))
-    levels = _tree(_numbered(rows, ("__id", "h")), list(kept), fanout)
+    levels = _tree(numbered(rows, "group", ("__id", "h")), list(kept), fanout)
     ends = levels[0].where("n = 1")
     for runs in levels[1:]:
         ends = ends.drop("children").unionByName(runs.where("n = 1").drop("children"))
     roots = written(ends.select(F.lit("").alias("group"), F.col("group").alias("own"), "h"))
-    tops = _tree(_numbered(roots, ("own",)), ("own",), fanout)
+    tops = _tree(numbered(roots, "group", ("own",)), ("own",), fanout)
     top = tops[-1].where("n = 1").select("h").first()
     return Manifest(top[0] if top else None, levels, tops)
 

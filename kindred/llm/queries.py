@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, jaccard, langid, linededup, merkle, packing, quality, substring, suffixlm, urlfilter
+from . import ann, chats, decontam, jaccard, langid, linededup, merkle, packing, quality, substring, suffixlm, urlfilter
+from .spark import written
 
 #: Bytes A-Z to a-z and the words of the contracts, in DuckDB.
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -81,6 +82,13 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tricky = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    turns = _table(spark, sf_dir, "conversations").select(*own.columns).unionByName(own)
+    return chats.digests(written(chats.format_chats(turns)))
+
+
 #: What a row's digest is made of, in this order.
 MANIFEST_COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 _UPPER, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -172,6 +180,21 @@ SELECT doc_id, CAST(coalesce(len(p), 0) AS BIGINT) AS n_lines, CAST(coalesce(n,
 FROM parts LEFT JOIN by_doc USING (doc)"""
 
 
+_ESCAPED = r"""regexp_replace(coalesce({}, ''), '([<\[])(\\*)(s>|/s>|INST\]|/INST\]|\|endoftext\|>|\|im_start\|>|\|im_sep\|>|\|im_end\|>)', '\1\2\\\3', 'g')"""
+
+_OP12 = f"""
+WITH t AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+p AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    length('<|im_start|><|im_sep|><|im_end|>') + length({_ESCAPED.format('role')}) + length({_ESCAPED.format('text')}) AS size FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(size) + length('<s></s>') AS BIGINT) AS formatted_chars
+FROM p GROUP BY conv_id"""
+
 #: crc32 of a text of ASCII characters, bit by bit.
 _CRC = """xor(4294967295, list_reduce(list_transform(range(1, length({0}) + 1), lambda i: CAST(ascii(substr({0}, i, 1)) AS BIGINT)),
     lambda c, b: list_reduce([CAST(0 AS BIGINT) FOR i IN range(8)], lambda d, i: xor(d >> 1, 3988292384 * (d & 1)), xor(c, b)), 4294967295))"""
@@ -232,9 +255,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_classifier": op8_quality_classifier,
         "op9_line_dedup": op9_line_dedup,
         "op10_nearest_neighbours": op10_nearest_neighbours,
+        "op12_chat_formatting": op12_chat_formatting,
         "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": _OP1, "op4_url_filters": _OP4, "op7_decontamination": _OP7, "op9_line_dedup": _OP9, "op13_merkle_manifest": _OP13}
+    return {"op1_ngram_jaccard": _OP1, "op4_url_filters": _OP4, "op7_decontamination": _OP7, "op9_line_dedup": _OP9, "op12_chat_formatting": _OP12, "op13_merkle_manifest": _OP13}

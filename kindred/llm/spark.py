@@ -9,9 +9,9 @@ import re
 import tempfile
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -133,6 +133,25 @@ def components(edges: DataFrame) -> DataFrame:
     return out
 
 
+def numbered(rows: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
+    """`rows` of a written table with `pos`, the place in its group by `order`, nulls first, and the group's size `n`.
+
+    Rows are sorted by a range partitioning, so a group of any size is spread over tasks. Equal rows
+    are dealt by a hash of their place in the table, so that many of them don't meet in one range;
+    whichever of them is first, the result is the same.
+    """
+    keys = [group, *order, "__tie"]
+    spread = rows.withColumn("__tie", F.xxhash64(F.monotonically_increasing_id())).repartitionByRange(*keys)
+    # rows of a partition are numbered one by one, from its number times 2**33 on
+    step = written(spread.sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id()).drop("__tie"))
+    parts = step.groupBy(F.col(group).alias("__group"), F.shiftright("__at", 33).alias("__part")).agg(F.min("__at").alias("__low"), F.count("*").alias("__n"))
+    own = Window.partitionBy("__group")
+    before = F.coalesce(F.sum("__n").over(own.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = written(parts.select("__group", "__part", "__low", before.alias("__before"), F.sum("__n").over(own).alias("n")))
+    out = step.join(parts, F.col(group).eqNullSafe(F.col("__group")) & (F.shiftright("__at", 33) == F.col("__part")))
+    return out.withColumn("pos", F.col("__at") - F.col("__low") + F.col("__before")).drop("__group", "__part", "__at", "__low", "__before")
+
+
 def row_key(id_col: str, text_col: str) -> Column:
     """What tells rows apart, in order: by id, nulls last, and rows of one id by a hash of their text.
 
