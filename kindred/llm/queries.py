@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chats, decontam, jaccard, langid, linededup, merkle, packing, quality, substring, suffixlm, urlfilter
+from . import ann, chats, decontam, divergence, jaccard, langid, linededup, merkle, packing, quality, substring, suffixlm, urlfilter
 from .spark import written
 
 #: Bytes A-Z to a-z and the words of the contracts, in DuckDB.
@@ -82,6 +82,10 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     tricky = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
@@ -180,6 +184,33 @@ SELECT doc_id, CAST(coalesce(len(p), 0) AS BIGINT) AS n_lines, CAST(coalesce(n,
 FROM parts LEFT JOIN by_doc USING (doc)"""
 
 
+_OP11 = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+tok AS (SELECT r, lang, source, unnest(w) AS term FROM doc),
+kept AS (SELECT lang, term FROM tok GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+cnt AS (SELECT lang, source, term, count(*) AS c FROM tok JOIN kept USING (lang, term) GROUP BY ALL),
+grp AS (SELECT DISTINCT lang, source FROM doc),
+size AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+total AS (SELECT lang, source, coalesce(sum(c), 0) AS n FROM grp LEFT JOIN cnt USING (lang, source) GROUP BY ALL),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c, 0) AS c, 1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c, 0) + 1)) // (n + v) AS p
+  FROM grp g JOIN kept k USING (lang) JOIN size USING (lang) JOIN total USING (lang, source) LEFT JOIN cnt ON g.lang = cnt.lang AND g.source = cnt.source AND k.term = cnt.term),
+q AS (
+  SELECT lang, term, 1 + (CAST(1000000000 AS HUGEINT) * (sum(c) + 1)) // ((SELECT sum(n) FROM total t WHERE t.lang = cnt.lang) + any_value(v)) AS q
+  FROM cnt JOIN size USING (lang) GROUP BY lang, term),
+other AS (SELECT a.lang, a.source, b.source AS item FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source),
+far AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair AS (SELECT lang, source, 'pair' AS part, item, coalesce(value, 0) AS value FROM other LEFT JOIN far USING (lang, source, item)),
+term AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+  FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200"""
+
 _ESCAPED = r"""regexp_replace(coalesce({}, ''), '([<\[])(\\*)(s>|/s>|INST\]|/INST\]|\|endoftext\|>|\|im_start\|>|\|im_sep\|>|\|im_end\|>)', '\1\2\\\3', 'g')"""
 
 _OP12 = f"""
@@ -255,10 +286,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_classifier": op8_quality_classifier,
         "op9_line_dedup": op9_line_dedup,
         "op10_nearest_neighbours": op10_nearest_neighbours,
+        "op11_source_divergence": op11_source_divergence,
         "op12_chat_formatting": op12_chat_formatting,
         "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": _OP1, "op4_url_filters": _OP4, "op7_decontamination": _OP7, "op9_line_dedup": _OP9, "op12_chat_formatting": _OP12, "op13_merkle_manifest": _OP13}
+    return {"op1_ngram_jaccard": _OP1, "op4_url_filters": _OP4, "op7_decontamination": _OP7, "op9_line_dedup": _OP9, "op11_source_divergence": _OP11, "op12_chat_formatting": _OP12, "op13_merkle_manifest": _OP13}
