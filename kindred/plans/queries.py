@@ -131,7 +131,7 @@ def popularity_scores(spark, sf_dir):
 
 
 def stream_features(spark, sf_dir):
-    return digest.features(documents(spark, sf_dir))
+    return digest.features(documents(spark, sf_dir)).withColumn("sha1", F.lower(F.hex("sha1")))
 
 
 def stream_digest(spark, sf_dir):
@@ -314,8 +314,52 @@ def _entropy_sql() -> str:
             w AS (SELECT r, name, CAST(u // 1024 AS INT) AS entropy FROM e WHERE p < size - 64)"""
 
 
-def oracle_sql() -> dict[str, str]:
+#: Doublings of the way through elections that SQL follows: 2 ** 20 elections in an object.
+_ROUNDS = 20
+
+
+def _votes_sql() -> str:
+    """Votes for the places of all objects, as `votes` (r, p, score), beside ranks `k` (r, name, p, size, rank).
+
+    What each window leads to, as an election (twice its offset) or a takeover (one more),
+    is a row of its own. Which of these rows happen is found by doubling: those that 1, 2, 4, ... steps lead to from
+    the first election on.
+    """
     ranks = "[" + ", ".join(map(str, t.default_ranks().tolist())) + "]"
+    lead = ", ".join(f"lead(rank, {d}, 0) OVER o AS l{d}" for d in range(1, 127))
+
+    def ahead(first: int, end: int, low: str) -> str:
+        return "CASE " + " ".join(f"WHEN l{d} <= {low} THEN {2 * d} + CAST(l{d} = {low} AS INT)" for d in range(first, end)) + f" ELSE {2 * end} END"
+
+    out = f"""{_entropy_sql()},
+            k AS MATERIALIZED (SELECT r, name, p, size, CAST(CASE WHEN p < size - 64 THEN {ranks}[CAST(u // 1024 AS INT) + 1] ELSE 0 END AS INT) AS rank FROM e),
+            -- the leftmost smallest positive rank of each window, the last place of each run of equals, the next place that has a rank, the ranks that come
+            v AS (SELECT r, p, size, rank,
+                min(CASE WHEN rank > 0 THEN CAST(rank AS BIGINT) * 4294967296 + p END) OVER (PARTITION BY r ORDER BY p ROWS BETWEEN CURRENT ROW AND 63 FOLLOWING) AS least,
+                min(CASE WHEN change THEN p END) OVER (PARTITION BY r ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS run,
+                coalesce(min(CASE WHEN rank > 0 THEN p END) OVER (PARTITION BY r ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), size) AS waits, {lead}
+                FROM (SELECT *, rank IS DISTINCT FROM lead(rank) OVER (PARTITION BY r ORDER BY p) AS change FROM k) WINDOW o AS (PARTITION BY r ORDER BY p)),
+            -- twice the distance of the first rank that isn't greater, behind the window and one more or behind the place itself, and one more if it is equal
+            a AS MATERIALIZED (SELECT r, p, size, rank, least % 4294967296 AS at, run, waits, {ahead(65, 127, "(least // 4294967296)")} AS far, {ahead(1, 64, "rank")} AS near FROM v),
+            c AS (SELECT a.r, 2 * a.p AS state, least(x.run, a.p + 63) AS place, a.p + a.far // 2 - 64 AS stop, a.far % 2 AS same, a.p
+                    FROM a JOIN a x ON a.r = x.r AND x.p = a.at WHERE a.rank > 0 AND a.p < a.size - 64
+                  UNION ALL SELECT r, 2 * p - 127, p, p + near // 2 - 64, near % 2, p - 64 FROM a WHERE rank > 0 AND p >= 64),
+            d AS (SELECT r, state, place, p, greatest(least(stop, place), p + 1) AS stop, stop < place AND same = 1 AS over FROM c),
+            -- the windows up to the end vote for the place; then it is taken over, or there is an election
+            s AS MATERIALIZED (SELECT d.r, state, place, stop - d.p AS n, CASE WHEN over THEN 2 * stop + 1 ELSE 2 * w.waits END AS following
+                FROM d JOIN a w ON w.r = d.r AND w.p = stop),
+            r0 AS (SELECT r, 2 * waits AS state FROM a WHERE p = 0),
+            j0 AS MATERIALIZED (SELECT r, state, following FROM s WHERE (r, state) IN (SELECT r, following FROM s UNION ALL FROM r0))"""
+    for i in range(_ROUNDS):
+        out += f""",
+            r{i + 1} AS MATERIALIZED (SELECT r, state FROM r{i} UNION SELECT r, following FROM r{i} JOIN j{i} USING (r, state)),
+            j{i + 1} AS MATERIALIZED (SELECT x.r, x.state, y.following FROM j{i} x JOIN j{i} y ON x.r = y.r AND x.following = y.state)"""
+    return f"""{out},
+            votes AS MATERIALIZED (SELECT r, place AS p, CAST(sum(n) AS INT) AS score FROM s JOIN r{_ROUNDS} USING (r, state) GROUP BY r, place)"""
+
+
+def oracle_sql() -> dict[str, str]:
+    ranks, votes = "[" + ", ".join(map(str, t.default_ranks().tolist())) + "]", _votes_sql()
     cut = "[" + ", ".join(map(str, t.CUTOFFS_256)) + "]"
     index_bits = f"WITH {_WORDS}, b AS (SELECT DISTINCT source, v % 536870912 AS bit FROM word)"
     return {
@@ -339,6 +383,10 @@ def oracle_sql() -> dict[str, str]:
             SELECT name, size, CAST(coalesce(sum(size) OVER (ORDER BY name NULLS FIRST, size NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // {BATCH} AS INT) AS batch FROM o""",
         "window_entropy": f"WITH {_entropy_sql()} SELECT name, entropy, count(*) AS n FROM w GROUP BY r, name, entropy",
         "chunk_ranks": f"WITH {_entropy_sql()} SELECT name, CAST({ranks}[entropy + 1] AS INT) AS rank, count(*) AS n FROM w GROUP BY r, name, rank",
+        "popularity_scores": f"""WITH {votes} SELECT name, coalesce(score, 0) AS score, count(*) AS n FROM k LEFT JOIN votes USING (r, p)
+            WHERE p < size - 64 GROUP BY r, name, coalesce(score, 0)""",
+        "stream_features": f"""WITH {votes} SELECT name, CAST(0 AS BIGINT) AS block, CAST(p AS BIGINT) AS offset, score, sha1(x[p + 1 : p + 64]) AS sha1
+            FROM votes JOIN o USING (r) WHERE score > 16""",
         "feature_bits": f"WITH {_WORDS} SELECT doc_id, CAST(w AS INT) AS word, v % 2048 AS small_bit, v % 131072 AS large_bit FROM word",
         "bloom_build": f"WITH {_WORDS}, {_SOURCE} SELECT grp, CAST(n AS INT) AS elements, CAST(count(*) AS INT) AS hamming, round(2048.0 / n, 6) AS bits_per_element FROM e JOIN b USING (grp) GROUP BY grp, n",
         "bloom_bits": f"WITH {_WORDS}, {_SOURCE} SELECT grp, bit FROM b",
