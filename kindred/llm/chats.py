@@ -117,15 +117,20 @@ def _starts(turns: pa.RecordBatch) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def assemble(turns: pa.RecordBatch, template: Template) -> pa.RecordBatch:
-    """Formatted pieces of sorted turns (conv_id, pos, last, role, text), one for each run of a conversation.
+def assemble(turns: pa.RecordBatch, template: Template, most: int) -> pa.RecordBatch:
+    """Formatted pieces of sorted turns (conv_id, pos, last, role, text), one for each run of a conversation, cut behind each `most` bytes.
 
     pos: place of the turn in its conversation; last: whether it ends there.
     """
     n, start = len(turns), _starts(turns)
-    stop = np.append(start[1:], n)[: len(start)]
     pos, last = turns.column("pos").to_numpy(), turns.column("last").to_numpy(zero_copy_only=False)
     roles, texts = (template.escaped(*column_bytes(turns.column(c))) for c in ("role", "text"))
+    # bytes of the run up to each turn
+    run = np.cumsum(np.isin(np.arange(n), start)) - 1
+    size = (roles[1] + texts[1])[:-1]
+    part = (size - size[start][run]) // most
+    start = np.flatnonzero(np.append(True, (run[1:] != run[:-1]) | (part[1:] != part[:-1])))
+    stop = np.append(start[1:], n)[: len(start)]
     begin, turn, body, end, close = (np.frombuffer(x.encode(), np.uint8) for x in (template.begin, template.turn, template.body, template.end, template.close))
     # of each turn: begin, turn, role, body, text, end, close
     sizes = np.empty((n, 7), dtype=np.int64)
@@ -164,10 +169,10 @@ def _format(template: Template, most: int):
             if rows.slice(cut).nbytes > most:
                 cut = len(rows)
             if cut:
-                yield assemble(rows.slice(0, cut), template)
+                yield assemble(rows.slice(0, cut), template, most)
             rest = rows.slice(cut)
         if rest is not None and len(rest):
-            yield assemble(rest, template)
+            yield assemble(rest, template, most)
 
     return run
 

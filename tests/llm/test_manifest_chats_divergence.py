@@ -1,0 +1,232 @@
+"""Manifest, chat formatting and divergence audit: odd rows, brute force, round trips."""
+
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from kindred.llm import chats, divergence, merkle
+
+DOCS = "doc_id long, source string, lang string, n_chars long, text string, h string, pos int, group int, n int, term string, part string"
+COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def docs(spark, rows):
+    """Documents with columns whose names clash with those that operators make."""
+    return spark.createDataFrame([(*r, "h", 1, 2, 3, "t", "p") for r in rows], DOCS)
+
+
+# ---- manifest
+
+
+def sha(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def model_leaf(row):
+    return sha(*("-" if v is None else f"{len(str(v).encode())}:{v}" for v in row))
+
+
+def model_tree(nodes, fanout):
+    """(root, proofs of the nodes: siblings before and behind, level by level)."""
+    proofs = [[] for _ in nodes]
+    places = list(range(len(nodes)))
+    while len(nodes) > 1:
+        runs = [nodes[i : i + fanout] for i in range(0, len(nodes), fanout)]
+        for i, at in enumerate(places):
+            run = runs[at // fanout]
+            proofs[i].append(("".join(run[: at % fanout]), "".join(run[at % fanout + 1 :])))
+        places = [at // fanout for at in places]
+        nodes = [sha(*run) for run in runs]
+    return nodes[0], proofs
+
+
+def model_manifest(rows, fanout):
+    groups = defaultdict(list)
+    for row in rows:
+        groups[row[2]].append((row[0] is not None, row[0] or 0, model_leaf(row)))
+    names = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    trees = {g: model_tree([leaf for *_, leaf in sorted(groups[g])], fanout) for g in names}
+    root, tops = model_tree([trees[g][0] for g in names], fanout)
+    return Counter((leaf, trees[g][0], root, tuple(own + top)) for g, top in zip(names, tops, strict=True) for (*_, leaf), own in zip(sorted(groups[g]), trees[g][1], strict=True))
+
+
+ROWS = [(None, None, None, None, None), (None, "s", "x", 1, "a"), (3, "s", None, None, "A" * 300_000), (3, "s", None, None, "A" * 300_000), (4, "", "", 0, ""), (-5, "é", "", 1, "ü\x00\n"), (7, "s", "lone", 2, "-")]
+
+
+@pytest.mark.parametrize("fanout", [2, 3, 8])
+def test_manifest_equals_the_model(spark, fanout):
+    rng = random.Random(fanout)
+    rows = ROWS + [(rng.randrange(100), "s", rng.choice(["en", "en", "de", "ça", "Z", "\U0001f600", "￮"]), i, "text" * rng.randrange(4)) for i in range(150)]
+    made = merkle.build(docs(spark, rows), COLUMNS, fanout=fanout)
+    found = made.proofs("doc_id").select("*", merkle.fold(F.col("leaf"), F.col("proof")).alias("folded"), merkle.siblings(F.col("proof")).alias("siblings")).collect()
+    assert Counter((r.leaf, r.subroot, r.root, tuple((p.before, p.after) for p in r.proof)) for r in found) == model_manifest(rows, fanout)
+    assert Counter(r.doc_id for r in found) == Counter(r[0] for r in rows)
+    assert all(r.folded == r.root == made.root for r in found)
+    assert all(r.siblings == sha(*(p.before + p.after for p in r.proof)) for r in found)
+
+
+def test_manifest_of_one_row_one_group_and_none(spark):
+    one = merkle.build(docs(spark, ROWS[:1]), COLUMNS)
+    assert one.root == model_leaf(ROWS[0]) and [r.proof for r in one.proofs().collect()] == [[]]
+    group = [(i, "s", "en", i, "t") for i in range(9)]
+    found = merkle.build(docs(spark, group), COLUMNS).proofs("doc_id").collect()
+    assert Counter((r.leaf, r.subroot, r.root, tuple((p.before, p.after) for p in r.proof)) for r in found) == model_manifest(group, 8)
+    assert sorted(r.doc_id for r in found if r.proof[0].before == r.proof[0].after == "") == [8]  # alone in its run, and hashed
+    none = merkle.build(docs(spark, []), COLUMNS)
+    assert none.root is None and none.proofs("doc_id").count() == 0
+    with pytest.raises(ValueError):
+        merkle.build(docs(spark, []), COLUMNS, fanout=1)
+
+
+def test_manifest_tells_what_was_changed(spark):
+    rows = [(i, "s", "en" if i % 3 else "de", i, f"Text {i}") for i in range(100)]
+    lower = merkle.leaf(COLUMNS, {"text": F.lower("text")})
+    made = merkle.build(docs(spark, rows), COLUMNS, kept={"other": F.when(F.col("doc_id") % 10 == 0, lower)})
+    found = made.proofs("doc_id", "other").withColumn("ok", merkle.fold(F.coalesce("other", "leaf"), F.col("proof")) == F.col("root")).collect()
+    assert {r.doc_id for r in found if not r.ok} == set(range(0, 100, 10))
+
+
+# ---- chats
+
+TURNS = "conv_id long, turn long, role string, text string, piece int, pos string, last boolean"
+CONTROLS = chats.Template().all
+
+
+def turns(spark, rows):
+    return spark.createDataFrame([(*r, 1, "x", None) for r in rows], TURNS)
+
+
+def odd_texts(seed, n):
+    rng = random.Random(seed)
+    parts = [*CONTROLS, "\\", "\\\\", "<", "[", "<|", "|>", "s>", "</", "im_end|>", "INST]", "é", "\n", "\x00", "\U0001f600", "words of a text", ""]
+    for control in CONTROLS:
+        parts += [control[0] + "\\" * k + control[1:] for k in (1, 2, 3)] + [control[:-1]]
+    return ["".join(rng.choice(parts) for _ in range(rng.randrange(8))) for _ in range(n)]
+
+
+def test_escapes_are_reversible_and_hide_controls():
+    from kindred.llm.text import column_bytes
+
+    template = chats.Template()
+    texts = odd_texts(1, 4000) + list(CONTROLS)
+    body, offsets = template.escaped(*column_bytes(pa.array(texts)))
+    escaped = [bytes(body[a:b]) for a, b in zip(offsets, offsets[1:], strict=False)]
+    assert not any(c.encode() in e for e in escaped for c in CONTROLS)
+    assert [template.unescape(e).decode() for e in escaped] == texts
+    assert len(set(escaped)) == len(set(texts))
+    # texts without anything to escape stay as they are
+    assert all(e.decode() == x for e, x in zip(escaped, texts, strict=True) if not re.search("|".join(re.escape(c[0]) + r"\\*" + re.escape(c[1:]) for c in CONTROLS), x))
+
+
+@pytest.mark.parametrize("bad", [{"turn": ""}, {"body": "<|im_end|>"}, {"escape": "<"}, {"escape": "é"}, {"controls": ("<a<b>",)}, {"controls": ("éx",)}, {"begin": "<|im_start|>x"}])
+def test_templates_that_cannot_be_read_back(bad):
+    with pytest.raises(ValueError):
+        chats.Template(**bad)
+
+
+def expected(rows):
+    found = defaultdict(list)
+    for conv, turn, role, text in rows:
+        found[conv].append((turn is not None, turn or 0, (role or "").encode(), (text or "").encode()))
+    out = {}
+    for conv, own in found.items():
+        own.sort()
+        said = b"".join(t for *_, r, t in own if r == b"assistant")
+        out[conv] = (len(own), hashlib.sha256(b"".join(r + b"\n" + t + b"\n" for *_, r, t in own)).hexdigest(), len(said.decode()), hashlib.sha256(said).hexdigest())
+    return out, {conv: [(r.decode(), t.decode()) for *_, r, t in own] for conv, own in found.items()}
+
+
+@pytest.mark.parametrize("piece_bytes", [32 << 20, 400])
+def test_chats_read_back(spark, piece_bytes):
+    rng = random.Random(piece_bytes)
+    texts = odd_texts(2, 700)
+    rows = [(rng.choice([None, 1, 1, 1, 2, 3, 4]), i, rng.choice(["user", "assistant", "system", "tool</s>\n", "", None]), t) for i, t in enumerate(texts)]
+    rows += [(9, None, "user", None), (9, 0, "assistant", "same"), (9, 0, "assistant", "same"), (10, 5, "assistant", "long " * 300_000), (11, 1, None, None)]
+    made = chats.format_chats(turns(spark, rows), piece_bytes=piece_bytes).cache()
+    digests, all_turns = expected(rows)
+    if piece_bytes < 1000:
+        assert made.where("conv_id = 1").count() > 1 and made.where("last").count() == len(digests)
+    else:
+        assert made.count() == len(digests)
+    back = defaultdict(list)
+    for r in sorted(chats.read_back(made).collect(), key=lambda r: r.pos):
+        back[r.conv_id].append((r.role, r.text))
+        assert r.learned == (r.role == "assistant")
+    assert back == all_turns
+    found = {r.conv_id: r for r in chats.digests(made).collect()}
+    assert {c: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for c, r in found.items()} == digests
+    pieces = defaultdict(list)
+    for r in sorted(made.collect(), key=lambda r: r.piece):
+        pieces[r.conv_id].append(r.formatted)
+        body = r.formatted.encode()
+        assert [chats.Template().unescape(body[s.begin : s.end]).decode() for s in r.loss] == [t for role, t in all_turns[r.conv_id][r.piece : r.piece + r.n_turns] if role == "assistant"]
+    for conv, parts in pieces.items():
+        text = "".join(parts)
+        assert text.startswith("<s><|im_start|>") and text.endswith("<|im_end|></s>") and text.count("<s>") == text.count("</s>") == 1
+        assert text.count("<|im_start|>") == found[conv].n_turns and found[conv].formatted_chars == len(text)
+        assert [(r.decode(), t.decode()) for r, t in chats.parse(text.encode(), chats.Template())] == all_turns[conv]
+
+
+def test_no_chats_and_another_template(spark):
+    assert chats.digests(chats.format_chats(turns(spark, []))).count() == 0
+    template = chats.Template(begin="", turn="[INST]", body="[/INST]", end="</s>", close="", controls=(), learned=("user", "tool"), escape="~")
+    (row,) = chats.format_chats(turns(spark, [(1, 0, "user", "a</s>b"), (1, 1, "assistant", "[INST]~"), (1, 2, "tool", "<s>")]), template).collect()
+    assert row.formatted == "[INST]user[/INST]a<~/s>b</s>[INST]assistant[/INST][~INST]~</s>[INST]tool[/INST]<s></s>"
+    assert [row.formatted.encode()[s.begin : s.end].decode() for s in row.loss] == ["a<~/s>b", "<s>"]
+
+
+# ---- divergence
+
+
+def model_audit(rows, min_docs=3, top=200):
+    small = {i: i + 32 for i in range(65, 91)}
+    tokens = [(lang or "", source or "", re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", (text or "").translate(small))) for _, source, lang, _, text in rows]
+    out = []
+    for lang in {x[0] for x in tokens}:
+        own = [x for x in tokens if x[0] == lang]
+        having = Counter(t for *_, w in own for t in set(w))
+        kept = sorted((t for t, n in having.items() if n >= min_docs), key=str.encode)
+        counts = {s: Counter(t for _, o, w in own if o == s for t in w) for s in {x[1] for x in own}}
+        p = {}
+        for s, c in [*counts.items(), (None, sum(counts.values(), Counter()))]:
+            n = sum(c[t] for t in kept)
+            p[s] = {t: 1 + 1_000_000_000 * (c[t] + 1) // (n + len(kept)) for t in kept}
+        for s in counts:
+            pairs = [(sum((p[s][t] - p[o][t]) ** 2 // p[o][t] for t in kept), o) for o in counts if o != s]
+            terms = [((p[s][t] - p[None][t]) ** 2 // p[None][t], t) for t in kept if counts[s][t] and p[s][t] > p[None][t]]
+            for part, found, most in (("pair", pairs, None), ("term", terms, top)):
+                found.sort(key=lambda x: (-x[0], x[1].encode()))
+                out += [(lang, s, part, item, value, i + 1) for i, (value, item) in enumerate(found[:most])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("block_rows", "tile"), [(1 << 16, 1 << 20), (7, 30)])
+def test_audit_equals_the_model(spark, monkeypatch, block_rows, tile):
+    rng = random.Random(block_rows)
+    words = [f"{c}{d}" for c in "aBcDéü\U0001f600￮" for d in "abcdefg"] + ["x1y", "don't", "ß"]
+    rows = [(i, rng.choice(["s0", "s0", "s0", "s1", "s2", "S2", "é", None, ""]), rng.choice(["en", "en", "de", None]), 1, " ".join(rng.choices(words, k=rng.randrange(30)))) for i in range(300)]
+    rows += [(1, "empty", "en", 0, ""), (2, "empty", "en", 0, None), (3, "alone", "only", 0, "one term"), (4, "long", "en", 0, "longword " * 200_000 + "end"), (5, "a", "none", 0, "rare"), (6, "b", "none", 0, "12 !?"), (7, "s0", "de", 1, "same same"), (7, "s0", "de", 1, "same same"), (7, "s0", "de", 1, "same same")]
+    monkeypatch.setattr(divergence, "_TILE", tile)
+    found = divergence.audit(docs(spark, rows), block_rows=block_rows, top=20)
+    assert sorted(map(tuple, found.collect())) == model_audit(rows, top=20)
+
+
+def test_audit_of_many_sources_is_dealt_to_tasks(spark, monkeypatch):
+    monkeypatch.setattr(divergence, "_ROWS", 4)
+    rows = [(i, f"s{i % 11}", "en", 1, " ".join(f"{'abc'[j % 3]}{'xyz'[(i * j) % 3]}" for j in range(1, 1 + i % 9))) for i in range(60)]
+    assert sorted(map(tuple, divergence.audit(docs(spark, rows), block_rows=1).collect())) == model_audit(rows)
+    assert divergence.audit(docs(spark, [])).count() == 0
+
+
+def test_shares_are_exact_for_large_counts():
+    import numpy as np
+
+    count, total = np.array([0, 1, 10**12, 9 * 10**14, 3]), 9 * 10**14 + 10**12 + 4
+    assert divergence.shares(count, total, 5).tolist() == [1 + 10**9 * (c + 1) // (total + 5) for c in count.tolist()]
+    with pytest.raises(OverflowError):
+        divergence.shares(count, 10**16, 5)
