@@ -118,10 +118,7 @@ def main(argv: list[str] | None = None) -> int:
             return 2
         found = digest.features(_objects(spark, args, options), block_size=t.BLOCK, ranks=ranks)
         objects = _objects(spark, args, options)
-        built = index.build_in_batches(found, objects.select("name", F.octet_length("content").alias("size")), args.index)
-        Path(options.output).mkdir(parents=True, exist_ok=True)
-        for row in index_file.export_index(built).toLocalIterator():  # one file for each batch of 640 MB
-            (Path(options.output) / f"{row['index_set']}.idx").write_bytes(row["file"])
+        index_file.write_indexes(found, objects.select("name", F.octet_length("content").alias("size")), args.index, options.output)
     elif args.index_search:
         found = digest.features(_objects(spark, args, options), block_size=t.BLOCK, ranks=ranks)
         _emit(index.hit_lines(index.index_search(found, index_file.read_indexes(spark, args.index_search))), options.output)
@@ -131,7 +128,8 @@ def main(argv: list[str] | None = None) -> int:
             return 2
         made = digest.large_digest(_objects(spark, args, options), ranks=ranks)
         folder = options.output if "://" in options.output else os.path.abspath(options.output)
-        _emit(large_file.write_large(made, folder, "digests").select("file"), "")
+        large_file.write_large(made, folder, "digests")
+        _emit(files.list_files(spark, folder).select("path").where("path LIKE '%.sdbflg'"), "")
     else:
         block = options.block_size if args.files != ["-"] or options.block_size > 0 else 16  # a stream's digests are always in blocks
         made = digest.digest_by_size(_objects(spark, args, options), requested_kib=block, ranks=ranks)

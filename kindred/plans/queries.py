@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as c
@@ -192,6 +192,14 @@ def _index_features(spark, sf_dir):
     return _text_features(spark, sf_dir).select(F.col("doc_id").cast("string").alias("name"), F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("offset"), F.unhex("sha1").alias("sha1"), "lang", "source")
 
 
+#: A mask of few bits, so that features collide, and a set for each seven documents.
+_NARROW = (1 << 12) - 1
+
+
+def _page() -> Column:
+    return F.lpad(F.floor(F.col("name").cast("long") / 7).cast("string"), 9, "0")
+
+
 def index_build(spark, sf_dir):
     built = index.build_index(_index_features(spark, sf_dir), "source")
     return built.select("index_set", "bucket", F.bitmap_count("bitmap").alias("bits"))
@@ -208,6 +216,24 @@ def index_probe(spark, sf_dir):
     return index.probe_index(rows, index.build_index(rows, "source")).select("name", "index_set")
 
 
+def index_elements(spark, sf_dir):
+    """What indexes in a filter so small that many features set no new bit count."""
+    return index.counted_elements(_index_features(spark, sf_dir), "lang", mask=_NARROW)
+
+
+def index_slices(spark, sf_dir):
+    """Indexes of pages of documents, side by side: how many of them have each bit."""
+    sliced = index.build_sliced(_index_features(spark, sf_dir), _page(), mask=_NARROW, words=2)
+    weights = [F.bit_count(w) for w in sliced.words]
+    return sliced.bits.select("bit", "part", *(F.col(w) for w in sliced.words), sum(weights[1:], weights[0]).cast("int").alias("sets"))
+
+
+def sliced_probe(spark, sf_dir):
+    """Features of all documents in the indexes of pages of them."""
+    rows = _index_features(spark, sf_dir)
+    return index.build_sliced(rows, _page(), mask=_NARROW, words=2).probe(rows).select("name", "index_set")
+
+
 def index_search(spark, sf_dir):
     docs = documents(spark, sf_dir)
     built = index.build_in_batches(digest.features(docs, block_size=16 << 10), docs, "documents", limit=256 * BATCH)
@@ -362,6 +388,8 @@ def oracle_sql() -> dict[str, str]:
     ranks, votes = "[" + ", ".join(map(str, t.default_ranks().tolist())) + "]", _votes_sql()
     cut = "[" + ", ".join(map(str, t.CUTOFFS_256)) + "]"
     index_bits = f"WITH {_WORDS}, b AS (SELECT DISTINCT source, v % 536870912 AS bit FROM word)"
+    pages = f"""WITH {_WORDS}, b AS (SELECT DISTINCT lpad(CAST(doc_id // 7 AS VARCHAR), 9, '0') AS index_set, v % {_NARROW + 1} AS bit FROM word),
+            n AS (SELECT index_set, row_number() OVER (ORDER BY index_set) - 1 AS number FROM (SELECT DISTINCT index_set FROM b))"""
     return {
         "eligible_objects": f"""SELECT name, size FROM (
             SELECT 'doc-' || doc_id AS name, CAST({_SIZE} AS BIGINT) AS size FROM documents
@@ -403,6 +431,13 @@ def oracle_sql() -> dict[str, str]:
         "index_merge": f"{index_bits} SELECT 'all' AS index_set, 1 + bit // 32768 AS bucket, count(DISTINCT bit) AS bits FROM b GROUP BY ALL",
         "index_probe": f"""{index_bits}, f AS (SELECT DISTINCT doc_id, v % 536870912 AS bit FROM word), n AS (SELECT doc_id, count(*) AS n FROM f GROUP BY doc_id)
             SELECT CAST(doc_id AS VARCHAR) AS name, source AS index_set FROM f JOIN b USING (bit) JOIN n USING (doc_id) GROUP BY doc_id, source, n HAVING count(*) = n""",
+        "index_elements": f"""WITH {_WORDS}, b AS (SELECT lang, v % {_NARROW + 1} AS bit, min(row(CAST(doc_id AS VARCHAR), h)) AS f FROM word GROUP BY ALL)
+            SELECT lang AS index_set, count(DISTINCT f) AS elements FROM b GROUP BY lang""",
+        "index_slices": f"""{pages}, w AS (SELECT bit, number // 128 AS part, number % 128 AS place FROM b JOIN n USING (index_set))
+            SELECT bit, CAST(part AS INT) AS part, {", ".join(f"coalesce(bit_or(CASE WHEN place = 64 * {i} + 63 THEN -9223372036854775808 WHEN place // 64 = {i} THEN CAST(1 AS BIGINT) << (place % 64) END), 0) AS w{i}" for i in (0, 1))},
+            CAST(count(*) AS INT) AS sets FROM w GROUP BY bit, part""",
+        "sliced_probe": f"""{pages}, f AS (SELECT DISTINCT doc_id, v % {_NARROW + 1} AS bit FROM word), c AS (SELECT doc_id, count(*) AS n FROM f GROUP BY doc_id)
+            SELECT CAST(doc_id AS VARCHAR) AS name, index_set FROM f JOIN b USING (bit) JOIN c USING (doc_id) GROUP BY doc_id, index_set, n HAVING count(*) = n""",
         "set_summary": f"SELECT set_name, items, filters, s AS input_size, {_HUMAN} AS size FROM ({_SUMMARY})",
         "set_listing_json": f"""SELECT CAST(to_json({{'aaData': list([substr(set_name, 4, 9), set_name, {_HUMAN}, CAST(items AS VARCHAR)] ORDER BY set_name)}}) AS VARCHAR) AS json FROM ({_SUMMARY})""",
         "result_status": """SELECT conv_id, CASE WHEN n % 3 = 0 THEN 'processing' ELSE 'complete (' || n || ' lines)' END AS status,
@@ -418,7 +453,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             bloom_union, bloom_fold, large_fold, filter_overlap, filter_score, score_lines, window_entropy,
             chunk_ranks, popularity_scores, stream_features, stream_digest, block_digest, sized_digest, segment_digest, compare_all,
             compare_fast, compare_to, compare_sampled, compare_matrix, compare_blocks, digest_text_roundtrip, validate,
-            index_build, index_merge, index_probe, index_search, index_files, large_digests, large_compare,
+            index_build, index_merge, index_probe, index_elements, index_slices, sliced_probe, index_search, index_files, large_digests, large_compare,
             large_roundtrip, set_summary, set_listing_json, result_status, common_substrings, stream_ingest,
         )
     }

@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import tables as t
+from ..operators import index as ops
+from ..operators.storage import keep
+from .file_sink import write_files
 
 #: Bytes of a row's bitmap.
 BITMAP = 4096
@@ -59,6 +62,16 @@ def export_index(index: DataFrame, elements: DataFrame | None = None, *, size: i
     return rows.groupBy("index_set").applyInArrow(run, "index_set string, file binary")
 
 
+def write_indexes(features: DataFrame, objects: DataFrame, name: str, folder: str, *, limit: int = t.INDEX_BATCH) -> None:
+    """Index files `name`N.idx of a collection in a folder, one for each batch of about `limit` bytes, with true counts of elements.
+
+    Executors write them, all or none; a task has one index at a time, of 64 MB.
+    """
+    rows = keep(ops.in_batches(features, objects, name, limit=limit).select("index_set", "name", "block", "offset", "sha1"))
+    made = export_index(ops.build_index(rows, "index_set"), ops.counted_elements(rows, "index_set"))
+    write_files(made.select(F.concat("index_set", F.lit(".idx")).alias("name"), F.col("file").alias("content")), folder)
+
+
 def read_indexes(spark: SparkSession, folder: str) -> DataFrame:
     """(index_set, bucket, bitmap, elements) of all `*.idx` files of a folder; empty bitmaps are left out."""
     return parse_indexes(spark.read.format("binaryFile").option("pathGlobFilter", "*.idx").load(folder))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tables as t
 from ..operators.digest import LARGE, _schema
+from .file_sink import write_files
 
 
 class InvalidLargeDigest(ValueError):
@@ -129,31 +130,10 @@ def export_large(digests: DataFrame) -> DataFrame:
     return digests.select("name", "file_size", "filter_count", "filters").mapInArrow(run, "name string, file binary")
 
 
-def write_large(digests: DataFrame, folder: str, name: str) -> DataFrame:
-    """Write large digests as files `name-N.sdbflg` of a folder, one for each partition; (file, digests) of each.
-
-    The rows must be read for the files to be written. A task that runs again writes its
-    file again.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-        from pyspark import TaskContext
-
-        files, place = fs.FileSystem.from_uri(folder)
-        files.create_dir(place, recursive=True)
-        path, count = f"{place}/{name}-{TaskContext.get().partitionId():05d}.sdbflg", 0
-        with files.open_output_stream(path) as out:
-            for batch in batches:
-                for row in batch.to_pylist():
-                    out.write(pack_large(row))
-                    count += 1
-        if not count:
-            files.delete_file(path)
-            return
-        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([count], pa.int64())], names=["file", "digests"])
-
-    return digests.select("name", "file_size", "filter_count", "filters").mapInArrow(run, "file string, digests long")
+def write_large(digests: DataFrame, folder: str, name: str) -> None:
+    """Write large digests as files `name-N.sdbflg` of a folder, one for each partition, all of them or none."""
+    part = F.format_string(f"{name}-%05d.sdbflg", F.spark_partition_id())
+    write_files(export_large(digests).select(part.alias("name"), F.col("file").alias("content")), folder)
 
 
 def parse_large(files: DataFrame, column: str = "content") -> DataFrame:
