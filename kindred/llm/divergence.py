@@ -156,7 +156,7 @@ def audit(
     source_col: str = "source",
     min_docs: int = 3,
     top: int = 200,
-    block_rows: int = 1 << 20,
+    block_rows: int = 1 << 16,
 ) -> DataFrame:
     """(lang, source, part, item, value, rank): how each source of a language differs from the others, and in which terms.
 
@@ -172,8 +172,8 @@ def audit(
     Other columns don't matter. Repeated rows count as often as they stand. Texts are used as a whole.
     All numbers are exact: shares up to 9 * 10**15 terms in a language, sums in 64 bits.
 
-    The counts of a language go to blocks by a hash of the term, of about `block_rows` counts each, so no source and
-    no term gathers rows. A language of more than 512 sources has a task for each 512 of them and block; such a
+    The counts of a language go to blocks by a hash of the term, of about `block_rows` counts each (four for each pair of
+    sources, if that is more: sums of pairs are then fewer than counts), so no source and no term gathers rows. A language of more than 512 sources has a task for each 512 of them and block; such a
     task takes its block's counts and a matrix of 512 rows. All pairs of sources of a language
     are what is asked for, and so are rows of the result.
     """
@@ -189,7 +189,8 @@ def audit(
     group = group.join(kept.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("counts")), ["lang", "source"], "left").na.fill(0)
     lang = group.groupBy("lang").agg(F.sum("counts").alias("counts"), F.count("*").alias("groups"))
     lang = lang.join(common.groupBy("lang").agg(F.count("*").alias("terms")), "lang", "left").na.fill(0)
-    lang = written(lang.select("*", F.ceil(F.greatest(F.col("counts"), F.lit(1)) / F.lit(block_rows)).cast("int").alias("blocks"), F.ceil(F.col("groups") / F.lit(_ROWS)).cast("int").alias("parts")))
+    size = F.greatest(F.lit(block_rows), 4 * F.col("groups") * F.col("groups"))
+    lang = written(lang.select("*", F.ceil(F.greatest(F.col("counts"), F.lit(1)) / size).cast("int").alias("blocks"), F.ceil(F.col("groups") / F.lit(_ROWS)).cast("int").alias("parts")))
     number = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1
     group = written(group.join(lang.drop("counts", "groups"), "lang").withColumn("number", number.cast("int")))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
