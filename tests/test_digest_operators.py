@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from kindred.functions import columns as c
 from kindred.functions import tables as t
 from kindred.operators import compare, digest, filters, index, segments
-from kindred.plans.catalog import SetCatalog, UnknownSet
+from kindred.plans.catalog import BusySet, SetCatalog, UnknownSet
 from kindred.plans.options import Options, UnknownOption
 from kindred.sources import digest_text, files, index_file, large_file
 from kindred.streaming import ingest
@@ -176,6 +176,7 @@ def test_catalog(spark, objects, tmp_path):
     assert [r["items"] for r in catalog.set_list().collect()] == [5, 5]
     job = catalog.compare_all(one, user="u")
     other = catalog.compare_two(one, two, user="v")
+    assert catalog.wait(other).startswith("complete") and catalog.wait(job) == catalog.result_status(job)
     assert catalog.result_status(job) == f"complete ({catalog.result(job).count()} lines)"
     assert catalog.result_info(other) == "one -- export" and catalog.result_duration(job).endswith("s")
     assert [r["result_id"] for r in catalog.results_list("u").collect()] == [job]
@@ -190,7 +191,9 @@ def test_catalog(spark, objects, tmp_path):
     base = blob(9, 30_000)
     same = spark.createDataFrame([("x", base), ("x", base[:29_000] + blob(10, 1000)), ("a", base)], "name string, content binary")
     twins = catalog.hash_objects("twins", same)
-    found = catalog.result(catalog.compare_all(twins)).collect()
+    job = catalog.compare_all(twins)
+    assert catalog.wait(job, 300).startswith("complete")
+    found = catalog.result(job).collect()
     assert sorted((r["query"], r["target"]) for r in found) == [("a", "x"), ("a", "x"), ("x", "x")] and all(r["score"] > 80 for r in found)
     (tmp_path / "folder").mkdir()
     lines = [r[0] for r in catalog.display_contents(one).collect()]
@@ -283,3 +286,51 @@ def test_tiles_give_the_same_pairs_as_one(spark):
     assert all(ids[q] < ids[t] for q, t, _ in one)
     every = {(r["query"], r["target"]): r["score"] for r in compare.compare_to(made, made, threshold=-1).collect()}
     assert all(every[q, t] == s for q, t, s in one)
+
+
+def test_jobs_in_the_background(spark, objects, tmp_path):
+    """A job's status goes from processing to complete or failed; removing it interrupts it."""
+    import time
+
+    catalog = SetCatalog(spark, str(tmp_path / "jobs"))
+    gate = tmp_path / "gate"
+
+    def slow(rows):
+        def run(batches):
+            for batch in batches:
+                while not gate.exists():
+                    time.sleep(0.05)
+                yield batch
+
+        return rows.mapInArrow(run, rows.schema)
+
+    rows = spark.range(3).selectExpr("CAST(id AS string) AS query")
+    started = time.time()
+    job = catalog._run("u", "slow", lambda: slow(rows))
+    assert time.time() - started < 5 and catalog.result_status(job) == catalog.wait(job, 0.5) == "processing"
+    gate.touch()
+    assert catalog.wait(job, 120) == "complete (3 lines)" and catalog.result(job).count() == 3
+    gate.unlink()
+    failed = catalog._run("u", "broken", lambda: rows.select(F.raise_error(F.lit("no good"))))
+    assert catalog.wait(failed, 120).startswith("failed: ") and "no good" in catalog.result_status(failed)
+    endless = catalog._run("u", "endless", lambda: slow(rows))
+    time.sleep(2)
+    started = time.time()
+    assert catalog.remove_result(endless) and catalog.result_status(endless) == "not found"
+    assert time.time() - started < 30 and spark.range(10).count() == 10  # other jobs go on
+    gate.touch()
+    # jobs whose driver has died
+    lost = f"jobs/result_id=7/job.json"
+    catalog._put(lost, catalog._get(f"jobs/result_id={job}/job.json") | {"application": "gone", "ended": None, "lines": None})
+    assert catalog.result_status(7) == "processing" and catalog.fail_orphans() == 1
+    assert catalog.result_status(7) == "failed: its driver has ended" and catalog.fail_orphans() == 0
+
+
+def test_a_set_is_added_to_by_one_at_a_time(spark, objects, tmp_path):
+    catalog = SetCatalog(spark, str(tmp_path / "busy"))
+    one = catalog.hash_objects("one", objects.where("name is not null"))
+    with catalog._alone(one), pytest.raises(BusySet):
+        catalog.append_set(one, one)
+    assert catalog.digests(one).count() == 5
+    catalog.append_set(one, one)
+    assert catalog.digests(one).select("digest_id").distinct().count() == 10
