@@ -324,13 +324,17 @@ _HUMAN = "CASE WHEN s > 1073741824 THEN (s // 1073741824) || 'G' WHEN s > 104857
 _SUMMARY = f"SELECT source AS set_name, count(*) AS items, CAST(count(*) AS BIGINT) AS filters, CAST(sum({_SIZE}) AS BIGINT) AS s FROM documents GROUP BY source"
 
 
-def _entropy_sql() -> str:
+_DOCUMENTS = f"SELECT row_number() OVER () AS r, 'doc-' || doc_id AS name, encode(text) AS x FROM documents WHERE {_SIZE} >= 512"
+_PAGES = "SELECT 1000000000 + row_number() OVER () AS r, 'page-' || page_id AS name, encode(html) AS x FROM pages WHERE octet_length(encode(html)) >= 512"
+
+
+def _entropy_sql(objects: str = _DOCUMENTS) -> str:
     """Entropy classes of all windows but the last: how often a byte stands in the 63 places before or behind it gives what it adds and takes."""
     units = t.entropy_units()
     step = "[" + ", ".join(str(int(x)) for x in units[1:] - units[:-1]) + "]"
-    return f"""o AS (SELECT row_number() OVER () AS r, 'doc-' || doc_id AS name, encode(text) AS x FROM documents WHERE {_SIZE} >= 512),
-            h AS (SELECT r, name, hex(x) AS x, unnest(range(0, octet_length(x))) AS p FROM o),
-            b AS (SELECT r, name, p, substr(x, 2 * p + 1, 2) AS c FROM h),
+    return f"""o AS MATERIALIZED ({objects}),
+            h AS (SELECT r, name, x, unnest(range(0, octet_length(x))) AS p FROM o),
+            b AS (SELECT r, name, p, x[p + 1 : p + 1] AS c FROM h),
             n AS (SELECT r, name, p,
                 {step}[count(*) OVER (PARTITION BY r, c ORDER BY p RANGE BETWEEN 63 PRECEDING AND 1 PRECEDING) + 1] AS more,
                 {step}[count(*) OVER (PARTITION BY r, c ORDER BY p RANGE BETWEEN 1 FOLLOWING AND 63 FOLLOWING) + 1] AS less FROM b),
@@ -344,7 +348,7 @@ def _entropy_sql() -> str:
 _ROUNDS = 20
 
 
-def _votes_sql() -> str:
+def _votes_sql(objects: str = _DOCUMENTS) -> str:
     """Votes for the places of all objects, as `votes` (r, p, score), beside ranks `k` (r, name, p, size, rank).
 
     What each window leads to, as an election (twice its offset) or a takeover (one more),
@@ -357,7 +361,7 @@ def _votes_sql() -> str:
     def ahead(first: int, end: int, low: str) -> str:
         return "CASE " + " ".join(f"WHEN l{d} <= {low} THEN {2 * d} + CAST(l{d} = {low} AS INT)" for d in range(first, end)) + f" ELSE {2 * end} END"
 
-    out = f"""{_entropy_sql()},
+    out = f"""{_entropy_sql(objects)},
             k AS MATERIALIZED (SELECT r, name, p, size, CAST(CASE WHEN p < size - 64 THEN {ranks}[CAST(u // 1024 AS INT) + 1] ELSE 0 END AS INT) AS rank FROM e),
             -- the leftmost smallest positive rank of each window, the last place of each run of equals, the next place that has a rank, the ranks that come
             v AS (SELECT r, p, size, rank,
@@ -384,10 +388,85 @@ def _votes_sql() -> str:
             votes AS MATERIALIZED (SELECT r, place AS p, CAST(sum(n) AS INT) AS score FROM s JOIN r{_ROUNDS} USING (r, state) GROUP BY r, place)"""
 
 
+def _digest_sql(objects: str) -> str:
+    """Stream digests: filters `flt` (r, k, n elements, weight), their bits `bit` (r, k, b), and `dg` (r, name, size, nf filters, total elements).
+
+    In a filter, a feature passes if it is the first one with one of its bits; it counts if
+    it is also the first of all that passed with one of its bits in the large filter. With
+    160 that count a filter is full and the next one begins behind. (A large filter holds 8,738 features; no
+    object of the tables has as many.)
+    """
+    return f"""{_votes_sql(objects)},
+            f AS MATERIALIZED (SELECT r, row_number() OVER (PARTITION BY r ORDER BY p) AS i, sha1(x[p + 1 : p + 64]) AS h FROM votes JOIN o USING (r) WHERE score > 16),
+            fb AS MATERIALIZED (SELECT r, i, v % 2048 AS small, v % 131072 AS large FROM (SELECT r, i, {_word_sql("w")} AS v FROM f, (SELECT unnest(range(0, 5)) AS w))),
+            rec(r, k, stop, n, bits, seen) AS (
+                SELECT r, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(160 AS BIGINT), []::BIGINT[], []::BIGINT[] FROM o
+                UNION ALL
+                SELECT r, any_value(k) + 1, any_value(coalesce(stop, last)), any_value(n), list(DISTINCT small), list_distinct(list_concat(any_value(seen), list(large))) FROM (
+                    SELECT *, max(i) FILTER (place <= 160) OVER (PARTITION BY r) AS full_at, count(*) FILTER (counted AND once AND place <= 160) OVER (PARTITION BY r) AS n,
+                        max(i) OVER (PARTITION BY r) AS last, max(CASE WHEN counted AND place = 160 THEN i END) OVER (PARTITION BY r) AS stop FROM (
+                        SELECT *, sum(CAST(counted AND once AS INT)) OVER (PARTITION BY r ORDER BY i RANGE UNBOUNDED PRECEDING) AS place FROM (
+                            SELECT *, bool_or(first_large) OVER (PARTITION BY r, i) AS counted, row_number() OVER (PARTITION BY r, i) = 1 AS once FROM (
+                                SELECT *, min(i) OVER (PARTITION BY r, large) = i AND NOT list_contains(seen, large) AS first_large FROM (
+                                    SELECT *, bool_or(first_small) OVER (PARTITION BY r, i) AS passed FROM (
+                                        SELECT fb.*, k, seen, min(fb.i) OVER (PARTITION BY fb.r, small) = fb.i AS first_small
+                                        FROM fb JOIN rec ON fb.r = rec.r AND fb.i > rec.stop AND rec.n = 160))
+                                WHERE passed)))) WHERE i <= coalesce(stop, last) GROUP BY r),
+            flt0 AS MATERIALIZED (SELECT r, k, n, bits, max(k) OVER (PARTITION BY r) AS last_k, sum(n) OVER (PARTITION BY r) AS total FROM rec WHERE k > 0),
+            flt1 AS MATERIALIZED (SELECT r, k, n, bits, total FROM flt0 WHERE k = 1 OR k < last_k OR n >= 20
+                UNION ALL SELECT r, 1, 0, [], 0 FROM o WHERE r NOT IN (SELECT r FROM flt0)),
+            flt AS MATERIALIZED (SELECT r, k, n, CAST(len(bits) AS BIGINT) AS weight FROM flt1),
+            bit AS MATERIALIZED (SELECT r, k, unnest(bits) AS b FROM flt1),
+            dg AS MATERIALIZED (SELECT r, o.name, CAST(octet_length(any_value(x)) AS BIGINT) AS size, count(*) AS nf, CAST(any_value(total) AS BIGINT) AS total,
+                count(*) FILTER (n < 16) AS sparse, max_by(n, k) AS last_n FROM flt1 JOIN o USING (r) GROUP BY r, o.name)"""
+
+
+def _pairs_sql(pairs: str, size: int = 2048) -> str:
+    """Common bits m of all filters of pairs `pr` (a, b) of digests, with those among the first 256, 512 and 1024; `fo`: filters as strings of `size` bits."""
+    first = ", ".join(f"bitstring_agg(b, 0, {size - 1}) FILTER (b < {n}) AS b{i}" for i, n in ((4, 256), (8, 512), (16, 1024)))
+    common = ", ".join(f"coalesce(bit_count(x.b{i} & y.bits), 0) AS m{i}" for i in (4, 8, 16))
+    return f"""pr AS MATERIALIZED ({pairs}),
+            fo AS MATERIALIZED (SELECT r, k, n, count(*) AS weight, bitstring_agg(b, 0, {size - 1}) AS bits, {first} FROM (SELECT DISTINCT r, k, b % {size} AS b FROM bit) JOIN flt USING (r, k) GROUP BY r, k, n),
+            co AS (SELECT a, x.k AS ka, b, y.k AS kb, x.n AS s1, y.n AS s2, least(x.weight, y.weight) AS most, bit_count(x.bits & y.bits) AS m, {common}
+                FROM pr JOIN fo x ON x.r = a JOIN fo y ON y.r = b WHERE x.n >= 16 AND y.n >= 16)"""
+
+
+def _compare_sql(pairs: str, *, fast: bool = False, sample: int = 0) -> str:
+    """Scores `cmp` (query, target, score), those above 0, of pairs of digests; fast: of filters folded to 512 bits."""
+    cut = "[" + ", ".join(map(str, t.CUTOFFS_64 if fast else t.CUTOFFS_256)) + "]"
+    bits, exits = (1024, "2 * m4 + 48 < cut") if fast else (4096, "8 * m4 + 48 < cut OR 4 * m8 + 48 < cut OR 2 * m16 + 48 < cut")
+    used = f"k <= {sample}" if sample else "true"
+    return f"""{_pairs_sql(pairs, 512 if fast else 2048)},
+            sc AS MATERIALIZED (SELECT a, ka, b, kb, (m - cut) / CAST(most - cut AS DOUBLE) AS s
+                FROM (SELECT *, {cut}[CAST({bits} // (s1 + s2) AS INT) + 1] AS cut FROM co) WHERE m > cut AND NOT ({exits})),
+            us AS (SELECT r, count(*) AS used, count(*) FILTER (n < 16) AS sparse, max_by(n, k) AS last_n FROM flt WHERE {used} GROUP BY r),
+            -- the side with fewer filters is the reference
+            sw AS MATERIALIZED (SELECT a, b, x.name AS query, y.name AS target, used > y.nf OR (used = y.nf AND (us.last_n > y.last_n OR x.name > y.name)) AS turned,
+                used, us.sparse AS sx, y.nf AS ny, y.sparse AS sy FROM pr JOIN dg x ON x.r = a JOIN us ON us.r = a JOIN dg y ON y.r = b),
+            su AS (SELECT a, b, sum(best) AS total FROM (
+                SELECT a, b, CASE WHEN turned THEN kb ELSE ka END AS k, max(s) AS best FROM sc JOIN sw USING (a, b) WHERE turned OR ka <= used GROUP BY ALL) GROUP BY a, b),
+            cmp AS (SELECT query, target, CAST(floor(100.0 * total / CASE WHEN turned THEN CASE WHEN ny > 1 THEN ny - sy ELSE ny END ELSE CASE WHEN used > 1 THEN used - sx ELSE used END END + 0.5) AS INT) AS score FROM su JOIN sw USING (a, b))"""
+
+
+def _matrix_sql(pairs: str) -> str:
+    """Scores `cmp` (reference, target, score) by the older formula; of a pair, a is the reference."""
+    power = lambda n: f"pow(CAST(2047 AS DOUBLE) / 2048, 5 * ({n}))"
+    return f"""{_pairs_sql(pairs)},
+            sc AS (SELECT a, ka, b, greatest(max(CASE WHEN m > cut THEN round_even(100 * (m - cut) / (most - cut), 0) ELSE 0 END), 0) AS best
+                FROM (SELECT *, 0.3::DOUBLE * (most - low) + low AS cut FROM (SELECT *, floor(2048 * (1 - {power("s1")} - {power("s2")} + {power("s1 + s2")}) + 0.5) AS low FROM co)) GROUP BY ALL),
+            cmp AS (SELECT x.name AS reference, y.name AS target, CAST(CAST(sum(best) AS BIGINT) // any_value(x.nf - x.sparse) AS INT) AS score
+                FROM sc JOIN dg x ON x.r = a JOIN dg y ON y.r = b GROUP BY a, b, x.name, y.name)"""
+
+
 def oracle_sql() -> dict[str, str]:
     ranks, votes = "[" + ", ".join(map(str, t.default_ranks().tolist())) + "]", _votes_sql()
     cut = "[" + ", ".join(map(str, t.CUTOFFS_256)) + "]"
     index_bits = f"WITH {_WORDS}, b AS (SELECT DISTINCT source, v % 536870912 AS bit FROM word)"
+    stream, both = f"WITH RECURSIVE {_digest_sql(_DOCUMENTS)}", f"WITH RECURSIVE {_digest_sql(f'{_DOCUMENTS} UNION ALL {_PAGES}')}"
+    later = "SELECT x.r AS a, y.r AS b FROM dg x JOIN dg y ON CAST(substr(x.name, 5) AS BIGINT) < CAST(substr(y.name, 5) AS BIGINT)"
+    cross = "SELECT x.r AS a, y.r AS b FROM dg x JOIN dg y ON starts_with(x.name, 'page-') AND starts_with(y.name, 'doc-')"
+    turned = "SELECT y.r AS a, x.r AS b FROM dg x JOIN dg y ON starts_with(x.name, 'page-') AND starts_with(y.name, 'doc-')"
+    scored = "SELECT query, target, score FROM cmp WHERE score >= 1"
     pages = f"""WITH {_WORDS}, b AS (SELECT DISTINCT lpad(CAST(doc_id // 7 AS VARCHAR), 9, '0') AS index_set, v % {_NARROW + 1} AS bit FROM word),
             n AS (SELECT index_set, row_number() OVER (ORDER BY index_set) - 1 AS number FROM (SELECT DISTINCT index_set FROM b))"""
     return {
@@ -415,6 +494,13 @@ def oracle_sql() -> dict[str, str]:
             WHERE p < size - 64 GROUP BY r, name, coalesce(score, 0)""",
         "stream_features": f"""WITH {votes} SELECT name, CAST(0 AS BIGINT) AS block, CAST(p AS BIGINT) AS offset, score, sha1(x[p + 1 : p + 64]) AS sha1
             FROM votes JOIN o USING (r) WHERE score > 16""",
+        "compare_all": f"{stream}, {_compare_sql(later)} {scored}",
+        "compare_fast": f"{stream}, {_compare_sql(later, fast=True)} {scored}",
+        "compare_to": f"{both}, {_compare_sql(cross)} {scored}",
+        "compare_sampled": f"{both}, {_compare_sql(cross, sample=1)} {scored}",
+        "compare_matrix": f"{both}, {_matrix_sql(turned)} SELECT target, reference, score FROM cmp WHERE score >= 1",
+        "validate": f"{stream} SELECT count(*) AS lines, count(*) AS valid, CAST(sum(nf) AS BIGINT) AS filters, CAST(sum(size) AS BIGINT) AS input_size FROM dg",
+        "large_digests": f"{stream} SELECT name, size AS file_size, CAST(1 AS INT) AS filter_count, total AS last_elements FROM dg",
         "feature_bits": f"WITH {_WORDS} SELECT doc_id, CAST(w AS INT) AS word, v % 2048 AS small_bit, v % 131072 AS large_bit FROM word",
         "bloom_build": f"WITH {_WORDS}, {_SOURCE} SELECT grp, CAST(n AS INT) AS elements, CAST(count(*) AS INT) AS hamming, round(2048.0 / n, 6) AS bits_per_element FROM e JOIN b USING (grp) GROUP BY grp, n",
         "bloom_bits": f"WITH {_WORDS}, {_SOURCE} SELECT grp, bit FROM b",
