@@ -421,6 +421,31 @@ def _digest_sql(objects: str) -> str:
                 count(*) FILTER (n < 16) AS sparse, max_by(n, k) AS last_n FROM flt1 JOIN o USING (r) GROUP BY r, o.name)"""
 
 
+def _blocks_sql(objects: str, block: int) -> str:
+    """Features that blocks count, `bf` (r, i, p, h), of blocks `o` (r, name, block, tail, x), each of which is an object of its own for votes.
+
+    A block takes features of more than k votes, and of those with k as many as there is room for below 192.
+    Ties behind the last one that counts are left out; what sets no new bit doesn't count.
+    """
+    blocks = f"""SELECT row_number() OVER () AS r, name, block, len < {block} AS tail, whole[block * {block} + 1 : block * {block} + len] AS x FROM (
+                SELECT name, x AS whole, block, least({block}, octet_length(x) - block * {block}) AS len
+                FROM (SELECT *, unnest(range(0, octet_length(x) // {block} + CASE WHEN octet_length(x) % {block} >= 512 THEN 1 ELSE 0 END)) AS block FROM ({objects})))"""
+    new = "min(i) OVER (PARTITION BY r, small) = i"
+    return f"""{_votes_sql(blocks)},
+            hs AS (SELECT r, score AS s, count(*) AS n FROM votes WHERE score >= 16 GROUP BY ALL),
+            cu AS (SELECT r, s, n, sum(n) OVER (PARTITION BY r ORDER BY s DESC) AS upto FROM hs),
+            lim AS MATERIALIZED (SELECT o.r, CASE WHEN tail THEN 16 ELSE coalesce(max(s) FILTER (upto > 192), 15) END AS k,
+                CASE WHEN tail THEN 192 ELSE 192 - coalesce(max_by(upto - n, s) FILTER (upto > 192), max(upto), 0) END AS allowed FROM o LEFT JOIN cu USING (r) GROUP BY o.r, tail),
+            f AS MATERIALIZED (SELECT r, p, score = k AS tie, allowed, row_number() OVER (PARTITION BY r ORDER BY p) AS i, sha1(x[p + 1 : p + 64]) AS h
+                FROM votes JOIN o USING (r) JOIN lim USING (r) WHERE score >= k AND (score > k OR allowed > 0)),
+            fb AS MATERIALIZED (SELECT r, i, tie, allowed, v % 2048 AS small FROM (SELECT r, i, tie, allowed, {_word_sql("w")} AS v FROM f, (SELECT unnest(range(0, 5)) AS w))),
+            n1 AS (SELECT r, i, tie, allowed, bool_or(first) AS counted FROM (SELECT *, {new} AS first FROM fb) GROUP BY ALL),
+            n2 AS (SELECT r, i, tie AND sum(CAST(tie AND counted AS INT)) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= allowed AS late FROM n1),
+            n3 AS (SELECT r, i, bool_or(first) AS counted FROM (SELECT r, i, {new} AS first FROM fb JOIN n2 USING (r, i) WHERE late IS NOT true) GROUP BY ALL),
+            n4 AS MATERIALIZED (SELECT r, i, counted, sum(CAST(counted AS INT)) OVER (PARTITION BY r ORDER BY i) AS place FROM n3),
+            bf AS MATERIALIZED (SELECT r, i, p, h FROM n4 JOIN f USING (r, i) WHERE counted AND place <= 192)"""
+
+
 def _pairs_sql(pairs: str, size: int = 2048) -> str:
     """Common bits m of all filters of pairs `pr` (a, b) of digests, with those among the first 256, 512 and 1024; `fo`: filters as strings of `size` bits."""
     first = ", ".join(f"bitstring_agg(b, 0, {size - 1}) FILTER (b < {n}) AS b{i}" for i, n in ((4, 256), (8, 512), (16, 1024)))
@@ -463,6 +488,7 @@ def oracle_sql() -> dict[str, str]:
     cut = "[" + ", ".join(map(str, t.CUTOFFS_256)) + "]"
     index_bits = f"WITH {_WORDS}, b AS (SELECT DISTINCT source, v % 536870912 AS bit FROM word)"
     stream, both = f"WITH RECURSIVE {_digest_sql(_DOCUMENTS)}", f"WITH RECURSIVE {_digest_sql(f'{_DOCUMENTS} UNION ALL {_PAGES}')}"
+    bb, pb = (f"WITH RECURSIVE {_blocks_sql(o, 16 << 10)} SELECT name, block, p, h FROM bf JOIN o USING (r)" for o in (_DOCUMENTS, _PAGES))
     later = "SELECT x.r AS a, y.r AS b FROM dg x JOIN dg y ON CAST(substr(x.name, 5) AS BIGINT) < CAST(substr(y.name, 5) AS BIGINT)"
     cross = "SELECT x.r AS a, y.r AS b FROM dg x JOIN dg y ON starts_with(x.name, 'page-') AND starts_with(y.name, 'doc-')"
     turned = "SELECT y.r AS a, x.r AS b FROM dg x JOIN dg y ON starts_with(x.name, 'page-') AND starts_with(y.name, 'doc-')"
@@ -499,6 +525,14 @@ def oracle_sql() -> dict[str, str]:
         "compare_to": f"{both}, {_compare_sql(cross)} {scored}",
         "compare_sampled": f"{both}, {_compare_sql(cross, sample=1)} {scored}",
         "compare_matrix": f"{both}, {_matrix_sql(turned)} SELECT target, reference, score FROM cmp WHERE score >= 1",
+        "index_search": f"""WITH known AS MATERIALIZED ({bb}), asked AS MATERIALIZED ({pb}),
+            sz AS (SELECT name, CAST(coalesce(sum(size) OVER (ORDER BY name, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // {256 * BATCH} AS INT) AS batch FROM (SELECT 'doc-' || doc_id AS name, {_SIZE} AS size FROM documents)),
+            kb AS (SELECT DISTINCT 'documents' || batch AS index_set, v % 536870912 AS bit FROM (SELECT batch, {_word_sql("w")} AS v FROM known JOIN sz USING (name), (SELECT unnest(range(0, 5)) AS w))),
+            an AS (SELECT name, block, p, h FROM (SELECT *, row_number() OVER (PARTITION BY name, block ORDER BY p) AS i FROM asked) WHERE i % 4 = 1),
+            ab AS (SELECT DISTINCT name, block, p, v % 536870912 AS bit FROM (SELECT name, block, p, {_word_sql("w")} AS v FROM an, (SELECT unnest(range(0, 5)) AS w))),
+            ac AS (SELECT name, block, p, count(*) AS n FROM ab GROUP BY ALL),
+            hit AS (SELECT name, block, p, index_set FROM ab JOIN kb USING (bit) JOIN ac USING (name, block, p) GROUP BY name, block, p, index_set, n HAVING count(*) = n)
+            SELECT name, block, index_set, CAST(count(*) AS INT) AS hits FROM hit GROUP BY name, block, index_set HAVING count(*) > 4""",
         "validate": f"{stream} SELECT count(*) AS lines, count(*) AS valid, CAST(sum(nf) AS BIGINT) AS filters, CAST(sum(size) AS BIGINT) AS input_size FROM dg",
         "large_digests": f"{stream} SELECT name, size AS file_size, CAST(1 AS INT) AS filter_count, total AS last_elements FROM dg",
         "feature_bits": f"WITH {_WORDS} SELECT doc_id, CAST(w AS INT) AS word, v % 2048 AS small_bit, v % 131072 AS large_bit FROM word",
