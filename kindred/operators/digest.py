@@ -56,6 +56,29 @@ def digest_row(name: str, size: int, made: kernel.Digest, block: int) -> dict:
     }
 
 
+def declared(data: Column, size: Column) -> Column:
+    """Bytes as an object of a declared size: zeros follow up to it, and what is beyond is left out.
+
+    Null if the bytes, or the size, are fewer than a digest needs.
+    """
+    size = size.cast("int")
+    padded = F.concat(F.substring(data, F.lit(1), size), F.unhex(F.repeat(F.lit("00"), F.greatest(size - F.octet_length(data), F.lit(0)))))
+    return F.when(eligible(data) & (size >= t.MIN_SIZE), padded)
+
+
+def digest_declared(df: DataFrame, size: str | Column, name: str | Column = "name", data: str | Column = "content", *, block_size: int = 0, ranks: Sequence[int] | None = None) -> DataFrame:
+    """Digests of objects of which `size` bytes are declared: over that many, with zeros behind what there is.
+
+    Their input_size is what there is of them, as if read into a buffer of the declared size.
+    """
+    column = lambda c: F.col(c) if isinstance(c, str) else c
+    rows = df.select(column(name).cast("string").alias("name"), column(data).cast("binary").alias("content"), column(size).cast("int").alias("size"))
+    rows = rows.select(F.struct("name", F.least(F.octet_length("content"), "size").alias("there")).alias("who"), declared(F.col("content"), F.col("size")).alias("content"))
+    made = digest(rows.select(F.to_json("who").alias("name"), "content"), block_size=block_size, ranks=ranks)
+    who = F.from_json("name", "name string, there bigint")
+    return made.withColumn("input_size", who["there"]).withColumn("name", who["name"])
+
+
 def _objects(df: DataFrame, name: str | Column, data: str | Column) -> DataFrame:
     column = lambda c: F.col(c) if isinstance(c, str) else c
     rows = df.select(column(name).cast("string").alias("name"), column(data).cast("binary").alias("content"))

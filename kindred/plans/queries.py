@@ -16,6 +16,7 @@ from ..functions import columns as c
 from ..functions import tables as t
 from ..operators import compare, digest, filters, ground_truth, index, segments
 from ..sources import digest_text, files, index_file, large_file
+from ..sources import segments as segment_source
 from ..operators.storage import shared_folder
 from ..streaming import ingest
 from . import catalog
@@ -303,6 +304,26 @@ def stream_ingest(spark, sf_dir):
     return spark.read.parquet(f"{folder}/digests")
 
 
+def stream_segments(spark, sf_dir):
+    """The files of the tables as a stream of segments."""
+    source = segment_source.stream_segments(spark, sf_dir, segment=1 << 17, recursive=True, settle_seconds=0)
+    folder = f"{shared_folder(spark)}/segments-{uuid.uuid4().hex}"
+    rows = source.select(F.element_at(F.split("name", "/"), -1).alias("name"), "start", F.octet_length("content").alias("length"), F.md5("content").alias("md5"))
+    rows.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/rows")
+
+
+def stream_distinct(spark, sf_dir):
+    """Documents as a stream, one a second, without digests that have come before: how many different ones of each size."""
+    source = spark.readStream.schema(table(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parquet*")
+    folder = f"{shared_folder(spark)}/distinct-{uuid.uuid4().hex}"
+    objects = files.from_texts(source, "doc_id", "text", "doc-")
+    digests = digest.digest(objects).withColumn("at", F.timestamp_seconds(86400 + F.substring("name", 5, 20).cast("long")))
+    rows = ingest.first_digests(digests, "at", delay="100 years").select("input_size")
+    rows.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/rows").groupBy("input_size").agg(F.count("*").alias("digests"))
+
+
 _BYTE = "((instr('0123456789abcdef', substr(h, {0}, 1)) - 1) * 16 + instr('0123456789abcdef', substr(h, {1}, 1)) - 1)"
 
 
@@ -533,6 +554,8 @@ def oracle_sql() -> dict[str, str]:
             ac AS (SELECT name, block, p, count(*) AS n FROM ab GROUP BY ALL),
             hit AS (SELECT name, block, p, index_set FROM ab JOIN kb USING (bit) JOIN ac USING (name, block, p) GROUP BY name, block, p, index_set, n HAVING count(*) = n)
             SELECT name, block, index_set, CAST(count(*) AS INT) AS hits FROM hit GROUP BY name, block, index_set HAVING count(*) > 4""",
+        "stream_distinct": f"""{stream}, body AS (SELECT r, list(row(k, n, list_sort(bits)) ORDER BY k) AS body FROM flt1 GROUP BY r)
+            SELECT size AS input_size, count(DISTINCT body) AS digests FROM dg JOIN body USING (r) GROUP BY size""",
         "validate": f"{stream} SELECT count(*) AS lines, count(*) AS valid, CAST(sum(nf) AS BIGINT) AS filters, CAST(sum(size) AS BIGINT) AS input_size FROM dg",
         "large_digests": f"{stream} SELECT name, size AS file_size, CAST(1 AS INT) AS filter_count, total AS last_elements FROM dg",
         "feature_bits": f"WITH {_WORDS} SELECT doc_id, CAST(w AS INT) AS word, v % 2048 AS small_bit, v % 131072 AS large_bit FROM word",
@@ -574,6 +597,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             chunk_ranks, popularity_scores, stream_features, stream_digest, block_digest, sized_digest, segment_digest, compare_all,
             compare_fast, compare_to, compare_sampled, compare_matrix, compare_blocks, digest_text_roundtrip, validate,
             index_build, index_merge, index_probe, index_elements, index_slices, sliced_probe, index_search, index_files, large_digests, large_compare,
-            large_roundtrip, set_summary, set_listing_json, result_status, common_substrings, stream_ingest,
+            large_roundtrip, set_summary, set_listing_json, result_status, common_substrings, stream_ingest, stream_segments, stream_distinct,
         )
     }

@@ -122,9 +122,21 @@ def parse_digests(lines: DataFrame, column: str = "value", *, invalid: str = "ra
     return lines.select(F.col(column).cast("string").alias("line")).where("line is not null and line <> ''").mapInArrow(run, DIGEST)
 
 
-def read_digests(spark: SparkSession, path: str | list[str], *, invalid: str = "raise") -> DataFrame:
-    """Digest rows of text files."""
-    return parse_digests(spark.read.text(path), invalid=invalid)
+def read_digests(spark: SparkSession, path: str | list[str], *, invalid: str = "raise", to_blank: bool = True) -> DataFrame:
+    """Digest rows of text files.
+
+    to_blank: a file's set ends at its first empty line, if it has one; else such lines are
+    passed over. Where a file has one is asked first, of lines as short as that; then each
+    line is known by its place in the file, so a file can still be read in parts.
+    """
+    lines = spark.read.text(path)
+    if to_blank:
+        place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("row"))
+        lines = lines.select("value", place.alias("place"))
+        first = lines.where(F.col("value") == "").groupBy("place.file").agg(F.min(F.struct("place.part", "place.row")).alias("first"))
+        ended = lines.join(first, F.col("place.file") == F.col("file"), "left")
+        lines = ended.where(F.col("first").isNull() | (F.struct("place.part", "place.row") < F.col("first"))).select("value")
+    return parse_digests(lines, invalid=invalid)
 
 
 def validate(lines: DataFrame, column: str = "value") -> DataFrame:

@@ -1,12 +1,13 @@
 """Digesting streams of objects with Structured Streaming.
 
-Each object, or segment of one, is digested on its own, so the queries keep no state;
-what arrives is compared with stored sets batch by batch.
+Each object, or segment of one, is digested on its own; what arrives is compared with
+stored sets batch by batch. Only `first_digests` keeps state, of the digests that came lately.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.compare import compare_to
@@ -33,6 +34,17 @@ def segment_stream(objects: DataFrame, *, segment: int = 128 << 20, block_size:
     return digest(cut_segments(objects, segment=segment), block_size=block_size)
 
 
+def first_digests(digests: DataFrame, time_col: str, *, delay: str = "1 hour") -> DataFrame:
+    """A stream of digests (with an event time) without those that have come before.
+
+    Digests are the same if all but their names is: filters, counts, sizes and mode. One is passed on once; what comes within `delay` of it, by event time, is dropped.
+    The state is one row of hashes for each digest of that span, whatever the size of the filters.
+    """
+    body = F.to_json(F.struct("mode", "input_size", "dd_block_size", "filters"))
+    rows = digests.withColumn("content_key", F.sha2(body, 256)).withWatermark(time_col, delay)
+    return rows.dropDuplicatesWithinWatermark(["content_key"])
+
+
 def append_digests(digests: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Keep a stream of digests as Parquet, each exactly once."""
     return digests.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -334,3 +334,56 @@ def test_a_set_is_added_to_by_one_at_a_time(spark, objects, tmp_path):
     assert catalog.digests(one).count() == 5
     catalog.append_set(one, one)
     assert catalog.digests(one).select("digest_id").distinct().count() == 10
+
+
+def test_declared_sizes(spark):
+    """A digest over the declared size, zeros behind what there is, with the size of what there is."""
+    data = blob(11, 9000)
+    rows = spark.createDataFrame([("more", data, 20_000), ("less", data, 4000), ("same", data, 9000), ("few", data, 100), ("tiny", data[:300], 9000), (None, data, 9000), ("null", None, 900)], "name string, content binary, size int")
+    for block in (0, 4096):
+        made = {r["name"]: r for r in digest.digest_declared(rows, "size", block_size=block).collect()}
+        assert set(made) == {"more", "less", "same", None}
+        plain = spark.createDataFrame([("more", data + bytes(11_000)), ("less", data[:4000]), ("same", data)], "name string, content binary")
+        for r in digest.digest(plain, block_size=block).collect():
+            assert made[r["name"]]["filters"] == r["filters"] and made[r["name"]]["bf_count"] == r["bf_count"]
+        assert [made[n]["input_size"] for n in ("more", "less", "same")] == [9000, 4000, 9000]
+
+
+def test_a_set_ends_at_an_empty_line(spark, objects, tmp_path):
+    lines = [r[0] for r in digest.digest(objects.where("name is not null")).select(digest_text.digest_line()).collect()]
+    (tmp_path / "a").write_text("\n".join([lines[0], lines[1], "", lines[2], "", lines[3]]) + "\n")
+    (tmp_path / "b").write_text("\n".join(lines[2:4]))
+    (tmp_path / "c").write_text("\n" + lines[0])
+    found = sorted(r["name"] for r in digest_text.read_digests(spark, str(tmp_path)).collect())
+    assert found == sorted(line.split(":", 4)[3] if "a:b" not in line else "a:b" for line in lines[:4])
+    assert digest_text.read_digests(spark, str(tmp_path), to_blank=False).count() == 7
+    # a file that is read in many parts
+    (tmp_path / "long").mkdir()
+    (tmp_path / "long" / "x").write_text("\n".join(lines * 50 + [""] + lines * 50 + [""] + lines))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        read = digest_text.read_digests(spark, str(tmp_path / "long"))
+        assert read.rdd.getNumPartitions() > 1 and read.count() == 50 * len(lines)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_digests_that_have_come_before(spark, tmp_path):
+    """Copies are dropped across batches and a restart; after the delay a digest is new again."""
+    rows = [("a", blob(31, 9000), 0), ("b", blob(32, 9000), 10), ("a again", blob(31, 9000), 20), ("a later", blob(31, 9000), 7000), ("c", blob(33, 9000), 20_000), ("b late", blob(32, 9000), 20_010)]
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    schema = "name string, content binary, at timestamp"
+
+    def run(part, number):
+        df = spark.createDataFrame(part, "name string, content binary, s long").select("name", "content", F.timestamp_seconds(F.col("s") + 86400).alias("at"))
+        df.coalesce(1).write.mode("append").parquet(str(folder))
+        source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+        digests = digest.digest(source.withColumn("name", F.concat_ws("|", "name", F.unix_timestamp("at"))))
+        digests = digests.withColumn("at", F.timestamp_seconds(F.element_at(F.split("name", "\\|"), -1).cast("long")))
+        ingest.append_digests(ingest.first_digests(digests, "at", delay="1 hour").drop("content_key"), out, str(tmp_path / "log")).awaitTermination()
+        return sorted(r["name"].split("|")[0] for r in spark.read.parquet(out).collect())
+
+    assert run(rows[:2], 1) == ["a", "b"]
+    assert run(rows[2:3], 2) == ["a", "b"]
+    assert run(rows[4:5], 3) == ["a", "b", "c"]
+    assert run(rows[5:], 4) == ["a", "b", "b late", "c"]

@@ -1,5 +1,6 @@
 """Registered queries against their SQL, on the smallest tables."""
 
+import hashlib
 import os
 import shutil
 import subprocess
@@ -14,6 +15,7 @@ import pytest
 import __spark_entry__ as entry
 from kindred.functions import kernel, score
 from kindred.functions import tables as t
+from kindred.sources.segments import segment_bounds
 
 DATA = "/root/testdata/sf0.001"
 SQL = entry.oracle_sql()
@@ -49,6 +51,7 @@ KNOWN = {
     "large_compare": lambda f, docs: {(f"32-{k}", f"64-{k // 2}") for k in range(6)} <= set(zip(f["query"], f.target, strict=True)) and f.score[[f"{int(q[3:]) // 2}" == v[3:] for q, v in zip(f["query"], f.target, strict=True)]].min() > 50,
     "large_roundtrip": lambda f, docs: sorted(f.value) == sorted(f"page-{i} size {len(x)} filter count 1" for i, x in pages().items()),
     "common_substrings": lambda f, docs: {(r.conv_id, r.turn): r.ratio for r in f.itertuples()} == common(),
+    "stream_segments": lambda f, docs: {(r.name.split(".parquet")[0], r.start, r.length, r.md5) for r in f.itertuples()} == file_segments(),
     "stream_ingest": lambda f, docs: set(f.name) == {f"doc-{i}" for i in docs},
 }
 
@@ -58,6 +61,16 @@ def pages():
     return {i: x.encode() for i, x in found if len(x.encode()) >= 512}
 
 
+def file_segments():
+    out = set()
+    for path in Path(DATA).rglob("*.parquet"):
+        data = path.read_bytes()
+        for a, n in segment_bounds(len(data), 1 << 17):
+            if n >= 512:
+                out.add((path.name.split(".parquet")[0], a, n, hashlib.md5(data[a : a + n]).hexdigest()))
+    return out
+
+
 def common():
     """Ratios of neighbouring turns, by growing each common run from its begin."""
     turns = {(c, n): x.encode() for c, n, x in duckdb.sql("SELECT conv_id, turn, text FROM conversations").fetchall()}
