@@ -4,8 +4,9 @@ Each task streams its documents once: it tokenizes a text, cuts off what is
 longer than a sequence, and places each piece with bounded-space online
 best-fit. A fixed number of bins is open. A bitset keyed by free space finds the
 open bin that a piece fills best; if there is none a bin is opened, and when too
-many are open the fullest closes. Nothing is shuffled or collected and a task
-keeps only its open bins, so lost tasks are simply run again.
+many are open the fullest closes. No text is shuffled or collected and a task
+keeps only its open bins. The pieces in bins that are open when tasks end, a few bins of each, are then packed
+anew, those of 64 tasks together, so that many small partitions cost few sequences.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .spark import written
+
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 _ARROW = pa.schema(
     [("doc_id", pa.int64()), ("piece", pa.int32())]
@@ -61,6 +64,10 @@ class BestFit:
             self.open += 1
         return number, self.capacity - free
 
+    def still_open(self) -> list[int]:
+        """All bins that are open."""
+        return [number for numbers in self.bins for number in numbers]
+
     def _take(self, free: int) -> int:
         number = self.bins[free].pop()
         if not self.bins[free]:
@@ -140,7 +147,9 @@ def pack_documents(
     longer than a sequence are cut. Null text counts as empty and packs as one
     token; a null id stays null; repeated rows are packed as often as they
     stand; an empty table gives no rows. Only the two named columns are read.
-    `tokenizer_path` must be readable on every executor.
+    A text of any length is tokenized as a whole, by one task, which holds its ids. `tokenizer_path` must be
+    readable on every executor. Pieces are written as a table in the shared folder first, as
+    what the tasks leave in open bins is packed once more.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,5 +166,32 @@ def pack_documents(
                     out.append((doc, i, start, length, crc, high + number, offset))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _ARROW, strict=True)], schema=_ARROW)
+        # bins that are still open, as pieces without a document
+        rest = [(None, _OPEN, 0, 0, 0, high + number, 0) for number in packer.still_open()]
+        if rest:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rest, strict=True), _ARROW, strict=True)], schema=_ARROW)
+
+    packed = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA))
+    bins = packed.where(F.col("piece") == _OPEN).select("sequence_id")
+    pieces_ = packed.where(F.col("piece") >= 0)
+    again = pieces_.join(bins, "sequence_id", "left_semi").groupBy(F.shiftright("sequence_id", 36 + _TASKS).alias("tasks"))
+    return pieces_.join(bins, "sequence_id", "left_anti").select(*_ARROW.names).unionByName(again.applyInArrow(_repack(max_tokens), SCHEMA))
+
+
+#: The number of a piece that stands for an open bin; tasks whose open bins are packed together, as a power of 2.
+_OPEN, _TASKS = -1, 6
+
+
+def _repack(max_tokens: int):
+    """Pieces of some tasks' open bins in new sequences, the longest first."""
+
+    def run(table: pa.Table) -> pa.Table:
+        number, offset, size = (table.column(c).to_numpy() for c in ("sequence_id", "offset", "length"))
+        order = np.lexsort((offset, number, -size))
+        packer = BestFit(max_tokens, len(order))
+        base = 1 << 62 | int(number[0]) >> 36 + _TASKS << 40
+        place = np.array([packer.place(n) for n in size[order].tolist()], dtype=np.int64)
+        moved = table.take(pa.array(order)).select([c for c in _ARROW.names if c not in ("sequence_id", "offset")])
+        return moved.append_column("sequence_id", pa.array(base + place[:, 0])).append_column("offset", pa.array(place[:, 1])).select(_ARROW.names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return run

@@ -636,6 +636,19 @@ def test_automaton_is_the_longest_kept_suffix():
 # 6
 
 
+def test_packing_into_few_sequences_whatever_the_partitions(spark):
+    """Bins that tasks leave open are packed into one another: many small partitions cost next to nothing."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    found = {}
+    for n in (1, 60):
+        rows = packing.pack_documents(docs.repartition(n), queries.tokenizer_path()).toPandas()
+        for _, own in rows.sort_values("offset").groupby("sequence_id"):
+            assert own.offset.tolist() == [0, *np.cumsum(own.length)[:-1]] and own.length.sum() <= 2048
+        found[n] = rows.sequence_id.nunique()
+        least = rows.length.sum() / 2048
+    assert found[1] <= 1.02 * least and found[60] <= 1.03 * least
+
+
 def test_packing_is_an_exact_round_trip(spark):
     from tokenizers import Tokenizer
 
