@@ -7,14 +7,12 @@ the columns of `documents`, of what they keep.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.llm import decontam, jaccard, linededup, packing, quality
 from kindred.llm.queries import tokenizer_path
-from kindred.llm.spark import shared_folder
+from kindred.llm.spark import written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -72,10 +70,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The result of all stages on `documents`; their tables stay in the shared folder as long as Spark runs."""
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    """The result of all stages on `documents`, each written as Parquet into the shared folder and read again; the tables go when the driver's Python ends."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
-        docs = spark.read.parquet(f"{folder}/{i}")
+    for _, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir))
     return docs

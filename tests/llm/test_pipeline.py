@@ -1,7 +1,9 @@
 import zlib
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
-from kindred.llm import queries
+from kindred.llm import quality, queries
 
 DATA = "/root/testdata/sf0.01"
 
@@ -37,10 +39,21 @@ def test_one_of_similar_and_contaminated(spark):
     assert left == {1: ("a line\nof text", 14), 3: ("", 0), 4: (None, None), 5: ("new", 3)}
 
 
-def test_run_equals_its_stages(spark):
-    found = pipeline.run(spark, "/root/testdata/sf0.001").toPandas()
-    assert len(found) > 0 and found.groupby("sequence_id").length.sum().max() <= 2048
-
-
-def test_folds():
-    assert all(zlib.crc32(str(i).encode()) % 4 < 4 for i in range(9)) and set(queries.oracle_sql()) <= set(queries.queries())
+def test_run_equals_its_stages(spark, tmp_path):
+    small = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    for i, (_, stage) in enumerate(pipeline.STAGES):
+        stage(spark, docs, small).write.parquet(f"{tmp_path}/{i}")
+        docs = spark.read.parquet(f"{tmp_path}/{i}")
+    found = pipeline.run(spark, small).toPandas()
+    pieces = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    assert len(found) > 0 and sorted(found[pieces].itertuples(index=False, name=None)) == sorted(docs.toPandas()[pieces].itertuples(index=False, name=None))
+    assert found.groupby("sequence_id").length.sum().max() <= 2048
+
+
+def test_folds(spark):
+    """Training leaves out the rows whose crc32 has the remainder that contracts name."""
+    rows = spark.range(-50, 200).select(F.col("id").alias("doc_id"), quality.held_out().alias("h"), quality.held_out(of=7).alias("h7")).collect()
+    crc = lambda r: zlib.crc32(str(r.doc_id).encode())
+    assert all(r.h == (crc(r) % 4 == 2) and r.h7 == (crc(r) % 7 == 2) for r in rows)
+    assert set(queries.oracle_sql()) <= set(queries.queries())
