@@ -636,6 +636,59 @@ def test_automaton_is_the_longest_kept_suffix():
 # 6
 
 
+def test_hot_places_that_passages_cover_are_linked(spark):
+    """Two texts share a changed window around a frequent run, and each an exact passage with a third one that ends in it."""
+    rng = random.Random(3)
+    words = lambda n: ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n)]
+    one, two, right, hot = words(45), words(45), words(45), words(5)
+    changed = [x if i % 5 else words(1)[0] for i, x in enumerate(right)]
+    rows = [(1, one + hot + right), (2, one + hot), (3, two + hot + changed), (4, two + hot)] + [(10 + i, words(20) + hot + words(20)) for i in range(20)]
+    found = [(r.doc_id, r.other_id, r.matches) for r in substring.repeated_passages(table(spark, [(i, " ".join(x)) for i, x in rows])).collect()]
+    assert sorted((min(a, b), max(a, b), n) for a, b, n in found) == [(1, 2, 50), (1, 3, 41), (3, 4, 50)]
+
+
+def test_changed_passages_of_hot_seeds_are_linked_like_by_brute_force(spark):
+    """Variants of passages that all share a frequent line: what windows of 50 words link, rows link; each pair has a row."""
+    rng = random.Random(11)
+    words = lambda n: ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n)]
+    hot, rows, n = words(5), [], 0
+    for family in range(6):
+        base = words(70)
+        base[30:35] = hot
+        for _ in range(12):
+            own = [x if 30 <= i < 35 or rng.random() > 0.06 else words(1)[0] for i, x in enumerate(base)]
+            rows.append((n, family, words(rng.randrange(30)) + own + words(rng.randrange(30))))
+            n += 1
+    rows += [(n + i, None, words(60) + hot + words(60)) for i in range(30)]
+    found = substring.repeated_passages(table(spark, [(i, " ".join(x)) for i, _, x in rows])).collect()
+    root = {i: i for i, *_ in rows}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for r in found:
+        root[max(top(r.doc_id), top(r.other_id))] = min(top(r.doc_id), top(r.other_id))
+    pairs = {(min(r.doc_id, r.other_id), max(r.doc_id, r.other_id)) for r in found}
+    text = {i: x for i, _, x in rows}
+    for r in found:  # each row is what it says
+        a, b = text[r.doc_id][r.start_word : r.end_word], text[r.other_id][r.other_start_word : r.other_end_word]
+        assert min(len(a), len(b)) >= 50 and r.matches >= 0.8 * max(len(a), len(b))
+    # brute force: texts of a family of which 50 words in a row agree in 40 places
+    linked = missed = 0
+    for i, f, x in rows:
+        for j, g, y in rows:
+            if f is not None and f == g and i < j:
+                p, q = (z.index(hot[0]) for z in (x, y))
+                same = [k for k in range(-30, 40) if 0 <= p + k < len(x) and 0 <= q + k < len(y) and x[p + k] == y[q + k]]
+                if max(sum(a <= k < a + 50 for k in same) for a in range(-30, -9)) >= 41:
+                    linked += 1
+                    missed += (i, j) not in pairs
+    assert linked > 300 and missed <= 0.02 * linked
+    assert {len({f for i, f, _ in rows if top(i) == t and f is not None}) for t in {top(i) for i, f, _ in rows if f is not None}} == {1}
+
+
 def test_packing_into_few_sequences_whatever_the_partitions(spark):
     """Bins that tasks leave open are packed into one another: many small partitions cost next to nothing."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
