@@ -636,17 +636,6 @@ def test_automaton_is_the_longest_kept_suffix():
 # 6
 
 
-def test_hot_places_that_passages_cover_are_linked(spark):
-    """Two texts share a changed window around a frequent run, and each an exact passage with a third one that ends in it."""
-    rng = random.Random(3)
-    words = lambda n: ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n)]
-    one, two, right, hot = words(45), words(45), words(45), words(5)
-    changed = [x if i % 5 else words(1)[0] for i, x in enumerate(right)]
-    rows = [(1, one + hot + right), (2, one + hot), (3, two + hot + changed), (4, two + hot)] + [(10 + i, words(20) + hot + words(20)) for i in range(20)]
-    found = [(r.doc_id, r.other_id, r.matches) for r in substring.repeated_passages(table(spark, [(i, " ".join(x)) for i, x in rows])).collect()]
-    assert sorted((min(a, b), max(a, b), n) for a, b, n in found) == [(1, 2, 50), (1, 3, 41), (3, 4, 50)]
-
-
 def test_changed_passages_of_hot_seeds_are_linked_like_by_brute_force(spark):
     """Variants of passages that all share a frequent line: what windows of 50 words link, rows link; each pair has a row."""
     rng = random.Random(11)
