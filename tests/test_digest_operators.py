@@ -387,3 +387,19 @@ def test_digests_that_have_come_before(spark, tmp_path):
     assert run(rows[2:3], 2) == ["a", "b"]
     assert run(rows[4:5], 3) == ["a", "b", "c"]
     assert run(rows[5:], 4) == ["a", "b", "b late", "c"]
+
+
+def test_pairs_write_nothing(spark):
+    """Digests aren't sent once for each tile of the other side, and those without a number are in no pair of a set."""
+    rng = np.random.default_rng(5)
+    data = rng.integers(0, 256, 3000).astype(np.uint8).tobytes()
+    rows = [(f"o{i}", data[i * 100 :] if i % 2 else data[:2000] + rng.integers(0, 256, 900).astype(np.uint8).tobytes()) for i in range(9)]
+    made = digest.digest(spark.createDataFrame(rows, "name string, content binary"))
+    numbered = made.withColumn("digest_id", F.when(F.col("name") != "o3", F.substring("name", 2, 9).cast("long")))
+    found = compare.compare_all(numbered, threshold=-1, tile=2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "CoGroup" not in plan and "Generate" not in plan
+    pairs = {(r["query"], r["target"]): r["score"] for r in found.collect()}
+    assert set(pairs) == {(f"o{i}", f"o{j}") for i in range(9) for j in range(i + 1, 9) if 3 not in (i, j)}
+    every = {(r["query"], r["target"]): r["score"] for r in compare.compare_to(made, made, threshold=-1).collect()}
+    assert len(every) == 81 and all(every[p] == s for p, s in pairs.items())
