@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tables as t
 from ..functions.columns import feature_bits
+from .compare import in_own_partitions, tiles_by_tiles
 from .segments import plan_batches
 from .storage import keep
 
@@ -112,6 +113,43 @@ def counted_elements(features: DataFrame, set_col: str | Column = "name", *, ord
 
 #: Words of 64 sets in a row of a sliced index.
 SLICE_WORDS = 16
+#: Bytes of a part of the sets, with all rows of a filter, up to which it is probed as a matrix; bytes of such parts, and features, that a task takes.
+_MATRIX, _PARTS, _FEATURES = 1 << 20, 4 << 20, 1 << 16
+
+
+def _packed(*columns: str):
+    """Rows of a tile as one, with their columns as bytes."""
+
+    def run(table: pa.Table) -> pa.Table:
+        arrays = [np.stack([c.to_numpy() for c in table.select([w for w in table.column_names if w[0] == "w"]).columns], axis=1) if n == "words" else table.column(n).to_numpy() for n in columns]
+        return pa.table([table.column("tile").slice(0, 1).combine_chunks(), *(pa.array([b"".join(x.tolist()) if x.dtype == object else x.tobytes()], pa.binary()) for x in arrays)], names=["tile", *columns])
+
+    return run
+
+
+def _probe_matrix(mask: int, words: int):
+    """(sha1, part, place) of the features of which sets have all bits: five rows of a part's matrix for each feature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shas, parts, bits, values in zip(*(batch.column(c) for c in ("sha1", "other_part", "other_bit", "other_words")), strict=True):
+                sha = np.frombuffer(shas.as_buffer(), "S20")
+                own = (sha.view("<u4").reshape(-1, 5) & np.uint32(mask)).astype(np.int64)
+                part, bit = (np.frombuffer(x.as_buffer(), k) for x, k in ((parts, np.int32), (bits, np.int64)))
+                value = np.frombuffer(values.as_buffer(), np.uint64).reshape(-1, words)
+                order = np.argsort(part, kind="stable")
+                for rows in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+                    matrix = np.zeros((mask + 1, words), np.uint64)
+                    matrix[bit[rows]] = value[rows]
+                    found = matrix[own[:, 0]]
+                    for k in range(1, own.shape[1]):
+                        found &= matrix[own[:, k]]
+                    at = np.flatnonzero(found.any(axis=1))
+                    i, place = np.nonzero(np.unpackbits(found[at].view(np.uint8), axis=1, bitorder="little"))
+                    who = pa.Array.from_buffers(pa.binary(20), len(sha), [None, shas.as_buffer()]).take(pa.array(at[i])).cast(pa.binary())
+                    yield pa.RecordBatch.from_arrays([who, pa.array(np.full(len(i), part[rows[0]], np.int32)), pa.array(place.astype(np.int32))], names=["sha1", "part", "place"])
+
+    return run
 
 
 @dataclass
@@ -121,6 +159,7 @@ class SlicedIndex:
     bits: (bit, part, w0, w1, ...), the words of one part of the sets, without rows of
     zeros; sets: (index_set, part, place), place being a bit in the part's words.
     A probe of a feature takes the five rows of its bits in each part, whatever the number of sets in it.
+    Where filters are so narrow that parts are matrices, nothing is written for features times parts.
     """
 
     bits: DataFrame
@@ -136,18 +175,38 @@ class SlicedIndex:
 
         Each different feature is looked up once, so a frequent one is no hot key of the index.
         """
+        place = self._places_narrow(features) if (self.mask + 1) * len(self.words) * 8 <= _MATRIX else self._places(features)
+        found = place.join(self.sets, ["part", "place"]).select("sha1", "index_set")
+        return features.select("name", "block", "offset", "sha1").distinct().join(found, "sha1").select("name", "block", "offset", "index_set")
+
+    def _places(self, features: DataFrame) -> DataFrame:
+        """(sha1, part, place) of the features that sets have; each bit is joined with its rows."""
         own = F.array_distinct(feature_bits(F.lower(F.hex("sha1")), self.mask))
         bits = features.select("sha1").distinct().select("sha1", F.size(own).alias("n"), F.explode(own).alias("bit"))
         both = bits.join(self.bits, "bit").groupBy("sha1", "part").agg(F.count("*").alias("found"), F.first("n").alias("n"), *(F.bit_and(w).alias(w) for w in self.words))
         word = both.where("found = n").select("sha1", "part", F.posexplode(F.array(*self.words)).alias("i", "word")).where("word <> 0")
         place = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.call_function("getbit", F.col("word"), b) == 1)
         place = word.select("sha1", "part", "i", F.explode(place).alias("b")).select("sha1", "part", (F.col("i") * 64 + F.col("b")).alias("place"))
-        found = place.join(self.sets, ["part", "place"]).select("sha1", "index_set")
-        return features.select("name", "block", "offset", "sha1").distinct().join(found, "sha1").select("name", "block", "offset", "index_set")
+        return place
+
+    def _places_narrow(self, features: DataFrame) -> DataFrame:
+        """The same where a filter has few bits: most parts have rows of each of them, so a join would write rows for features times parts.
+
+        Tiles of features meet tiles of parts in a Cartesian product, where only what is found leaves a task.
+        """
+        asked = keep(features.select("sha1").where(F.octet_length("sha1") == 20).distinct())
+        n = max(1, -(-asked.count() // _FEATURES))
+        tiles = asked.withColumn("tile", F.pmod(F.xxhash64("sha1"), F.lit(n)).cast("int")).groupBy("tile").applyInArrow(_packed("sha1"), "tile int, sha1 binary")
+        per = max(1, _PARTS // ((self.mask + 1) * len(self.words) * 8))
+        m = (self.sets.agg(F.coalesce(F.max("part"), F.lit(0))).first()[0]) // per + 1
+        parts = self.bits.where("bit is not null").select(F.floor(F.col("part") / per).cast("int").alias("tile"), "part", F.col("bit").cast("long").alias("bit"), *self.words)
+        parts = parts.groupBy("tile").applyInArrow(_packed("part", "bit", "words"), "tile int, part binary, bit binary, words binary")
+        both = tiles_by_tiles(in_own_partitions(tiles, n), in_own_partitions(parts, m))
+        return both.mapInArrow(_probe_matrix(self.mask, len(self.words)), "sha1 binary, part int, place int")
 
     def search(self, features: DataFrame, *, hits: int = t.INDEX_HITS) -> DataFrame:
         """As `index_search`."""
-        return _hits(self.probe(sample_features(features)), hits)
+        return _hits(self.probe(keep(sample_features(features).select("name", "block", "offset", "sha1"))), hits)
 
     def save(self, name: str, *, buckets: int = 64) -> None:
         """Keep it as tables of the warehouse, dealt by bit: a probe then moves its own bits only, not those of the index."""
@@ -176,7 +235,8 @@ def _number_sets(names: DataFrame) -> DataFrame:
 
 def build_sliced(features: DataFrame, set_col: str | Column = "name", *, mask: int = t.INDEX_MASK, words: int = SLICE_WORDS) -> SlicedIndex:
     """The indexes of the features of each set, side by side; rows without a set are left out."""
-    rows = features.withColumn("index_set", F.col(set_col) if isinstance(set_col, str) else set_col)
+    rows = features.select((F.col(set_col) if isinstance(set_col, str) else set_col).alias("index_set"), "sha1")
+    rows = keep(rows)  # read for the sets' numbers, too
     return _sliced(explode_bits(rows, "index_set", mask=mask), _number_sets(rows), mask, words)
 
 

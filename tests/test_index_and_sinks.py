@@ -174,3 +174,33 @@ def test_a_growing_file_waits_with_its_rest(spark, tmp_path):
     old = time.time() - 5000
     os.utime(folder / "a", (old, old))
     assert [x[1:3] for x in read_stream(spark, folder, tmp_path, settle_seconds=1000)][3:] == [(6000, 2400)]
+
+
+def test_narrow_indexes_are_probed_as_matrices(spark, monkeypatch):
+    """Where most parts have rows of each bit, nothing is written for features times parts; the sets found are the same."""
+    rows = [(f"n{i}", i % 3, i, f"s{i % 70:02d}", i if i % 9 else None) for i in range(400)]
+    features = spark.createDataFrame(rows, "name string, block long, offset long, grp string, k int").withColumn("sha1", F.unhex(F.sha1(F.col("k").cast("string"))))
+    made = index.build_sliced(features, "grp", mask=511, words=1)
+    monkeypatch.setattr(index, "_FEATURES", 150)
+    monkeypatch.setattr(index, "_PARTS", 4096)
+    found = made.probe(features)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan
+    key = lambda df: sorted(tuple(r) for r in df.select("name", "block", "offset", "index_set").collect())
+    narrow = key(found)
+    monkeypatch.setattr(index, "_MATRIX", 0)
+    assert narrow == key(made.probe(features)) and len(narrow) > 300
+    assert narrow == key(index.probe_index(features.where("sha1 is not null"), index.build_index(features.where("sha1 is not null"), "grp", mask=511), mask=511))
+
+
+def test_search_by_rows_of_bits_equals_search_of_bitmaps(spark, monkeypatch):
+    """index_search of the queries builds no bitmap; features are computed once for the sets and once for what is asked."""
+    rows = [(f"n{i}", i % 2, i, f"s{i % 5}") for i in range(300)]
+    features = spark.createDataFrame(rows, "name string, block long, offset long, grp string").withColumn("name", F.concat(F.lit("o"), F.col("offset") % 7)).withColumn("sha1", F.unhex(F.sha1(F.col("offset").cast("string"))))
+    made = index.build_sliced(features, "grp", words=1)
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    assert key(made.search(features, hits=0)) == key(index.index_search(features, index.build_index(features, "grp"), hits=0)) != []
+    from kindred.plans import queries
+
+    monkeypatch.setattr(queries.index, "build_index", None)
+    assert queries.index_search(spark, "/root/testdata/sf0.001").columns == ["name", "block", "index_set", "hits"]
