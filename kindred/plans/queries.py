@@ -237,8 +237,9 @@ def sliced_probe(spark, sf_dir):
 
 def index_search(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    built = index.build_in_batches(digest.features(docs, block_size=16 << 10), docs, "documents", limit=256 * BATCH)
-    return index.index_search(digest.features(pages(spark, sf_dir), block_size=16 << 10), built)
+    known = index.in_batches(digest.features(docs, block_size=16 << 10), docs, "documents", limit=256 * BATCH)
+    # bits as rows: a bitmap of 4 KB for each 32,768 bits of each batch would be zeros nearly throughout
+    return index.build_sliced(known, "index_set", words=1).search(digest.features(pages(spark, sf_dir), block_size=16 << 10))
 
 
 def index_files(spark, sf_dir):
