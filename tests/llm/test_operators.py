@@ -360,6 +360,42 @@ def test_passages_among_fragments(spark):
     assert {frozenset((r["doc_id"], r["other_id"])) for r in found} == {frozenset((100, 101))}
 
 
+def test_spans_are_what_pairs_cover(spark):
+    """Runs of one word and near copies: as many rows as documents have spans, with the words and classes of all pairs; the longest runs are of one id."""
+    rng, n = random.Random(13), 60
+    rows = [(i, f"{prose(60_000 + i, 30)} {'same ' * (50 + 7 * i)}{prose(61_000 + i, 30)}") for i in range(n)]
+    rows += [(n - 1, f"{prose(62_000, 30)} {'same ' * 500}{prose(62_001, 30)}"), (n - 1, f"{prose(62_002, 30)} {'same ' * 90}{prose(62_003, 30)}")]
+    words = prose(63_000, 80).split()
+    rows += [(100 + i, f"{prose(64_000 + i, 40)} {' '.join(w if rng.random() > 0.05 else f'new{i}x{j}' for j, w in enumerate(words))} {prose(65_000 + i, 40)}") for i in range(20)]
+    rows += [(200, rows[-1][1]), (201, prose(66_000, 90)), (202, prose(66_001, 90)), (203, prose(66_001, 90))]
+    pairs = substring.repeated_passages(table(spark, rows)).collect()
+    spans = substring.repeated_spans(table(spark, rows)).collect()
+    assert len([r for r in pairs if r["doc_id"] < 100]) <= 4 * (n + 2)
+    assert len(spans) == n + 2 + 20 + 3  # one for each text but that of 201, one more for each copy
+    covered, given, root, classes = defaultdict(set), defaultdict(set), {}, {}
+
+    def top(i):
+        while root.setdefault(i, i) != i:
+            i = root[i]
+        return i
+
+    for r in pairs:
+        covered[r["doc_id"]] |= set(range(r["start_word"], r["end_word"]))
+        covered[r["other_id"]] |= set(range(r["other_start_word"], r["other_end_word"]))
+        a, b = top(r["doc_id"]), top(r["other_id"])
+        root[max(a, b)] = min(a, b)
+    texts = defaultdict(list)
+    for i, text in rows:
+        texts[i].append(text)
+    for r in spans:
+        given[r["doc_id"]] |= set(range(r["start_word"], r["end_word"]))
+        classes[r["doc_id"]] = r["class_id"]
+        assert any(t.encode()[r["start_byte"] : r["end_byte"]].decode().split() == t.split()[r["start_word"] : r["end_word"]] for t in texts[r["doc_id"]])
+    assert given == covered and classes == {i: top(i) for i in covered}
+    # whole runs, but of the longest ones of one id what the longest one of another has
+    assert all(set(range(30, 80 + 7 * i)) <= given[i] for i in range(n - 1)) and all(classes[i] == 0 for i in range(n))
+
+
 # 3
 
 
