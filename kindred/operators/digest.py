@@ -158,7 +158,7 @@ def large_digest(df: DataFrame, name: str | Column = "name", data: str | Column
 
     def make(who: str, content: bytes, votes: Iterator[np.ndarray]):
         made = kernel.stream_digest(content, table, votes=votes).large
-        rows = [{"bf_size": t.LARGE_BYTES, "max_elem": t.MAX_LARGE, "elem_count": n, "words": words_of(b).tolist()} for b, n in made]
+        rows = [{"bf_size": t.LARGE_BYTES, "max_elem": t.MAX_LARGE, "elem_count": n, "words": words_of(b)} for b, n in made]
         yield {"name": who, "file_size": len(content), "filter_count": len(rows), "filters": rows}
 
     return _per_object(_objects(df, name, data), LARGE, make, _pieces(), table)
