@@ -129,7 +129,7 @@ def main(argv: list[str] | None = None) -> int:
         made = digest.large_digest(_objects(spark, args, options), ranks=ranks)
         folder = options.output if "://" in options.output else os.path.abspath(options.output)
         large_file.write_large(made, folder, "digests")
-        _emit(files.list_files(spark, folder).select("path").where("path LIKE '%.sdbflg'"), "")
+        _emit(files.list_files(spark, folder).select("name").where("name LIKE '%.sdbflg'"), "")
     else:
         block = options.block_size if args.files != ["-"] or options.block_size > 0 else 16  # a stream's digests are always in blocks
         made = digest.digest_by_size(_objects(spark, args, options), requested_kib=block, ranks=ranks)
