@@ -4,18 +4,21 @@ import hashlib
 import math
 import random
 import re
+import uuid
 import zlib
 from collections import Counter, defaultdict
 from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from kindred.llm import ann, decontam, jaccard, langid, linededup, packing, quality, queries, substring, suffixlm, urlfilter
 from kindred.llm.mail import mail_table
 from kindred.llm.mail import read as mail_read
+from kindred.llm.text import Words
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, row int, block int, bit long"
@@ -396,6 +399,57 @@ def test_spans_are_what_pairs_cover(spark):
     assert all(set(range(30, 80 + 7 * i)) <= given[i] for i in range(n - 1)) and all(classes[i] == 0 for i in range(n))
 
 
+def test_words_of_blocks(monkeypatch):
+    """What a block keeps are the words of its texts in order of their keys, in slices of whole texts."""
+    monkeypatch.setattr(substring, "_AT_ONCE", 100)
+    texts = ["", "Ünï  code, Words!", "...", prose(71_000, 300), "a", f"  {prose(71_001, 60)}\n\n{prose(71_002, 60)} "] + [prose(71_010 + i, 40) for i in range(9)]
+    keys = [(7 * i) % len(texts) - 5 for i in range(len(texts))]
+    types = {"block": pa.int32(), "key": pa.int64(), "text": pa.string(), "id": pa.int64()}
+    batch = pa.record_batch([pa.array(c, t) for c, t in zip(([3] * len(texts), keys, texts, range(len(texts))), types.values(), strict=True)], names=list(types))
+    kept = substring._Texts(substring._split(pa.Table.from_batches(substring._pack([batch.slice(0, 5), batch.slice(5)]))))
+    assert kept.keys.tolist() == sorted(keys) and [keys[i] for i in kept.ids] == sorted(keys)
+    found = []
+    for a, words in kept.words():
+        assert a == len(found)
+        found += [tuple(c[i:j].tolist() for c in (words.code, words.start, words.end)) for i, j in zip(words.first[:-1], words.first[1:], strict=True)]
+    whole = [Words(np.frombuffer(texts[i].encode(), np.uint8), np.array([0, len(texts[i].encode())])) for i in kept.ids]
+    assert found == [(w.code.tolist(), w.start.tolist(), w.end.tolist()) for w in whole]
+
+
+def test_a_frequent_line_sends_the_words_around_its_first_seed_only(spark, monkeypatch, tmp_path):
+    """Places whose seed the one before stands for are of no use to the comparison; a run of one word, and what else a word before tells apart, still are."""
+    line = prose(72_000, 20)
+    rows = [(i, f"{prose(72_100 + i, 60)} {line} {prose(72_200 + i, 60)}") for i in range(40)]
+    rows += [(100 + i, f"{prose(72_300 + i, 60)} {'same ' * 12}{prose(72_400 + i, 60)}") for i in range(12)]
+    real = substring._compare
+
+    def counted(sides, min_words):
+        run, folder = real(sides, min_words), str(tmp_path)
+
+        def compare(mail):
+            n = len(mail_read(mail, substring._AROUND, np.uint64, rising=True)[0])
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                f.write(str(n))
+            return run(mail)
+
+        return compare
+
+    monkeypatch.setattr(substring, "_compare", counted)
+    assert substring.repeated_spans(table(spark, rows)).count() == 0
+    assert sum(int(f.read_text()) for f in tmp_path.iterdir()) == 40 + 12 * 8
+
+
+def test_shuffle_files_go_between_the_rounds(spark, monkeypatch):
+    """Alignment shuffles all words; that is released before words travel once more."""
+    told, step, release = [], substring.Step, substring.release
+    monkeypatch.setattr(substring, "Step", lambda df: (told.append("step"), step(df))[1])
+    monkeypatch.setattr(substring, "release", lambda s: (told.append("release"), release(s))[1])
+    line = prose(73_000, 20)
+    substring.repeated_spans(table(spark, [(i, f"{prose(73_100 + i, 60)} {line} {prose(73_200 + i, 60)}") for i in range(20)]))
+    # blocks, seeds, hot ones twice and the frequent ones; chains, passages; places, anchors; chains, passages
+    assert " ".join(told) == "step release step release step step step step release step release step step release step release step release"
+
+
 # 3
 
 
